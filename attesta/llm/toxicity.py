@@ -12,7 +12,6 @@ to, and runs of T are its spans.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -142,23 +141,17 @@ def marginals(u: np.ndarray, lengths: np.ndarray, chain: np.ndarray) -> np.ndarr
 # --- fitting -------------------------------------------------------------------------------------------------------
 
 
-def _associated(docs: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features whose documents are toxic far more often than chance allows (log-likelihood ratio, corrected for their number)."""
-    here, there = Counter(), Counter()
-    for d, y in zip(docs, toxic):
-        (here if y else there).update(d)
-    rate = max(toxic.mean(), 1e-6)
-    tried = sum(1 for f, k in here.items() if k > 1) or 1
-    least = 2 * np.log(tried) + 4
-    found = set()
-    for f, k in here.items():
-        m = there[f]
-        p = k / (k + m)
-        if k > 2 and p > max(0.6, 2 * rate):
-            g = 2 * (k * np.log(p / rate) + (m * np.log((1 - p) / (1 - rate)) if m else 0.0))
-            if g > least:
-                found.add(f)
-    return found
+def _associated(here: np.ndarray, there: np.ndarray, rate: float) -> np.ndarray:
+    """Which features are in toxic documents far more often than chance allows (log-likelihood ratio, corrected for their number).
+
+    here and there: the toxic and the other documents that have each feature.
+    """
+    rate = max(rate, 1e-6)
+    least = 2 * np.log(max(1, (here > 1).sum())) + 4
+    p = here / np.maximum(here + there, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (here * np.log(p / rate) + np.where(there > 0, there * np.log((1 - p) / (1 - rate)), 0.0))
+    return (here > 2) & (p > max(0.6, 2 * rate)) & (g > least)
 
 
 def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.5, l2: float = 1e-6) -> Crf:
@@ -166,21 +159,29 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 30, rate: float = 0.5,
     model, y = Crf(), np.array(toxic, dtype=bool)
     if not y.any() or y.all():
         return model
-    words = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
-    kinds = {w: features(w) for w in {w for ws in words for w in ws}}
-    strong = _associated([{f for w in set(ws) for f in kinds[w]} for ws in words], y)
-    marked = {w for w, fs in kinds.items() if not strong.isdisjoint(fs)}
-    index = {w: i for i, w in enumerate(kinds)}
-    # rows of the feature matrix: (word, slot) pairs
-    at = np.array([i for w, i in index.items() for _ in kinds[w]])
-    slots = {f: i for i, f in enumerate(dict.fromkeys(f for fs in kinds.values() for f in fs))}
-    slot = np.array([slots[f] for fs in kinds.values() for f in fs])
+    index: dict[str, int] = {}
+    ids = []
+    for t in texts:
+        words = [w.lower() for w in TOKEN.findall(t)]
+        ids.append(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words)))
+    # rows of the feature matrix: (word, slot) pairs, by word
+    slots: dict[tuple[int, str], int] = {}
+    held = [[slots.setdefault(f, len(slots)) for f in features(w)] for w in index]
+    many = np.array([len(h) for h in held])
+    slot = np.fromiter((i for h in held for i in h), np.int32, int(many.sum()))
+    del held
+    at, begin = np.repeat(np.arange(len(index), dtype=np.int32), many), np.cumsum(many) - many
+    found = np.zeros((2, len(slots)), dtype=np.int64)
+    for x, d in zip(ids, y):
+        kinds = np.unique(x)
+        n = many[kinds]
+        found[int(d)][np.unique(slot[np.repeat(begin[kinds] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    strong = _associated(found[1], found[0], float(y.mean()))
+    marked = np.bincount(at, weights=strong[slot], minlength=len(index)) > 0
     weight = np.zeros(len(slots))
     u_of = lambda: model.bias + np.bincount(at, weights=weight[slot], minlength=len(index))
-    ids = [np.fromiter((index[w] for w in ws), np.int64, len(ws)) for ws in words]
     lengths, flat = np.array([len(x) for x in ids]), np.concatenate(ids)
-    is_marked = np.array([w in marked for w in kinds], dtype=np.float64)
-    tag = is_marked[flat] * np.repeat(y, lengths)
+    tag = (marked[flat] & np.repeat(y, lengths)).astype(np.float64)
     # the transitions are the tags' own frequencies; emissions are learnt given them
     head = np.cumsum(lengths)[:-1]
     before = np.r_[0.0, tag[:-1]]
@@ -249,7 +250,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = some[0].unionByName(some[1])
     got = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("t"), "_y").collect()
     got.sort(key=lambda r: (r["_id"], r["t"]))
-    return fit([r["t"] for r in got], [r["_y"] for r in got])
+    toxic, texts = [r["_y"] for r in got], [r["t"] for r in got]
+    del got
+    return fit(texts, toxic)
 
 
 # --- scoring -------------------------------------------------------------------------------------------------------
