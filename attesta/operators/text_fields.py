@@ -1,0 +1,101 @@
+"""Label-driven extraction from lines of text. Lines are rows (doc_id, line_no, line) and windows look ahead."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from attesta.functions import tables as T
+from attesta.functions import text as X
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+
+
+def _ahead(lines: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    return lines.withColumns({f"next{i}": F.lead("line", i).over(w) for i in range(1, n + 1)})
+
+
+def first_per_doc(rows: DataFrame, *keys: str) -> DataFrame:
+    w = Window.partitionBy("doc_id", *keys).orderBy("line_no")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def labeled(lines: DataFrame, field: str, patterns: list[str], ok: Column | None = None) -> DataFrame:
+    """(doc_id, field, value): the rest of a label's line, else the next line, else the one after a very short next line.
+
+    The first label line that yields a value counts.
+    """
+    ahead = _ahead(lines, 2)
+    any_label = "|".join(f"(?:{X.label(p)})" for p in patterns)
+    rest = X.clean_value(X.remove_first(F.col("line"), any_label))
+    take = lambda v: F.when(X.looks_like_value(v) & (v != ""), X.clean_value(v))
+    after = F.when(F.length("next1") <= 2, F.col("next2")).otherwise(F.col("next1"))
+    value = F.coalesce(F.when(X.inline_value(rest), rest), take(F.coalesce(after, F.lit(""))))
+    hits = ahead.where(F.col("line").rlike(any_label)).withColumn("value", value).where(F.col("value").isNotNull())
+    if ok is not None:
+        hits = hits.where(ok)
+    return first_per_doc(hits).select("doc_id", F.lit(field).alias("field"), "value")
+
+
+def name_pairs(lines: DataFrame) -> DataFrame:
+    """Lines in Cyrillic capitals whose next line spells the same name in Latin ones."""
+    ahead = _ahead(lines, 1)
+    both = F.col("line").rlike(f"^[{T.CYRILLIC}]{{2,}}\\z") & F.col("next1").rlike(r"^[A-Z]{2,}\z")
+    return ahead.where(both & X.agrees(F.col("line"), F.col("next1"))).select("doc_id", "line_no", F.col("line").alias("cyrillic"), F.col("next1").alias("latin"))
+
+
+def word_after_label(lines: DataFrame, pattern: str) -> DataFrame:
+    """The Cyrillic word under the first label line whose two next lines agree."""
+    ahead = _ahead(lines, 2).where(F.col("line").rlike(X.label(pattern)) & F.col("next1").rlike(f"^[{T.CYRILLIC}]{{2,}}\\z") & X.agrees(F.col("next1"), F.coalesce("next2", F.lit(""))))
+    return first_per_doc(ahead).select("doc_id", F.col("next1").alias("value"))
+
+
+def row_after_header(lines: DataFrame, header: Column) -> DataFrame:
+    """The tokens of the line below the first header line."""
+    return first_per_doc(_ahead(lines, 1).where(header)).select("doc_id", F.split(F.coalesce("next1", F.lit("")), r"\s+").alias("tokens"))
+
+
+def birth_header(line: Column) -> Column:
+    x = X.homoglyphs(line)
+    sex, dob, pob = x.rlike(X.label("sex|[ҷч]инс")), x.rlike(X.label("date of birth|birth|таваллуд")), x.rlike(X.label("place"))
+    return (sex & dob) | (dob & pob)
+
+
+DATE = r"(\d{1,2}[./]\d{1,2}[./]\d{2,4})"
+
+
+def dates(text: Column) -> Column:
+    """Different dates of a text, by year and then as first seen."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(DATE), F.lit(1)))
+    keyed = F.transform(found, lambda d, i: F.struct(F.regexp_extract(d, r"(\d{2,4})$", 1).cast("int").alias("y"), i.alias("i"), d.alias("d")))
+    return F.transform(F.array_sort(keyed), lambda s: s["d"])
+
+
+def text_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confidence: float = 80.0) -> DataFrame:
+    """Facts (doc_id, field, value, confidence, source) that the text alone gives: labels, shapes, dates.
+
+    A label's value beats a shape found anywhere; label words are no values and
+    names must be plausible.
+    """
+    clean = docs.withColumn("_t", X.normal_dates(X.clean_text(F.coalesce(F.col(text_col), F.lit("")))))
+    lines = lines_of(clean, id_col, "_t")
+    found = None
+    for f, patterns in T.FIELD_LABELS.items():
+        rows = labeled(lines, f, patterns).withColumn("rank", F.lit(0))
+        found = rows if found is None else found.unionByName(rows)
+    shape = F.regexp_extract(X.homoglyphs(F.col("line")), rf"{X.AB}([A-Z][0-9OQD]{{8}}){X.AB}", 1)
+    number = first_per_doc(lines.withColumn("value", X.number_digits(shape)).where("value <> ''")).select("doc_id", F.lit("documentNumber").alias("field"), "value", F.lit(1).alias("rank"))
+    personal = F.regexp_extract("line", rf"{X.AB}(\d{{12,14}}){X.AB}", 1)
+    national = first_per_doc(lines.withColumn("value", personal).where("value <> ''")).select("doc_id", F.lit("nationalIdNumber").alias("field"), "value", F.lit(1).alias("rank"))
+    all_dates = clean.select(F.col(id_col).alias("doc_id"), dates(F.col("_t")).alias("d")).where(F.size("d") >= 2)
+    birth = all_dates.select("doc_id", F.lit("birthDate").alias("field"), F.get("d", F.lit(0)).alias("value"), F.lit(1).alias("rank"))
+    expiry = all_dates.select("doc_id", F.lit("expiryDate").alias("field"), F.element_at("d", -1).alias("value"), F.lit(1).alias("rank"))
+    rows = found.unionByName(number).unionByName(national).unionByName(birth).unionByName(expiry)
+    checked = rows.withColumn("value", X.validate_field(F.col("field"), F.col("value"))).where(F.col("value").isNotNull() & ~X.english_label_text(F.col("value")))
+    checked = checked.where(~F.col("field").isin(T.NAME_FIELDS) | X.plausible_name(F.upper("value")))
+    w = Window.partitionBy("doc_id", "field").orderBy("rank", "value")
+    best = checked.withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    return best.select("doc_id", "field", "value", F.lit(confidence).alias("confidence"), F.lit("layout").alias("source"))

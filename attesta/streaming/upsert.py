@@ -1,0 +1,32 @@
+"""Facts that arrive in turn (beyond the batch engine): the latest attempt of each side wins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from attesta.operators.votes import latest_attempts, merge_facts
+
+
+def merge_arrivals(known: DataFrame, arrived: DataFrame) -> DataFrame:
+    """Facts after a batch of arrivals: a side's fields from its latest attempt, others as they were."""
+    both = known.unionByName(arrived)
+    return latest_attempts(both, ["doc_id", "side", "field"], "attempt").dropDuplicates(["doc_id", "side", "field"])
+
+
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Write each micro-batch as a new version of the facts under path; the newest complete version is read back."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number:
+            batch = merge_arrivals(spark.read.parquet(f"{path}/v{number - 1}"), batch)
+        batch.write.mode("overwrite").parquet(f"{path}/v{number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def cross_side(facts: DataFrame) -> DataFrame:
+    """The flat merge of both sides' facts: most confident, the front before the back."""
+    return merge_facts(facts.withColumn("src_rank", F.when(F.col("side") == "front", 0).otherwise(1)), ["doc_id", "field"])
