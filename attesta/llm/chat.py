@@ -80,19 +80,18 @@ def chat_windows(
     placed = placed.withColumn("window", F.struct((F.col("bigs") * 2 + F.col("big")).alias("run"), F.floor(F.col("start") / F.lit(half)).cast("long").alias("cell")))
     spans = placed.groupBy("key", "window").agg(F.max(F.col("start") + F.col("tok")).alias("end"), F.min("at").alias("first_at"))
     after = spans.select("key", "window", "end", F.lead("window").over(Window.partitionBy("key").orderBy("window")).alias("next"))
-    turn = F.struct("conv", "at", "role", "raw", "tok")
-    near = placed.select("key", "window", "start", turn.alias("t"), "big").join(after, ["key", "window"])
-    repeats = (F.col("end") - F.col("start") <= history) & F.col("next").isNotNull() & (F.col("t.role") != "system")
-    own = near.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("window"), F.lit(True).alias("new")), F.when(repeats, F.struct(F.col("next").alias("window"), F.lit(False).alias("new")))))))
-    lines = own.select("key", F.col("to.window").alias("window"), F.when(F.col("to.new"), F.lit(2)).otherwise(F.lit(1)).alias("kind"), "t")
+    turn = ["conv", "at", "role", "raw", "tok"]
+    near = placed.select("key", "window", "start", *turn).join(after, ["key", "window"])
+    repeats = (F.col("end") - F.col("start") <= history) & F.col("next").isNotNull() & (F.col("role") != "system")
+    own = near.withColumn("copy", F.explode(F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    where = F.when(F.col("copy") == 0, F.col("window")).otherwise(F.col("next"))
+    lines = own.select("key", where.alias("window"), (F.lit(2) - F.col("copy")).alias("kind"), *turn)
     # the first system turn goes to every window after its own
-    first = placed.where((F.col("role") == "system") & (F.col("tok") <= system)).groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok", "window")).alias("s"))
-    systems = spans.select("key", F.col("window").alias("w"), "first_at").join(first, "key").where(F.col("first_at") > F.col("s.at")).where(F.col("w") != F.col("s.window"))
-    again = systems.select("key", F.col("w").alias("window"), F.lit(0).alias("kind"), F.struct("s.conv", "s.at", "s.role", "s.raw", "s.tok").alias("t"))
-    piece = F.concat(F.lit(OPEN), escape(F.col("t.role")), F.lit(CLOSE))
-    parts = lines.unionByName(again).select(
-        "key", "window", "kind", F.col("t.conv").alias("conv"), F.col("t.at").alias("at"), F.col("t.tok").alias("tok"), piece.alias("head"), escape(F.col("t.raw")).alias("body"),
-        ((F.col("kind") == 2) & (F.col("t.role") == TARGET_ROLE)).alias("target"),
+    first = placed.where((F.col("role") == "system") & (F.col("tok") <= system)).groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok", F.col("window").alias("own"))).alias("s")).select("key", "s.*")
+    again = spans.select("key", "window", "first_at").join(first, "key").where((F.col("first_at") > F.col("at")) & (F.col("window") != F.col("own")))
+    parts = lines.unionByName(again.select("key", "window", F.lit(0).alias("kind"), *turn)).select(
+        "key", "window", "kind", "conv", "at", "tok", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE)).alias("head"), escape(F.col("raw")).alias("body"),
+        ((F.col("kind") == 2) & (F.col("role") == TARGET_ROLE)).alias("target"),
     )
     order = Window.partitionBy("key", "window").orderBy("kind", "at").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("head") + F.length("body") + F.lit(len(END))
