@@ -10,6 +10,8 @@ that is not full.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -24,28 +26,75 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
 #: Pieces that wait for a place at one time.
 POOL = 128
 #: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class WordTokenizer:
-    """Ids of a whole text from a tokenizer that drops white space: words are encoded once and remembered."""
+    """Ids of a whole text from a tokenizer that drops white space and marks the end of a word.
+
+    Words never depend on one another, so each is encoded when it is first met.
+    New words of letters only go to the tokenizer together: each ends at its
+    first end-marked id. Others are put together from their runs of letters and
+    of other characters; those with an apostrophe are encoded on their own.
+    """
+
+    PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _letters(self, words: list[str]) -> None:
+        for start in range(0, len(words), 4096):
+            some = words[start : start + 4096]
+            ids = np.array(self._encode(" ".join(some)), dtype=np.uint32)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                parts = np.split(ids, cut[:-1])
+            else:
+                parts = [np.array(self._encode(w), dtype=np.uint32) for w in some]
+            self.known.update(zip(some, map(np.ndarray.tolist, parts)))
+
+    def _learn(self, new: set[str]) -> None:
+        known, letters, mixed = self.known, [], []
+        for w in new:
+            (letters if w.isalpha() and w.lower().isalpha() else mixed).append(w)
+        built, parts = [], set()
+        for w in mixed:
+            runs = self.PARTS.findall(w)
+            if "'" in w or "<|" in w or not all(not r[0].isalnum() or r[0].isdecimal() or (r.isalpha() and r.lower().isalpha()) for r in runs) or any(unicodedata.combining(c) for c in w):
+                known[w] = self._encode(w)
+            else:
+                built.append((w, runs))
+                parts.update(r for r in runs if r not in known)
+        self._letters(list(dict.fromkeys([*letters, *(r for r in parts if r.isalpha())])))
+        for r in parts:
+            if r not in known:
+                known[r] = self._encode(r)
+        for w, runs in built:
+            known[w] = list(chain.from_iterable(map(known.__getitem__, runs)))
 
     def __call__(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        # white space of this alphabet only: other blanks are left to the tokenizer
+        words = self.SPACE.split(text)
+        new = {w for w in words if w not in self.known}
         if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = e.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+            if len(self.known) > CACHE_WORDS:
+                self.known.clear()
+                new = set(words)
+            new.discard("")
+            self.known[""] = []
+            self._learn(new)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint32)
+
+    SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 class Packer:
