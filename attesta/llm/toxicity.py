@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.near_dedup import shingle_hashes
+
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Kinds of features: the whole word, its first 3 to 6 letters if it has more, its last 4 if it has more.
 PREFIXES, SUFFIX = (3, 4, 5, 6), 4
@@ -147,7 +149,7 @@ def _associated(here: np.ndarray, there: np.ndarray, rate: float) -> np.ndarray:
     here and there: the toxic and the other documents that have each feature.
     """
     rate = max(rate, 1e-6)
-    least = 2 * np.log(max(1, (here > 1).sum())) + 4
+    least = 2 * np.log(max(1, (here > 1).sum())) + 8
     p = here / np.maximum(here + there, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (here * np.log(p / rate) + np.where(there > 0, there * np.log((1 - p) / (1 - rate)), 0.0))
@@ -238,6 +240,25 @@ def _marginals_of(us: list[np.ndarray], model: Crf) -> list[np.ndarray]:
     return out
 
 
+def without_copies(texts: list[str], toxic: list[int], words: int = 5, keys: int = 4) -> tuple[list[str], list[int]]:
+    """Texts without the later ones of near copies, which would make their own words look associated.
+
+    A text goes if one of its least shingle hashes, under `keys` mixings, is an earlier text's.
+    """
+    seen: list[set[int]] = [set() for _ in range(keys)]
+    mult = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)[:keys]
+    kept: tuple[list[str], list[int]] = ([], [])
+    for t, y in zip(texts, toxic):
+        h = shingle_hashes(t, words)
+        least = [int(((h * m) ^ (h * m >> np.uint64(32))).min()) for m in mult] if len(h) else []
+        if not any(x in s for x, s in zip(least, seen)):
+            kept[0].append(t)
+            kept[1].append(y)
+        for x, s in zip(least, seen):
+            s.add(x)
+    return kept
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_other: int = SAMPLE_OTHER) -> Crf:
     """Fit on a bounded sample of labelled rows that are not held out, taken in hash order of their ids.
 
@@ -252,7 +273,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got.sort(key=lambda r: (r["_id"], r["t"]))
     toxic, texts = [r["_y"] for r in got], [r["t"] for r in got]
     del got
-    return fit(texts, toxic)
+    return fit(*without_copies(texts, toxic))
 
 
 # --- scoring -------------------------------------------------------------------------------------------------------
