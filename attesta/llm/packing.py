@@ -26,16 +26,17 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
 #: Pieces that wait for a place at one time.
 POOL = 128
 #: Words whose ids a task remembers.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 
 class WordTokenizer:
     """Ids of a whole text from a tokenizer that drops white space and marks the end of a word.
 
-    Words never depend on one another, so each is encoded when it is first met.
-    New words of letters only go to the tokenizer together: each ends at its
-    first end-marked id. Others are put together from their runs of letters and
-    of other characters; those with an apostrophe are encoded on their own.
+    Runs of letters and runs of other characters are encoded when they are
+    first met: new runs of letters go to the tokenizer together, and each ends
+    at its first end-marked id. In a text with apostrophes, control strings or
+    combining marks, where runs may depend on their neighbours, whole words
+    are encoded instead.
     """
 
     PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -43,7 +44,7 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -62,37 +63,40 @@ class WordTokenizer:
                 parts = [np.array(self._encode(w), dtype=np.uint32) for w in some]
             self.known.update(zip(some, map(np.ndarray.tolist, parts)))
 
-    def _learn(self, new: set[str]) -> None:
-        known, letters, mixed = self.known, [], []
-        for w in new:
-            (letters if w.isalpha() and w.lower().isalpha() else mixed).append(w)
-        built, parts = [], set()
-        for w in mixed:
-            runs = self.PARTS.findall(w)
-            if "'" in w or "<|" in w or not all(not r[0].isalnum() or r[0].isdecimal() or (r.isalpha() and r.lower().isalpha()) for r in runs) or any(unicodedata.combining(c) for c in w):
-                known[w] = self._encode(w)
-            else:
-                built.append((w, runs))
-                parts.update(r for r in runs if r not in known)
-        self._letters(list(dict.fromkeys([*letters, *(r for r in parts if r.isalpha())])))
-        for r in parts:
-            if r not in known:
-                known[r] = self._encode(r)
-        for w, runs in built:
-            known[w] = list(chain.from_iterable(map(known.__getitem__, runs)))
+    def _learn(self, new: set[str]) -> bool:
+        """Encode new runs; False if one may depend on its neighbours in the text."""
+        letters = [r for r in new if r.isalpha() and r.lower().isalpha()]
+        other = [r for r in new if not r.isalpha()]
+        if len(letters) + len(other) < len(new) or any(c.isalnum() and not c.isdecimal() or unicodedata.combining(c) for r in other for c in r):
+            return False
+        self._letters(letters)
+        for r in other:
+            self.known[r] = self._encode(r)
+        return True
 
     def __call__(self, text: str) -> np.ndarray:
-        # white space of this alphabet only: other blanks are left to the tokenizer
-        words = self.SPACE.split(text)
-        new = {w for w in words if w not in self.known}
+        if "'" in text or "<|" in text:
+            return self._by_word(text)
+        # the tokenizer lowers letters one by one; a capital sigma alone depends on its place in Python
+        runs = self.PARTS.findall(text if "Σ" in text else text.lower())
+        new = {r for r in set(runs) if r not in self.known}
         if new:
             if len(self.known) > CACHE_WORDS:
                 self.known.clear()
-                new = set(words)
-            new.discard("")
-            self.known[""] = []
-            self._learn(new)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint32)
+                new = set(runs)
+            if not self._learn(new):
+                return self._by_word(text)
+        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, runs)), np.uint32)
+
+    def _by_word(self, text: str) -> np.ndarray:
+        """Words between white space, each encoded on its own when it is first met."""
+        words, known = self.SPACE.split(text), self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = self._encode(w)
+        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
 
     SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
