@@ -12,6 +12,8 @@ from collections.abc import Callable
 import numpy as np
 
 Verify = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Pairs that are screened at once.
+SCREENED = 1 << 16
 #: (query, node) pairs that are worked on at once.
 FRONTIER = 1 << 21
 
@@ -42,10 +44,14 @@ class Labels:
 
 
 class Forest:
-    """The BK-trees of all shards; `shard` numbers the tree of each fingerprint."""
+    """The BK-trees of all shards; `shard` numbers the tree of each fingerprint.
 
-    def __init__(self, keys: np.ndarray, shard: np.ndarray, radius: int, verify: Verify | None = None):
-        self.keys, self.radius, self.verify = keys.astype(np.uint64), radius, verify
+    `verify` confirms pairs within the radius; `screen`, a cheaper condition
+    that every confirmed pair meets, goes before it.
+    """
+
+    def __init__(self, keys: np.ndarray, shard: np.ndarray, radius: int, verify: Verify | None = None, screen: Verify | None = None):
+        self.keys, self.radius, self.verify, self.screen = keys.astype(np.uint64), radius, verify, screen
         self.labels = Labels(len(keys))
         self.root = np.zeros(len(keys), dtype=np.int64)
         self._build(np.asarray(shard))
@@ -80,6 +86,12 @@ class Forest:
 
     def _link(self, a: np.ndarray, b: np.ndarray) -> None:
         """Join the sets of pairs within the radius; one pair of two sets is verified at a time."""
+        if self.screen is not None and len(a):
+            differ = self.labels.of[a] != self.labels.of[b]
+            a, b = a[differ], b[differ]
+            parts = [self.screen(a[s : s + SCREENED], b[s : s + SCREENED]) for s in range(0, len(a), SCREENED)]
+            passed = np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+            a, b = a[passed], b[passed]
         while len(a):
             x, y = self.labels.of[a], self.labels.of[b]
             differ = x != y

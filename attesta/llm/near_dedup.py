@@ -35,6 +35,8 @@ from attesta.llm.components import connected_components
 SEED = 42
 #: A tree never holds more than twice as many fingerprints.
 SHARD_CAP = 65_536
+#: 64-bit words of the bitmap that screens pairs of sketches.
+SCREEN_WORDS = 16
 #: Rows that a task gathers before it builds a forest.
 FOREST_ROWS = 200_000
 
@@ -113,7 +115,7 @@ def _pieces(shards: DataFrame, cap: int, spread: F.Column) -> DataFrame:
     )
 
 
-def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: Callable[[pa.Table], object] | None = None) -> DataFrame:
+def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: Callable[[pa.Table], tuple] | None = None) -> DataFrame:
     """Edges (u, v) of a spanning forest of the links found in each unit (t, key, i, j) of rows."""
 
     def edges(table: pa.Table) -> pa.RecordBatch:
@@ -123,7 +125,7 @@ def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: C
         for c in code:
             new[1:] |= c[1:] != c[:-1]
         ids = table.column("id").to_numpy()
-        forest = Forest(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), radius, verifier(table) if verifier else None)
+        forest = Forest(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), radius, *(verifier(table) if verifier else ()))
         of = forest.components()
         far = np.flatnonzero((of != np.arange(len(of))) & (ids[of] != ids))
         return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[of[far]])], ["u", "v"])
@@ -209,11 +211,30 @@ def _features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
     return picked.mapInArrow(work, "id long, fp long, keys array<long>, sketch binary")
 
 
-def _similar(sketch: int, threshold: float) -> Callable[[pa.Table], object]:
-    """Jaccard similarity of two texts' shingle sets from their least hashes; exact where both sets fit the sketch."""
+def _similar(sketch: int, threshold: float) -> Callable[[pa.Table], tuple]:
+    """Jaccard similarity of two texts' shingle sets from their least hashes; exact where both sets fit the sketch.
 
-    def of(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    With it goes a screen that no similar pair fails: a bit that one bitmap of
+    hashed sketch entries has and the other lacks stands for an entry that the
+    sketches do not share, and similar sketches have few of those.
+    """
+
+    def of(table: pa.Table) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
         column = table.column("sketch").combine_chunks()
+        sizes = np.zeros(len(column), dtype=np.int64)
+        maps = np.zeros((len(column), SCREEN_WORDS), dtype=np.uint64)
+        for k, entry in enumerate(column):
+            x = np.frombuffer(entry.as_py(), dtype=np.uint64)
+            sizes[k] = len(x)
+            bits = np.zeros(SCREEN_WORDS * 64, dtype=bool)
+            bits[x % np.uint64(SCREEN_WORDS * 64)] = True
+            maps[k] = np.packbits(bits).view(np.uint64)
+
+        def screen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+            # whole sets: of a union of low / threshold at most, a share of 1 - threshold is not shared
+            most = np.where(high < sketch, low * (1 / threshold - 1), sketch * (1 / threshold - threshold))
+            return np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64) <= most + 1e-6
 
         def pair(a: int, b: int) -> bool:
             x, y = (np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in (a, b))
@@ -227,7 +248,7 @@ def _similar(sketch: int, threshold: float) -> Callable[[pa.Table], object]:
                 kinds, shared = kinds[seen], shared[seen]
             return len(kinds) > 0 and shared.sum() >= threshold * len(kinds)
 
-        return lambda a, b: np.fromiter((pair(x, y) for x, y in zip(a, b)), bool, len(a))
+        return lambda a, b: np.fromiter((pair(x, y) for x, y in zip(a, b)), bool, len(a)), screen
 
     return of
 

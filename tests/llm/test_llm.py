@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,3 +284,18 @@ def test_pipeline_stages(spark):
         assert 0 < docs.count() <= (2 * n if name == "source_mix" else n)
         n = docs.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_screen_passes_every_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (4, 40, 200, 256, 300, 900):
+        base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        sets = [base]
+        for share in (0.02, 0.05, 0.1, 0.11, 0.2, 0.5):
+            cut = rng.random(len(base)) >= share
+            sets += [base[cut], np.unique(np.r_[base[cut], rng.integers(0, 1 << 63, (~cut).sum(), dtype=np.uint64)])]
+        table = pa.table({"sketch": [s[:256].tobytes() for s in sets]})
+        verify, screen = near_dedup._similar(256, 0.8)(table)
+        a, b = (x.ravel() for x in np.mgrid[: len(sets), : len(sets)])
+        alike = verify(a, b)
+        assert alike.any() and screen(a, b)[alike].all()
