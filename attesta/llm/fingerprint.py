@@ -26,6 +26,8 @@ RUN_WEIGHTS = (0.5, 1.0, 1.0)
 #: Radius of the search and bits of a block.
 RADIUS, BLOCK_BITS = 7, 32
 CACHE_WORDS = 400_000
+#: Weights are whole multiples of 1 / WEIGHT_UNIT, so votes do not depend on the order of terms.
+WEIGHT_UNIT = 1024
 #: Constants of the 64-bit mixing steps.
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -51,17 +53,30 @@ def fingerprint(text: str, known: WordHashes) -> bytes:
     one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     two = _mix(one[:-1] * MIX[0] + one[1:]) if len(one) > 1 else one[:0]
     three = _mix(two[:-1] * MIX[2] + one[2:]) if len(one) > 2 else one[:0]
-    votes, total = np.zeros(BITS), 0.0
-    for terms, run in zip((one, two, three), RUN_WEIGHTS):
-        kinds, counts = np.unique(terms, return_counts=True)
-        for count in np.unique(counts):
-            some, w = kinds[counts == count], run * (1.0 + np.log(count))
-            for start in range(0, len(some), 8192):
-                part = some[start : start + 8192]
-                full = np.stack([_mix(part * m + MIX[3]) for m in MIX], axis=1)
-                votes += w * np.unpackbits(full.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-            total += w * len(some)
-    return np.packbits(votes * 2 > total).tobytes()
+    terms, weights = [], []
+    for run_terms, run in zip((one, two, three), RUN_WEIGHTS):
+        kinds, counts = np.unique(run_terms, return_counts=True)
+        terms.append(kinds)
+        weights.append(np.rint(WEIGHT_UNIT * run * (1.0 + np.log(counts))).astype(np.int64))
+    some, w = np.concatenate(terms), np.concatenate(weights)
+    votes = np.zeros(BITS, dtype=np.int64)
+    for start in range(0, len(some), 8160):
+        part, pw = some[start : start + 8160], w[start : start + 8160]
+        full = np.stack([_mix(part * m + MIX[3]) for m in MIX], axis=1).view(np.uint8)
+        usual = pw == WEIGHT_UNIT
+        votes += WEIGHT_UNIT * _column_sums(np.unpackbits(full[usual], axis=1))
+        # whole numbers below 2**53: exact in any order
+        votes += (pw[~usual].astype(np.float64) @ np.unpackbits(full[~usual], axis=1).astype(np.float64)).astype(np.int64)
+    return np.packbits(votes * 2 > w.sum()).tobytes()
+
+
+def _column_sums(bits: np.ndarray) -> np.ndarray:
+    """Sums of the columns of a 0/1 matrix, 255 rows at a time in single bytes."""
+    whole = len(bits) // 255 * 255
+    sums = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    if whole:
+        sums += bits[:whole].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return sums
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -119,7 +134,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     own = F.struct(F.col("b").alias("range"), F.lit(False).alias("guest"))
     guest = F.when(F.col("id") == top, F.struct(above.alias("range"), F.lit(True).alias("guest")))
     dealt = rows.withColumn("b", spot).withColumn("s", F.explode(F.array_compact(F.array(own, guest)))).select("s.range", "s.guest", "id", "raw", "t")
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.col("id").desc(), "t")
+    dealt = dealt.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "guest", F.col("id").desc(), "t")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in schema.split(", ")]
