@@ -8,10 +8,10 @@ fingerprints fits one machine:
   that many blocks and their bits, so every such pair meets in some shard.
 * `near_groups` looks for texts of a given shingle similarity. There the
   radius is wide, so shards are keyed by bands of min-hashes, trees propose
-  pairs and shingle sketches confirm them.
+  pairs and the texts' whole shingle sets confirm them.
 
 A shard's fingerprints go to the task that builds its tree; shards over
-`shard_cap` are cut into pieces and every pair of pieces gets a tree, so memory
+`shard_cap` texts or PIECE_BYTES of sets are cut into pieces and every pair of pieces gets a tree, so memory
 is bounded and no pair is lost. Trees give forest edges, never all pairs.
 """
 
@@ -35,10 +35,12 @@ from attesta.llm.components import connected_components
 SEED = 42
 #: A tree never holds more than twice as many fingerprints.
 SHARD_CAP = 65_536
-#: 64-bit words of the bitmap that screens pairs of sketches.
+#: 64-bit words of the bitmap that screens pairs of sets.
 SCREEN_WORDS = 16
-#: Rows that a task gathers before it builds a forest.
-FOREST_ROWS = 200_000
+#: Bytes of shingle sets to a piece of a shard; a text with more is a piece that holds little else.
+PIECE_BYTES = 64 << 20
+#: Rows and bytes that a task gathers before it builds a forest.
+FOREST_ROWS, FOREST_BYTES = 200_000, 64 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -100,18 +102,24 @@ def block_count(n: int, radius: int, per_shard: int = 64, most: int = 4) -> int:
     return radius + most
 
 
-def _pieces(shards: DataFrame, cap: int, spread: F.Column) -> DataFrame:
-    """Add i, j: the pair of pieces of its shard that a row serves; (0, 0) where the shard is one piece."""
-    size = shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
-    many = size.where(F.col("n") > 1)
+def _pieces(shards: DataFrame, cap: int, spread: F.Column, size: F.Column | None = None) -> DataFrame:
+    """Add i, j: the pair of pieces of its shard that a row serves; (0, 0) where the shard is one piece.
+
+    `size` is the bytes that a row will bring, if they are to bound a piece too.
+    """
+    room = F.count(F.lit(1)) / F.lit(cap)
+    if size is not None:
+        room = F.greatest(room, F.sum(size) / F.lit(PIECE_BYTES))
+    sizes = shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.ceil(room).cast("int").alias("_s"))
+    many = sizes.where(F.col("n") > 1)
     cut = salted_join(shards, many, ["t", "key"], spread)
-    s = F.ceil(F.col("n") / F.lit(cap)).cast("int")
+    s = F.col("_s")
     own = F.pmod(F.xxhash64(spread), s).cast("int")
     other = F.explode(F.when(s > 1, F.sequence(F.lit(0), s - 1)).otherwise(F.array(F.lit(0))))
     return (
         cut.withColumn("_own", own).withColumn("_other", other)
         .withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other"))
-        .drop("_own", "_other", "n")
+        .drop("_own", "_other", "n", "_s")
     )
 
 
@@ -132,11 +140,12 @@ def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: C
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = held_bytes = 0
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows < FOREST_ROWS:
+            held_bytes += b.nbytes
+            if rows < FOREST_ROWS and held_bytes < FOREST_BYTES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             last = [table.column(c)[rows - 1].as_py() for c in ("t", "key", "i", "j")]
@@ -147,6 +156,7 @@ def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: C
             if cut:
                 yield edges(table.slice(0, cut).combine_chunks())
             held, rows = table.slice(cut).combine_chunks().to_batches(), rows - cut
+            held_bytes = sum(x.nbytes for x in held)
         if rows:
             yield edges(pa.Table.from_batches(held).combine_chunks())
 
@@ -181,8 +191,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # --- texts of a given shingle similarity ---------------------------------------------------------------------------
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int, sketch: int) -> DataFrame:
-    """(id, fp, keys array<long>, sketch binary) of every text that has words."""
+def _features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
+    """(id, fp, keys array<long>, sketch binary) of every text that has words; the sketch is its whole sorted set of shingle hashes."""
     rng = np.random.default_rng(SEED)
     mult = (rng.integers(1, 1 << 62, bands * rows, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -204,77 +214,76 @@ def _features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
                 out[0].append(i.as_py())
                 out[1].append(_signed(simhash(h)))
                 out[2].append([_signed(xxhash.xxh64_intdigest(x.tobytes(), k)) for k, x in enumerate(least.reshape(bands, rows))])
-                out[3].append(kinds[:sketch].tobytes())
+                out[3].append(kinds.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return picked.mapInArrow(work, "id long, fp long, keys array<long>, sketch binary")
 
 
-def _similar(sketch: int, threshold: float) -> Callable[[pa.Table], tuple]:
-    """Jaccard similarity of two texts' shingle sets from their least hashes; exact where both sets fit the sketch.
+def _similar(mapped: int, threshold: float) -> Callable[[pa.Table], tuple]:
+    """Whether the Jaccard similarity of two texts' whole shingle sets is the threshold or more, decided exactly.
 
-    With it goes a screen that no similar pair fails: a bit that one bitmap of
-    hashed sketch entries has and the other lacks stands for an entry that the
-    sketches do not share, and similar sketches have few of those.
+    With it goes a screen that no similar pair fails: by sizes, and where both
+    sets have up to `mapped` hashes (beyond, bitmaps are too full to tell) by
+    bitmaps of the parity of their hashes, which differ in no more bits than
+    the sets in elements.
     """
 
     def of(table: pa.Table) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]]:
         column = table.column("sketch").combine_chunks()
         sizes = np.zeros(len(column), dtype=np.int64)
         maps = np.zeros((len(column), SCREEN_WORDS), dtype=np.uint64)
-        for k, entry in enumerate(column):
-            x = np.frombuffer(entry.as_py(), dtype=np.uint64)
+
+        def kinds(k: int) -> np.ndarray:
+            return np.frombuffer(column[k].as_buffer(), dtype=np.uint64)
+
+        for k in range(len(column)):
+            x = kinds(k)
             sizes[k] = len(x)
-            bits = np.zeros(SCREEN_WORDS * 64, dtype=bool)
-            bits[x % np.uint64(SCREEN_WORDS * 64)] = True
-            maps[k] = np.packbits(bits).view(np.uint64)
+            if len(x) <= mapped:
+                bits = np.bincount((x % np.uint64(SCREEN_WORDS * 64)).view(np.int64), minlength=SCREEN_WORDS * 64) & 1
+                maps[k] = np.packbits(bits.astype(bool)).view(np.uint64)
 
         def screen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            # whole sets: of a union of low / threshold at most, a share of 1 - threshold is not shared
-            most = np.where(high < sketch, low * (1 / threshold - 1), sketch * (1 / threshold - threshold))
-            return np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64) <= most + 1e-6
+            # of a union of low / threshold at most, a share of 1 - threshold is not shared
+            near = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64) <= low * (1 / threshold - 1) + 1e-6
+            return (low >= threshold * high - 1e-6) & (near | (high > mapped))
 
         def pair(a: int, b: int) -> bool:
-            x, y = (np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in (a, b))
+            x, y = kinds(a), kinds(b)
             both = np.sort(np.concatenate([x, y]), kind="stable")
-            twice = np.r_[both[1:] == both[:-1], False]
-            first = np.r_[True, both[1:] != both[:-1]]
-            kinds, shared = both[first], twice[first]
-            if len(x) >= sketch or len(y) >= sketch:
-                top = min(x[-1] if len(x) >= sketch else kinds[-1], y[-1] if len(y) >= sketch else kinds[-1])
-                seen = kinds <= top  # within both sketches' reach
-                kinds, shared = kinds[seen], shared[seen]
-            return len(kinds) > 0 and shared.sum() >= threshold * len(kinds)
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            return len(both) > 0 and shared >= threshold * (len(both) - shared)
 
-        return lambda a, b: np.fromiter((pair(x, y) for x, y in zip(a, b)), bool, len(a)), screen
+        return lambda a, b: np.fromiter((pair(int(x), int(y)) for x, y in zip(a, b)), bool, len(a)), screen
 
     return of
 
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,
-    radius: int | None = None, bands: int = 10, rows: int = 3, sketch: int = 256, shard_cap: int = 32_768,
+    radius: int | None = None, bands: int = 10, rows: int = 3, mapped: int = 1024, shard_cap: int = 32_768,
 ) -> DataFrame:
     """(node, component) of every text that is linked to another; component is the group's smallest id.
 
     Two texts are linked if the Jaccard similarity of their sets of `words`-word
     shingles is `threshold` or more. Candidates share a band of `rows` min-hashes
     and lie within `radius` differing SimHash bits (default: the mean at the
-    threshold and three standard deviations). Similarity is exact for texts of
-    fewer than `sketch` different shingles and estimated from the least hashes
-    beyond. Texts without words are linked to nothing. With bands=10, rows=3 a
+    threshold and three standard deviations); each is decided by the exact
+    similarity of the whole sets, which travel with the shards' rows, for texts
+    that share a band only. Texts without words are linked to nothing. With bands=10, rows=3 a
     pair at the threshold shares a band with probability 0.999.
     """
     if radius is None:
         turn = math.acos(2 * threshold / (1 + threshold)) / math.pi
         radius = math.ceil(64 * turn + 3 * math.sqrt(64 * turn * (1 - turn)))
-    feats, _ = materialize(_features(docs, id_col, text_col, words, bands, rows, sketch), "features")
-    shards = feats.select("id", F.posexplode("keys").alias("t", "key"))
-    units = _pieces(shards, shard_cap, F.col("id"))
+    feats, _ = materialize(_features(docs, id_col, text_col, words, bands, rows), "features")
+    shards = feats.select("id", F.octet_length("sketch").cast("long").alias("bytes"), F.posexplode("keys").alias("t", "key"))
+    units = _pieces(shards, shard_cap, F.col("id"), F.col("bytes")).drop("bytes")
     filled = salted_join(units, feats.select("id", "fp", "sketch"), ["id"], F.col("t"), 1)
-    links = _forest_edges(filled, radius, ["id", "fp", "sketch"], _similar(sketch, threshold))
+    links = _forest_edges(filled, radius, ["id", "fp", "sketch"], _similar(mapped, threshold))
     return connected_components(links)
 
 

@@ -299,3 +299,18 @@ def test_screen_passes_every_similar_pair():
         a, b = (x.ravel() for x in np.mgrid[: len(sets), : len(sets)])
         alike = verify(a, b)
         assert alike.any() and screen(a, b)[alike].all()
+
+
+def test_near_dedup_of_long_texts_is_exact(spark):
+    """Pairs of 600 to 1,600 shingles just above and just below the threshold."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(24):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(600, 1600))]
+        similarity = 0.805 if k % 2 else 0.79
+        cut = round(len(w) * 2 * similarity / (1 + similarity))  # the words after it are replaced
+        texts += [" ".join(w), " ".join(w[:cut] + [f"x{rng.randrange(10**6)}" for _ in w[cut:]])]
+    sets = [set(near_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    keep = [i for i, s in enumerate(sets) if not any(len(s & o) >= 0.8 * len(s | o) for o in sets[:i])]
+    assert len(keep) == 36
+    assert sorted(r.doc_id for r in near_dedup.drop_near(make(spark, texts)).collect()) == keep
