@@ -314,3 +314,16 @@ def test_near_dedup_of_long_texts_is_exact(spark):
     keep = [i for i, s in enumerate(sets) if not any(len(s & o) >= 0.8 * len(s | o) for o in sets[:i])]
     assert len(keep) == 36
     assert sorted(r.doc_id for r in near_dedup.drop_near(make(spark, texts)).collect()) == keep
+
+
+def test_near_dedup_ignores_repeats(spark):
+    """Near copies stay near copies however often one of them repeats a line."""
+    rng = random.Random(12)
+    texts = []
+    for times in (1, 10, 20, 60, 200):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(304)]
+        texts += [" ".join(w), " ".join(w + w[:6] * times)]
+    sets = [set(near_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    keep = [i for i, s in enumerate(sets) if not any(len(s & o) >= 0.8 * len(s | o) for o in sets[:i])]
+    assert keep == [0, 2, 4, 6, 8]
+    assert sorted(r.doc_id for r in near_dedup.drop_near(make(spark, texts)).collect()) == keep
