@@ -41,6 +41,8 @@ IMPLIED = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
 }
+#: Start tags that leave an open head open; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements that an end tag of a formatting element does not close.
 SCOPE = frozenset("table td th caption html template button object".split())
 
@@ -86,7 +88,10 @@ def parse(html: str) -> Node:
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(unescape(s) if "&" in s else s)
+            s = unescape(s) if "&" in s else s
+            if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                stack.pop()
+            stack[-1].children.append(s)
 
     while m := TAG.search(html, at):
         text(html[at : m.start()])
@@ -111,6 +116,8 @@ def parse(html: str) -> Node:
                     if stack[i].tag in stop or (name not in ("table", "body", "html") and stack[i].tag == "table"):
                         break
             continue
+        if stack[-1].tag == "head" and name not in IN_HEAD:
+            stack.pop()
         if name in ENDS_P:
             end({"p"}, SCOPE)
         if name in IMPLIED:

@@ -327,3 +327,10 @@ def test_near_dedup_ignores_repeats(spark):
     keep = [i for i, s in enumerate(sets) if not any(len(s & o) >= 0.8 * len(s | o) for o in sets[:i])]
     assert keep == [0, 2, 4, 6, 8]
     assert sorted(r.doc_id for r in near_dedup.drop_near(make(spark, texts)).collect()) == keep
+
+
+def test_html_head_without_end_tag():
+    assert html_text.page_text("<html><head><title>T</title><p>Hello") == "Hello"
+    assert html_text.page_text("<head><meta charset=utf-8><style>s</style> <script>x</script>\n Hello <b>you</b>") == "Hello you"
+    assert html_text.page_text("<head><title>T</title><link rel=a><noscript>n</noscript></head><body>x") == "x"
+    assert html_text.page_text("<head> <title>T</title>") == ""
