@@ -29,9 +29,9 @@ LEAST_BYTES = 100
 FILE_RECORDS = 2_000
 
 
-def _record_id(id_: Column) -> Column:
-    """A urn:uuid that depends on the id only."""
-    h = F.md5(F.concat(F.lit("record:"), id_.cast("string")))
+def _record_id(id_: Column, digest: Column) -> Column:
+    """A urn:uuid that depends on the id, which may be null, and the payload's digest only."""
+    h = F.md5(F.concat(F.lit("record:"), F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), digest))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -53,6 +53,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write deduplicated archives, one record per row, as gzip files under path.
 
     A null payload is written as an empty one and a null URL as an empty URI.
+    A row with a null id is a response of its own, with an empty X-Page-Id.
     Line breaks in a URL are percent-encoded. An empty table gives archives
     without records; other columns are ignored.
     """
@@ -71,9 +72,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     head = F.concat(
         F.lit(VERSION + CRLF), line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", _record_id(F.col("id"))), line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", url),
+        line("WARC-Record-ID", _record_id(F.col("id"), F.col("digest"))), line("WARC-Date", F.lit(DATE)), line("WARC-Target-URI", url),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), line("X-Page-Id", F.coalesce(F.col("id").cast("string"), F.lit(""))),
-        F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("original"))), line("X-Refers-To-Page-Id", F.col("original").cast("string")))).otherwise(F.lit("")),
+        F.when(again, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("original"), F.col("digest"))), line("X-Refers-To-Page-Id", F.col("original").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html")), line("Content-Length", F.octet_length(body).cast("string")), F.lit(CRLF), body,
     )
     decided.select(head.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)

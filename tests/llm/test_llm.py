@@ -334,3 +334,15 @@ def test_html_head_without_end_tag():
     assert html_text.page_text("<head><meta charset=utf-8><style>s</style> <script>x</script>\n Hello <b>you</b>") == "Hello you"
     assert html_text.page_text("<head><title>T</title><link rel=a><noscript>n</noscript></head><body>x") == "x"
     assert html_text.page_text("<head> <title>T</title>") == ""
+
+
+def test_warc_null_and_repeated_ids(spark):
+    big = "<p>page</p>" * 20
+    rows = [(None, "u", big), (None, None, "short"), (None, "u", None), (7, "u", big), (7, "u", big + "2"), (7, "v", "short"), (8, "u", big)]
+    path = fresh_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    records = warc.read_archives(spark, path)
+    assert records.select("record_id").distinct().count() == len(rows)
+    got = collections.Counter(tuple(r) for r in warc.resolved(records).collect())
+    kind = lambda i, html: ("revisit", 7) if i == 8 else ("response", None)
+    assert got == collections.Counter((i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *kind(i, h)) for i, _, h in rows)
