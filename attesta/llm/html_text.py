@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object video audio canvas svg math datalist noembed noframes select option title".split())
+HIDDEN = frozenset("head script style template noscript iframe object video audio canvas datalist noembed noframes title".split())
+#: Descendants of svg and math that are not drawn.
+UNDRAWN = frozenset("defs desc metadata symbol clippath annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
@@ -124,6 +126,8 @@ def parse(html: str) -> Node:
             end(*IMPLIED[name])
         node = Node(name, _attributes(m[3]) if m[3].strip(" /\n\t\r") else {})
         stack[-1].children.append(node)
+        if m[3].endswith("/") and (name in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)):
+            continue  # foreign elements may be closed by their start tags
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
             body = html[at : close.start() if close else len(html)]
@@ -226,6 +230,33 @@ def _table(node: Node) -> list[str]:
     return out
 
 
+def _shown_options(node: Node) -> str:
+    """What a select shows: all options of a list box, else the last selected or the first one."""
+    options, todo = [], list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str) or not visible(c):
+            continue
+        if c.tag == "option":
+            options.append(c)
+        else:
+            todo += reversed(c.children)
+    size = node.attrs.get("size", "1")
+    if "multiple" not in node.attrs and not (size.isascii() and size.isdigit() and int(size) > 1):
+        options = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
+    return " ".join(o.attrs.get("label") or " ".join(lines_of(o.children)) for o in options)
+
+
+def _field_text(c: Node) -> str | None:
+    """The text of an image or form field that has no shown children, else None."""
+    if c.tag == "img":
+        return c.attrs.get("alt", "")
+    if c.tag == "input":
+        shown = c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and c.attrs.get("value")
+        return f" {shown} " if shown else ""
+    return f" {_shown_options(c)} " if c.tag == "select" else None
+
+
 def _render(children: list, sheet: Sheet, pre: bool = False) -> None:
     """Emit children; nested elements are kept on a stack of their own, so depth is not bounded by Python's."""
     work: list = [(iter(children), None, None)]
@@ -257,12 +288,13 @@ def _render(children: list, sheet: Sheet, pre: bool = False) -> None:
             sheet.blank_line()
             sheet.put(["---"])
             sheet.blank_line()
-        elif tag == "img":
-            if c.attrs.get("alt"):
-                sheet.inline(c.attrs["alt"])
-        elif tag == "input":
-            if c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and c.attrs.get("value"):
-                sheet.inline(" " + c.attrs["value"] + " ")
+        elif (field := _field_text(c)) is not None:
+            sheet.inline(field)
+        elif tag in UNDRAWN and any(n in ("svg", "math") for _, n, _ in work):
+            pass
+        elif tag == "text" and any(n == "svg" for _, n, _ in work):
+            sheet.inline(" ")
+            work.append((iter([*c.children, " "]), tag, None))
         elif tag == "table":
             sheet.blank_line()
             sheet.put(_table(c))
@@ -318,14 +350,25 @@ _depth = [0]
 def lines_of(children: list, inside: str | None = None) -> list[str]:
     sheet = Sheet()
     if _depth[0] >= DEEPEST:
-        flat, todo = [], list(reversed(children))
+        todo: list = [(c, False) for c in reversed(children)]
         while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                flat.append(c)
-            elif visible(c):
-                todo += [" ", *reversed(c.children), " "]
-        sheet.inline("".join(flat))
+            c, foreign = todo.pop()
+            if c is None:
+                sheet.line_end()
+            elif isinstance(c, str):
+                sheet.inline(c)
+            elif not visible(c) or (foreign and c.tag in UNDRAWN):
+                continue
+            elif c.tag == "br":
+                sheet.line_end(force=True)
+            elif c.tag == "hr":
+                sheet.put(["---"])
+            elif (field := _field_text(c)) is not None:
+                sheet.inline(field)
+            else:
+                foreign = foreign or c.tag in ("svg", "math")
+                edge = None if c.tag in BLOCK else " " if c.tag == "text" and foreign else ""
+                todo += [(edge, foreign), *((x, foreign) for x in reversed(c.children)), (edge, foreign)]
         sheet.line_end()
         return sheet.lines
     _depth[0] += 1

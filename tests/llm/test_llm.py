@@ -346,3 +346,13 @@ def test_warc_null_and_repeated_ids(spark):
     got = collections.Counter(tuple(r) for r in warc.resolved(records).collect())
     kind = lambda i, html: ("revisit", 7) if i == 8 else ("response", None)
     assert got == collections.Counter((i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *kind(i, h)) for i, _, h in rows)
+
+
+def test_html_fields_formulas_and_diagrams():
+    assert html_text.page_text("a<select><option>one<option selected>two<option>three</select>b") == "a two b"
+    assert html_text.page_text("<select><optgroup><option>one<option>two</select>") == "one"
+    assert html_text.page_text("<select multiple><option>one<option>two</select>") == "one two"
+    assert html_text.page_text("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>") == "x=1"
+    assert html_text.page_text("<svg><defs/><title>no</title><text>up</text><path d='a'/><text>down</text><desc>no</desc></svg>z") == "up down z"
+    deep = html_text.page_text("<ul><li>" * 70 + "a<br>b<hr><img alt=c><input value=d><p>e</p><select><option>f</select><svg><desc>no</desc><text>g</text></svg>")
+    assert [x.strip() for x in deep.split("\n")[-5:]] == ["b", "---", "c d", "e", "f g"]
