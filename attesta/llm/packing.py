@@ -14,7 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,83 +22,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 16, 4096
 #: Pieces that wait for a place at one time.
 POOL = 128
-#: Words whose ids a task remembers.
-CACHE_WORDS = 300_000
+#: Documents that are encoded together.
+STEP = 500
+#: Words and runs of letters whose ids a worker remembers; when so many are held, those not met since go.
+CACHE_WORDS, CACHE_RUNS = 1_000_000, 600_000
+
+
+class Remembered:
+    """A mapping with a bound: half of `most` entries are in use; then they are set aside and only what is met again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most // 2, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those keys that are not known; known ones are in `now` afterwards."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        unknown = keys.difference(self.now)
+        out = []
+        for k in unknown:
+            if (ids := self.before.get(k)) is None:
+                out.append(k)
+            else:
+                self.now[k] = ids
+        return out
 
 
 class WordTokenizer:
-    """Ids of a whole text from a tokenizer that drops white space and marks the end of a word.
-
-    Runs of letters and runs of other characters are encoded when they are
-    first met: new runs of letters go to the tokenizer together, and each ends
-    at its first end-marked id. In a text with apostrophes, control strings or
-    combining marks, where runs may depend on their neighbours, whole words
-    are encoded instead.
+    """Ids of whole texts from a tokenizer that drops white space and marks the end of a word.
+
+    Words between white space are encoded when they are first met. A word is
+    the ids of its runs of letters and of other characters; new runs of letters
+    of many texts go to the tokenizer together, and each ends at its first
+    end-marked id. Words with apostrophes, control strings or combining marks,
+    whose runs may depend on their neighbours, are encoded whole. Ids are held
+    as bytes, so that a text is one join.
     """
 
     PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+")
+    SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.runs = Remembered(CACHE_WORDS), Remembered(CACHE_RUNS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _letters(self, words: list[str]) -> None:
-        for start in range(0, len(words), 4096):
-            some = words[start : start + 4096]
-            ids = np.array(self._encode(" ".join(some)), dtype=np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                parts = np.split(ids, cut[:-1])
+        spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+        #: What Python takes for white space and the tokenizer does not.
+        self.odd = [c for c in spaces if self._encode(f"a{c}b") != self._encode("a b")]
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32).tobytes()
+
+    def _letters(self, runs: list[str]) -> None:
+        for start in range(0, len(runs), 4096):
+            some = runs[start : start + 4096]
+            raw = self._encode(" ".join(some))
+            cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, dtype=np.uint32)]) + 1)).tolist()
+            if len(cut) == len(some) and cut[-1] == len(raw):
+                self.runs.now.update(zip(some, (raw[a:b] for a, b in zip([0, *cut], cut))))
             else:
-                parts = [np.array(self._encode(w), dtype=np.uint32) for w in some]
-            self.known.update(zip(some, map(np.ndarray.tolist, parts)))
-
-    def _learn(self, new: set[str]) -> bool:
-        """Encode new runs; False if one may depend on its neighbours in the text."""
-        letters = [r for r in new if r.isalpha() and r.lower().isalpha()]
-        other = [r for r in new if not r.isalpha()]
-        if len(letters) + len(other) < len(new) or any(c.isalnum() and not c.isdecimal() or unicodedata.combining(c) for r in other for c in r):
-            return False
-        self._letters(letters)
-        for r in other:
-            self.known[r] = self._encode(r)
-        return True
+                self.runs.now.update((w, self._encode(w)) for w in some)
+
+    def _parts(self, word: str) -> list[str] | None:
+        """The runs of a word, or None if one may depend on its neighbours."""
+        if word.isalpha():  # the tokenizer lowers letters one by one; a capital sigma alone depends on its place in Python
+            low = word.lower()
+            return [low] if word.isascii() or (low.isalpha() and "Σ" not in word) else None
+        if "'" in word or "<|" in word or "Σ" in word:
+            return None
+        runs = self.PARTS.findall(word.lower())
+        for r in runs:
+            if not r.isalpha() and not r.isascii() and any(c.isalnum() and not c.isdecimal() or unicodedata.combining(c) for c in r):
+                return None
+        return runs
+
+    def _learn(self, new: list[str]) -> None:
+        parts = {w: self._parts(w) for w in new}
+        unknown = self.runs.missing({r for p in parts.values() if p for r in p})
+        self._letters([r for r in unknown if r.isalpha()])
+        known = self.runs.now
+        known.update((r, self._encode(r)) for r in unknown if not r.isalpha())
+        self.words.now.update((w, b"".join([known[r] for r in p]) if p is not None else self._encode(w)) for w, p in parts.items())
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; what is new in them is encoded together."""
+        split = [self.SPACE.split(t) if any(c in t for c in self.odd) else t.split() for t in texts]
+        out: list[np.ndarray] = []
+        start = 0
+        while start < len(split):  # a step holds at most a quarter of the cache's words, or one text
+            stop, held = start + 1, len(split[start])
+            while stop < len(split) and held + len(split[stop]) <= self.words.most // 4:
+                held += len(split[stop])
+                stop += 1
+            if new := self.words.missing(set().union(*split[start:stop])):
+                self._learn(new)
+            get = self.words.now.__getitem__
+            out += [np.frombuffer(b"".join(map(get, ws)), dtype=np.uint32) for ws in split[start:stop]]
+            start = stop
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
-        if "'" in text or "<|" in text:
-            return self._by_word(text)
-        # the tokenizer lowers letters one by one; a capital sigma alone depends on its place in Python
-        runs = self.PARTS.findall(text if "Σ" in text else text.lower())
-        new = {r for r in set(runs) if r not in self.known}
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = set(runs)
-            if not self._learn(new):
-                return self._by_word(text)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, runs)), np.uint32)
-
-    def _by_word(self, text: str) -> np.ndarray:
-        """Words between white space, each encoded on its own when it is first met."""
-        words, known = self.SPACE.split(text), self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = self._encode(w)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+        return self.many([text])[0]
 
-    SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+
+@lru_cache(4)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a file, one for all tasks of a worker, so that words stay known."""
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -176,7 +213,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
-    `tokens` makes, in each task, the function from a text to its ids; end_id
+    `tokens` makes, in each task, the function from a text to its ids (if it
+    has a method `many`, that one is called with lists of texts); end_id
     follows each text. `prompt_col` counts the leading ids that bear no loss
     (none by default). A null text counts as empty and is one end_id; repeated
     rows are packed once each; every id lies in exactly one piece, and offsets
@@ -190,13 +228,15 @@ def pack(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, base = tokens(), TaskContext.get().partitionId() << 40
+        many = getattr(encode, "many", lambda texts: list(map(encode, texts)))
         packer, held = Packer(limits, cut), {}
+        end = np.array([end_id], dtype=np.uint32)
 
         def rows(pieces: Iterator[tuple]) -> list[tuple]:
             out = []
             for key, start, length, sequence, offset in pieces:
                 doc, ids, left, loss_start = held[key]
-                crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
+                crc = zlib.crc32(ids[start : start + length])
                 loss = max(0, start + length - max(start, loss_start))
                 out.append((doc, start, length, crc, len(ids), base + sequence, offset, loss))
                 if left == length:
@@ -209,16 +249,18 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names)
 
         count = 0
-        for b in batches:
-            found: list[tuple] = []
-            for doc, text, prompt in zip(b.column(0), b.column(1), b.column(2)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
-                loss_start = prompt.as_py() or 0
-                held[count] = (doc.as_py(), ids, len(ids), loss_start)
-                found += rows(packer.add(count, len(ids), loss_start))
-                count += 1
-            if found:
-                yield batch(found)
+        for whole in batches:
+            for first in range(0, whole.num_rows, STEP):
+                b = whole.slice(first, STEP)
+                found: list[tuple] = []
+                for doc, ids, prompt in zip(b.column(0).to_pylist(), many([t or "" for t in b.column(1).to_pylist()]), b.column(2).to_pylist()):
+                    ids = np.concatenate([ids.astype("<u4", copy=False), end])
+                    loss_start = prompt or 0
+                    held[count] = (doc, ids, len(ids), loss_start)
+                    found += rows(packer.add(count, len(ids), loss_start))
+                    count += 1
+                if found:
+                    yield batch(found)
         if found := rows(packer.rest()):
             yield batch(found)
 

@@ -63,7 +63,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.WordTokenizer(path))
+    return packing.pack(read(spark, sf_dir, "documents"), lambda: packing.word_tokenizer(path))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

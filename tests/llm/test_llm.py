@@ -222,7 +222,7 @@ def test_packing(spark, texts):
         for s in sequences.values():
             s.sort(key=lambda r: r.offset)
             assert [r.offset for r in s] == np.cumsum([0, *[r.length for r in s]])[:-1].tolist()
-            assert sum(r.length for r in s) <= limits.get("max_tokens", 4096) and len(s) <= limits.get("max_segments", 256) and sum(r.loss_tokens for r in s) <= limits.get("max_loss", 4096)
+            assert sum(r.length for r in s) <= limits.get("max_tokens", 4096) and len(s) <= limits.get("max_segments", 16) and sum(r.loss_tokens for r in s) <= limits.get("max_loss", 4096)
 
 
 def test_mixing(spark, texts):
@@ -356,3 +356,44 @@ def test_html_fields_formulas_and_diagrams():
     assert html_text.page_text("<svg><defs/><title>no</title><text>up</text><path d='a'/><text>down</text><desc>no</desc></svg>z") == "up down z"
     deep = html_text.page_text("<ul><li>" * 70 + "a<br>b<hr><img alt=c><input value=d><p>e</p><select><option>f</select><svg><desc>no</desc><text>g</text></svg>")
     assert [x.strip() for x in deep.split("\n")[-5:]] == ["b", "---", "c d", "e", "f g"]
+
+
+def test_packing_with_prompts_and_without_cuts(spark):
+    """All three limits bind: prompts bear no loss, and examples that may not be cut stay whole."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([1, 2, 3, 40, 60]))), rng.choice([None, 0, 5, 1000])) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (5, rows[5][1], rows[5][2]), (None, None, None)], "doc_id long, text string, p long").coalesce(1)
+    make_ids = lambda: lambda text: np.arange(len(text.split()), dtype=np.uint32)
+    limits = {"max_tokens": 120, "max_segments": 6, "max_loss": 90}
+    for cut in (False, True):
+        got = packing.pack(docs, make_ids, prompt_col="p", cut=cut, **limits).collect()
+        sequences = collections.defaultdict(list)
+        for r in got:
+            sequences[r.sequence_id].append(r)
+        bound = collections.Counter()
+        for s in sequences.values():
+            total = (sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s))
+            assert total <= (120, 6, 90) and total[1] <= 6 and total[2] <= 90
+            bound.update(k for k, (x, m) in enumerate(zip(total, (120, 6, 90))) if x == m)
+        assert bound[1] and (not cut or bound[0] and bound[2])
+        lengths = {i: (len(t.split()) + 1, p or 0) for i, t, p in rows} | {None: (1, 0)}
+        pieces = collections.defaultdict(list)
+        for r in got:
+            pieces[r.doc_id].append(r)
+            n, p = lengths[r.doc_id]
+            assert r.doc_tokens == n and r.loss_tokens == max(0, r.start + r.length - max(r.start, p))
+            assert cut or (r.start, r.length) == (0, n)
+        assert {i: sum(r.length for r in x) for i, x in pieces.items()} == {i: n * (2 if i == 5 else 1) for i, (n, _) in lengths.items()}
+    with pytest.raises(Exception, match="may not be cut"):
+        packing.pack(docs, make_ids, cut=False, max_tokens=30).collect()
+    assert packing.pack(docs.limit(0), make_ids).count() == 0
+
+
+def test_tokenizer_equals_the_library_on_odd_strings():
+    rng, path = random.Random(1), tokenizer_path("word_bpe_49k.json")
+    signs = "aAzZéÉßİıΣσςǅ'’-_.,<|>1٣²½ \t\n\x0b\x0c\x1c\x1f\x85\xa0 　́̇가가ｆ\U0001d400\U0001f600ꙮ中"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(4000)] + ["<|endoftext|>x", "don't 're 'LL", ""]
+    mine = packing.WordTokenizer(path)
+    mine.words.most, mine.runs.most = 500, 300  # what is set aside comes back right
+    got = [i for start in range(0, len(texts), 100) for i in mine.many(texts[start : start + 100])]
+    assert [x.tolist() for x in got] == [mine.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
