@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
     path = tokenizer_path("word_bpe_49k.json")
-    return packing.pack(docs, lambda: packing.WordTokenizer(path))
+    return packing.pack(docs, lambda: packing.word_tokenizer(path))
 
 
 STAGES = [
