@@ -33,10 +33,22 @@ LATIN_TOKENS = [
 # Letters that recognition swaps for one another.
 CONFUSION_GROUPS = ["НПИЙ", "АЛД", "БВЬ", "ОСЭФ", "ЕСЁ", "КҚХҲ", "ГҒТР", "ЧҶУӮ", "ШЩЦ", "ИӢ", "ЗЭВ", "ЖК", "МН", "ЛП", "РЯҒ"]
 MARITAL = ["SINGLE", "MARRIED", "DIVORCED", "WIDOWED"]
-LABEL_WORDS = (
-    "surname given names name fathers father sex nationality citizenship date of birth place issue expiry document id no number national "
-    "authority address marital status blood group and rh factor holder signature tax payer republic tajikistan identity card"
-).split()
+# Words of English labels.
+LABEL_WORDS = [
+    "surname", "given", "names", "name", "fathers", "father", "sex", "nationality", "citizenship", "date", "of", "birth", "place", "issue",
+    "expiry", "document", "id", "no", "number", "national", "authority", "address", "marital", "status", "blood", "group", "and", "rh",
+    "factor", "holder", "signature", "tax", "payer", "republic", "tajikistan", "identity", "card",
+]
+# Spellings of the citizenship and of the sex that are accepted.
+CITIZENSHIPS = ["TJK", "TAJIKISTAN", "ТОҶИКИСТОН", "ТОЧИКИСТОН"]
+SEX_MALE, SEX_FEMALE = ["M", "М", "МУЖ", "MALE"], ["F", "Ж", "ЗАН", "FEMALE"]
+# Shapes of names in capitals, and what marks a line as a label instead.
+CYRILLIC_NAME = f"^[{CYRILLIC}]{{2,}}(?:[ '-][{CYRILLIC}]+)*\\z"
+LATIN_NAME = r"^[A-Z]{2,}(?:[ '-][A-Z]+)*\z"
+NAME_LABELS = (
+    r"НАСАБ|^НОМ\z|НОМИ|ПАДАР|ША[ҲХ]РВАНД|[ҶЧ]ИНС|ТАВАЛЛУД|МА[ҚК]ОМИ|НИШОН|ШИНОСНОМА|РА[ҚК]АМИ|SURNAME|FATHER|NATIONALITY|BIRTH|AUTHORITY|"
+    r"ADDRESS|DOCUMENT|ISSUE|EXPIRY|^NAME\z|^SEX\z"
+)
 NAME_FIELDS = ["surname", "givenNames", "fatherName"]
 FIELDS = [
     "surname", "givenNames", "fatherName", "sex", "birthDate", "birthPlace", "citizenship", "documentNumber", "nationalIdNumber",
@@ -77,3 +89,28 @@ FIELD_LABELS = {
     "documentNumber": [r"document(?: id)? no\.?", "ра[қк]ами? шиноснома"], "nationalIdNumber": ["national id", "ра[қк]ами ягона"], "issueDate": ["date of issue", "санаи додан"],
     "expiryDate": ["date of expiry", "му[ҳх]лати амал"],
 }
+# Capitals of the names in a card's text.
+CAPITALS = "А-ЯЁЎҚҒҲҶӢӮ"
+# Labels in a card's text, hooks kept or lost in recognition.
+SURNAME_LABEL, GIVEN_LABEL = "насаб|surname", "^ном/"
+FATHER_LABELS = [r"номи\s*па[а-яёa-z]{2,4}", r"father.?s?\s*name"]
+PLACE_LABELS = [r"[чцҷ]ои\s*таваллуд", r"place\s*of\s*birth"]
+NUMBER_LABELS = [r"ра[кқ]ами?\s*шиноснома", r"document\s*(id\s*)?(no|№)\.?"]
+CARD_MARKERS = ["шиноснома", r"identity\s*card", r"republic\s*of\s*tajikistan", "то[чц]икистон"]
+TEXT_LABEL_LINES = [
+    "насаб", "surname", r"номи\s*па[а-яёa-z]{2,4}", "father", "[чҷ]инс", "шаҳрванд", "таваллу", r"(?<![a-z0-9_])sex(?![a-z0-9_])", r"[чцҷ]ои\s*таваллуд",
+    r"place\s*of(\s*birth)?", r"ра[кқ]ами?\s*шиноснома", r"ра[кқ]ами\s*ягонаи", r"document\s*(id\s*)?(no|№)", "holder", "имзои", "ма[кқ]оми", "authority",
+    r"date\s*of\s*(birth|issue|expiry)", r"national\s*id", r"вазъи\s*оилав", r"marital\s*status", "гур[ӯу][хҳ]и", r"blood\s*group", "^ном/", "шиноснома",
+    r"identity\s*card", "то[чц]икистон", r"republic\s*of\s*tajikistan", r"(?<![a-z0-9_])[1i]d\s*number(?![a-z0-9_])", "нишон[иӣ]",
+    r"(?<![a-z0-9_])a?ddress(?![a-z0-9_])", r"father.?s?\s*name",
+]
+# Lines of a page that are labels and no values.
+LINE_LABELS = (
+    "surname|насаб|given names?|ном(?:и падар)?|father|sex|ҷинс|чинс|date of birth|таваллуд|place of birth|nationality|шаҳрванд|citizenship|document(?: id)? no|"
+    "рақами? шиноснома|id number|national id|authority|мақоми|address|нишон[иӣ]|date of issue|date of expiry|marital|blood group"
+)
+# What a value may not hold, being a label's own text.
+VALUE_LABELS = (
+    r"насаб|surname|номи|падар|падap|napap|father|^номAB|^(name|мате|mate|nате|наме)\z|birth|таваллуд|санаи|document|рақами|раками|шиноснома|nationality|"
+    r"authority|мақоми|address|нишон|issue|expiry|place\s*of|^sex\z|чинс"
+)

@@ -84,7 +84,7 @@ def drop_single_letters(v: Column) -> Column:
 def normal_dates(v: Column) -> Column:
     """Dates written with blanks or commas, and days that begin with a misread 0."""
     v = F.regexp_replace(v, r"(\d{1,2})\s*[.,]\s*(\d{1,2})\s*[.,]\s*(\d{4})", "$1.$2.$3")
-    return F.regexp_replace(v, rf"{AB}[4-9](\d)\.(\d{{1,2}})\.(\d{{4}})", "0$1.$2.$3")
+    return F.regexp_replace(v, rf"{AB}[4-9](\d)\.(\d{{2}})\.(\d{{4}}){AB}", "0$1.$2.$3")
 
 
 def same_name_key(v: Column) -> Column:
@@ -138,7 +138,7 @@ def validate_date(v: Column) -> Column:
 
 def validate_sex(v: Column) -> Column:
     c = F.upper(clean_value(v))
-    return F.when(c.isin("M", "М", "МУЖ", "MALE"), "M").when(c.isin("F", "Ж", "ЗАН", "FEMALE"), "F")
+    return F.when(c.isin(T.SEX_MALE), "M").when(c.isin(T.SEX_FEMALE), "F")
 
 
 def validate_document_number(v: Column) -> Column:
@@ -153,7 +153,7 @@ def validate_digits(v: Column) -> Column:
 
 def validate_citizenship(v: Column) -> Column:
     c = F.upper(clean_value(v))
-    return accept(c, c.isin("TJK", "TAJIKISTAN", "ТОҶИКИСТОН", "ТОЧИКИСТОН"))
+    return accept(c, c.isin(T.CITIZENSHIPS))
 
 
 def validate_text(v: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def grayscale(rgb: np.ndarray) -> np.ndarray:
@@ -89,6 +90,34 @@ def area(polygon: np.ndarray) -> float:
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
 
 
+def hull_by_key(points: DataFrame, key: str) -> DataFrame:
+    """(key, corners, area) of the convex hull of each key's points (key, x, y).
+
+    A hull's corners are among those of the hulls of its parts: each batch of
+    rows gives its keys' hulls, and only these are shuffled; they meet in two
+    steps, so that no key's points are ever one task's.
+    """
+    kind = points.schema[key].dataType.simpleString()
+
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: k}) for k, g in b.groupby(key)]
+            if parts:
+                yield pd.concat(parts)[[key, "x", "y"]]
+
+    def partial(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(hull(g[["x", "y"]].to_numpy()), columns=["x", "y"]).assign(**{key: k[0]})[[key, "x", "y"]]
+
+    def whole(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        h = hull(g[["x", "y"]].to_numpy())
+        return pd.DataFrame({key: [k[0]], "corners": [len(h)], "area": [round(area(h), 6)]})
+
+    schema = f"{key} {kind}, x double, y double"
+    some = points.select(key, "x", "y").where(F.col(key).isNotNull()).mapInPandas(corners, schema)
+    some = some.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(64))).groupBy(key, "part").applyInPandas(partial, schema)
+    return some.groupBy(key).applyInPandas(whole, f"{key} {kind}, corners long, area double")
+
+
 def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """The 3x3 map that carries four points of src to dst; a singular system is an error."""
     rows, rhs = [], []

@@ -55,7 +55,7 @@ def drop_shadows(lines: DataFrame, others: DataFrame, keys: list[str], margin: f
 
 def nearest_below(lines: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
     """Each line (a) with the nearest other line (b) below it: a left join, one row per line."""
-    h = F.col("a.y1") - F.col("a.y0")
+    h = F.greatest(F.lit(1.0), F.col("a.y1") - F.col("a.y0"))
     on = (F.col("b.y0") >= F.col("a.y1") - 0.4 * h) & (F.col("b.y0") <= F.col("a.y1") + 2 * h) & (_axis("a", "b", "x") >= 0.3)
     for k in keys:
         on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on

@@ -38,9 +38,10 @@ def first_read(reads: DataFrame, keys: list[str], floor: float) -> DataFrame:
     return _one(reads.where(F.col("value").isNotNull() & (F.col("confidence") >= floor)), keys, F.col("seq"))
 
 
-def distinct_reads(reads: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
-    """The first `most` different values in read order."""
-    first = reads.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.min("seq").alias("seq"), F.max("confidence").alias("confidence"))
+def distinct_reads(reads: DataFrame, keys: list[str], most: int = 2, first_confidence: bool = False) -> DataFrame:
+    """The first `most` different values in read order, with the largest confidence of their reads, or that of the first one."""
+    seen = F.min_by("confidence", "seq") if first_confidence else F.max("confidence")
+    first = reads.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(F.min("seq").alias("seq"), seen.alias("confidence"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))).where(F.col("place") <= most)
 
 
@@ -73,6 +74,18 @@ def wide(facts: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields])
 
 
+def missing_fields(docs: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
+    """(doc_id, field) of the fields that a document has no value for."""
+    every = docs.select("doc_id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
+    known = facts.where(F.coalesce(F.trim("value"), F.lit("")) != "").select("doc_id", "field")
+    return every.join(known, ["doc_id", "field"], "left_anti")
+
+
+def anything_known(facts: DataFrame) -> DataFrame:
+    """(doc_id, known): whether any field of a document is not blank."""
+    return facts.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.trim("value"), F.lit("")) != "").alias("known"))
+
+
 def latest_attempts(facts: DataFrame, keys: list[str], attempt: str) -> DataFrame:
     """Facts of the latest attempt only: results of superseded ones are dropped."""
     return facts.withColumn("_last", F.max(attempt).over(Window.partitionBy(*keys))).where(F.col(attempt) == F.col("_last")).drop("_last")

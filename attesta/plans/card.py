@@ -1,15 +1,21 @@
-"""Whole plans: machine-readable zones to facts, and the facts of both sides to one wide row per document."""
+"""Whole plans: machine-readable zones to facts, a side's sources to its facts, and both sides to one wide row per document."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions import mrz
+from attesta.functions import card_text, mrz
 from attesta.functions import tables as T
-from attesta.operators import names, votes
+from attesta.operators import layout, names, votes
+from attesta.plans import zones
 
 AS_OF_YEAR = 2024
+FACT = ["doc_id", "side", "field", "value", "confidence", "source"]
+#: Names that the machine-readable zone gives, by the field they belong to.
+MACHINE_NAMES = {"mrzSurname": "surname", "mrzGivenNames": "givenNames"}
 
 
 def mrz_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
@@ -18,17 +24,57 @@ def mrz_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
     return best.select("doc_id", F.explode(mrz.facts(F.col("best"), as_of_year)).alias("f")).select("doc_id", "f.*", F.lit("mrz").alias("source"))
 
 
-def side_facts(zones: DataFrame, machine: DataFrame, layout: DataFrame, text: DataFrame) -> DataFrame:
-    """One side's facts: validated zone and machine reads before guesses from layout and text, names apart."""
-    ranked = [x.select("doc_id", "side", "field", "value", "confidence", "source", F.lit(t).alias("tier"), F.lit(r).alias("src_rank")) for r, (x, t) in enumerate(((zones, 0), (machine, 0), (layout, 1), (text, 1)))]
-    every = ranked[0]
-    for x in ranked[1:]:
-        every = every.unionByName(x)
-    return votes.tiered_merge(every, ["doc_id", "side", "field"])
+def text_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
+    """Facts of (doc_id, side, text) rows by the text alone."""
+    return card_text.text_facts(texts, as_of_year)
+
+
+def layout_facts(lines: DataFrame) -> DataFrame:
+    """Facts of page lines by their layout, without values that are labels."""
+    found = layout.layout_fields(layout.clean_lines(lines))
+    return layout.drop_label_values(found).select(*FACT[:-1], F.lit("layout").alias("source"))
+
+
+def side_facts(zone: DataFrame, machine: DataFrame, layout_: DataFrame, text: DataFrame) -> DataFrame:
+    """One side's facts: validated zone and machine reads before guesses from layout and text, in this order among equals."""
+    ranked = [x.select(*FACT, F.lit(t).alias("tier"), F.lit(r).alias("src_rank")) for r, (x, t) in enumerate(((zone, 0), (machine, 0), (layout_, 1), (text, 1)))]
+    return votes.tiered_merge(reduce(DataFrame.unionByName, ranked), ["doc_id", "side", "field"])
+
+
+def label_names(layout_: DataFrame, text: DataFrame) -> DataFrame:
+    """(doc_id, side, field, value, confidence) of the names that label parsers found: the better of layout and text."""
+    both = layout_.select(*FACT, F.lit(0).alias("src_rank")).unionByName(text.select(*FACT, F.lit(1).alias("src_rank")))
+    return votes.merge_facts(both.where(F.col("field").isin(T.NAME_FIELDS)), ["doc_id", "side", "field"]).select(*FACT[:-1])
+
+
+def recognized_cards(lines: DataFrame, latin_lines: DataFrame, texts: DataFrame, zone_reads: DataFrame, zone_texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
+    """One wide row per document from all that was read of its two sides.
+
+    lines and latin_lines: the page lines of the two language models; texts:
+    (doc_id, side, text); zone_reads: see zones; zone_texts: (doc_id, text) of
+    the machine-readable zone on the back. Names are resolved across sides; the
+    other fields are merged side by side, the front before the back.
+    """
+    machine = mrz_facts(zone_texts, as_of_year).withColumn("side", F.lit("back"))
+    by_layout, by_text = layout_facts(lines), text_facts(texts, as_of_year)
+    front, back = zone_reads.where("side = 'front'"), zone_reads.where("side = 'back'")
+    zone = zones.front_zone_facts(front, as_of_year).unionByName(zones.back_zone_facts(back))
+    facts = side_facts(zone, machine.where(~F.col("field").isin(list(MACHINE_NAMES))).select(*FACT), by_layout, by_text)
+    own = F.create_map(*[F.lit(x) for kv in MACHINE_NAMES.items() for x in kv])
+    machine_names = machine.where(F.col("field").isin(list(MACHINE_NAMES))).withColumn("field", own[F.col("field")])
+    flat = lambda x: x.select("doc_id", "side", (F.col("block_no") * 1_000_000 + F.col("par_no") * 1_000 + F.col("line_no")).alias("seq"), names_text(x).alias("text"), "confidence", "bbox.*")
+    named = names.resolve_names(names.line_pairs(flat(lines), flat(latin_lines)), zones.anchored_names(front, as_of_year), label_names(by_layout, by_text), machine_names)
+    return card(facts, named)
+
+
+def names_text(lines: DataFrame):
+    """The text of a line's confident words."""
+    sure = F.filter("words", lambda w: w["confidence"] >= 25)
+    return F.array_join(F.transform(sure, lambda w: w["text"]), " ")
 
 
-def card(facts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The wide row of each document: names resolved across sides, the rest merged flat."""
-    named = names.resolve_names(evidence).select("doc_id", "field", "value", "confidence", F.lit(-1).alias("src_rank"))
+def card(facts: DataFrame, named: DataFrame) -> DataFrame:
+    """The wide row of each document: names as resolved, the rest merged flat, the front before the back."""
+    name = named.select("doc_id", "field", "value", "confidence", F.lit(-1).alias("src_rank"))
     rest = facts.where(~F.col("field").isin(T.NAME_FIELDS)).select("doc_id", "field", "value", "confidence", F.when(F.col("side") == "front", 0).otherwise(1).alias("src_rank"))
-    return votes.wide(votes.merge_facts(named.unionByName(rest), ["doc_id", "field"]), ["doc_id"], T.FIELDS)
+    return votes.wide(votes.merge_facts(name.unionByName(rest), ["doc_id", "field"]), ["doc_id"], T.FIELDS)

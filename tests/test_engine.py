@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from attesta.functions import mrz
+from attesta.functions import card_text, geometry, mrz
 from attesta.functions import text as X
-from attesta.operators import names, raster, text_fields, votes
+from attesta.operators import names, raster, votes
+from attesta.streaming import upsert
 
 
 def one(spark, expr_of, *values):
@@ -66,18 +67,49 @@ def test_single_digit_change_is_found(v, i, c):
 
 
 def test_labels(spark):
-    docs = spark.createDataFrame([(1, "Surname\nРАХИМОВ\nRAHIMOV\nDate of birth 01.02.1990\nA12345678")], "doc_id long, text string")
-    got = {r.field: r.value for r in text_fields.text_facts(docs).collect()}
-    assert got["surname"] == "РАХИМОВ" and got["documentNumber"] == "A12345678"
-    assert [r.latin for r in text_fields.name_pairs(text_fields.lines_of(docs)).collect()] == ["RAHIMOV"]
-
-
-def test_name_repair():
-    assert names.repair("КОСИМ", ["QOSIM"]) == ("ҚОСИМ", 0.0)
-    assert names.repair("РАХИМОВ", []) == ("РАХИМОВ", 1.0)
-    assert names.align("САФАР", "SAFAR") == "САФАР"
-    assert names.align("ПАВИД", "NAVID") == "НАВИД"
-    assert names.align("А Б", "AB") is None
+    text = "Surname\nРАХИМОВ\nRAHIMOV\nDate of birth 01.02.1990\nA12345678"
+    rows = [(1, "front", text), (2, "front", None), (3, "back", ""), (1, "back", text)]
+    got = card_text.text_facts(spark.createDataFrame(rows, "doc_id long, side string, text string"), 2024).collect()
+    assert {(r.doc_id, r.side) for r in got} == {(1, "front"), (1, "back")}
+    found = {r.field: r.value for r in got if r.side == "front"}
+    assert found["surname"] == "РАХИМОВ" and found["documentNumber"] == "A12345678" and found["birthDate"] == "01.02.1990"
+
+
+def test_name_repair(spark):
+    rows = [("КОСИМ", ["QOSIM"]), ("РАХИМОВ", []), ("ПАВИД", ["NAVID", None, ""]), (None, None), ("К" * 9, ["Q" * 9]), ("КОСИМ", ["XXXXXXXX"])]
+    df = spark.createDataFrame(rows, "w string, l array<string>")
+    got = [(r.repaired, r.ratio) for r in names.with_repair(df, "w", F.col("l")).collect()]
+    assert got == [("ҚОСИМ", 0.0), ("РАХИМОВ", 1.0), ("НАВИД", 0.0), ("", 1.0), ("К" * 9, 1.0), ("КОСИМ", 1.0)]
+    assert names.aligned("САФАР", "SAFAR") == "САФАР" and names.aligned("А Б", "AB") is None and names.aligned("СОЛЬ", "SOL") == "СОЛ"
+    assert names.aligned("АААА", "ZZZZ") is None and names.aligned("А" * 700, "A" * 700) == "А" * 700
+
+
+def test_names_without_evidence(spark):
+    pairs = spark.createDataFrame([], "doc_id long, side string, seq long, cyrillic string, latin string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    anchored = spark.createDataFrame([], "doc_id long, side string, field string, cyrillic string, latin string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    labeled = spark.createDataFrame([(1, "back", "surname", "«РАХИМОВ»", 90.0)], "doc_id long, side string, field string, value string, confidence double")
+    zone = spark.createDataFrame([(2, "front", "surname", None), (2, "back", "surname", "RAHIMOV")], "doc_id long, side string, field string, value string")
+    got = {(r.doc_id, r.field): (r.value, r.confidence, r.source) for r in names.resolve_names(pairs, anchored, labeled, zone).collect()}
+    assert got == {(1, "surname"): ("«РАХИМОВ»", 55.0, "layout"), (2, "surname"): ("RAHIMOV", 58.0, "mrz")}
+    # a label's value in quotes still names the line
+    line = spark.createDataFrame([(1, "front", 0, "РАХИМОВ", None, 80.0, 0.0, 0.0, 9.0, 9.0)], pairs.schema)
+    got = names.resolve_names(line, anchored, labeled, zone.limit(0)).collect()
+    assert [(r.field, r.value, r.confidence) for r in got] == [("surname", "РАХИМОВ", 55.0)]
+
+
+def test_expanded_diamond(spark):
+    q = [(50.0, 10.0), (90.0, 50.0), (50.0, 90.0), (10.0, 50.0)]
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in q],)], "q array<struct<x: double, y: double>>")
+    got = df.select(geometry.expand_quad(F.col("q"), F.lit(2**0.5), F.lit(200), F.lit(200)).alias("e"), geometry.area(F.col("q")).alias("a")).first()
+    assert np.allclose([(p.x, p.y) for p in got.e], [(50, 8), (92, 50), (50, 92), (8, 50)]) and got.a == 3200
+
+
+def test_upsert_keeps_the_latest_attempt(spark):
+    rows = "doc_id long, side string, field string, value string, attempt int"
+    known = spark.createDataFrame([(1, "front", "sex", "M", 1), (1, "front", "taxId", "1", 1)], rows)
+    new = spark.createDataFrame([(1, "front", "sex", "F", 2), (2, "back", "sex", "M", 1)], rows)
+    got = {(r.doc_id, r.field): r.value for r in upsert.merge_arrivals(known, new).collect()}
+    assert got == {(1, "sex"): "F", (1, "taxId"): "1", (2, "sex"): "M"}
 
 
 def test_raster():
@@ -108,7 +140,7 @@ def test_queries_match_their_sql(spark):
     from attesta.plans.queries import ORACLE_SQL, QUERIES
 
     assert set(QUERIES) <= set(entry.queries())
-    for name in ("vote_winner_first_to_two", "nearest_below_join", "text_cleanup", "date_shape_validation", "histogram_otsu", "transliterate_skeleton"):
+    for name in ("vote_winner_first_to_two", "nearest_below_join", "text_cleanup", "date_shape_validation", "histogram_otsu", "transliterate_skeleton", "resolve_names", "back_zone_facts", "layout_page_facts", "text_card_facts", "connected_regions", "hull_area_by_group"):
         df = QUERIES[name](spark, sf)
         cols = sorted(df.columns)
         got = sorted(str([r[c] for c in cols]) for r in df.collect())
