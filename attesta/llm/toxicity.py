@@ -29,6 +29,8 @@ PREFIXES, SUFFIX = (3, 4, 5, 6), 4
 LEAST_WEIGHT = 0.02
 #: Labelled rows that the model is fitted on: so many toxic ones and so many others at most.
 SAMPLE_TOXIC, SAMPLE_OTHER = 1_500, 3_000
+#: Bytes of all their texts, and of one of them, at most.
+SAMPLE_BYTES, ROW_BYTES = 32 << 20, 1 << 20
 #: Rows whose crc32(id) has this remainder mod 5 are held out and never fitted on.
 HELD_OUT = 0
 #: Words whose score a task remembers, tokens of a batch, and tokens of a chunk of the chain.
@@ -262,17 +264,27 @@ def without_copies(texts: list[str], toxic: list[int], words: int = 5, keys: int
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = SAMPLE_TOXIC, most_other: int = SAMPLE_OTHER) -> Crf:
     """Fit on a bounded sample of labelled rows that are not held out, taken in hash order of their ids.
 
-    The driver gets most_toxic + most_other rows at most. Without rows of both
-    kinds the model stays unfitted and scores every text 0.
+    An id counts once: as toxic if any of its labels is, with the least of its
+    texts if documents repeat it. The driver gets most_toxic + most_other texts
+    and SAMPLE_BYTES at most; texts over ROW_BYTES are not fitted on. Without
+    rows of both kinds the model stays unfitted and scores every text 0. Null
+    ids and labels are left out; other columns are ignored whatever their names.
     """
-    key = F.col(id_col).cast("string")
-    may = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(key) % 5 != HELD_OUT)).select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).cast("int").alias("_y"))
-    some = [may.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, most_toxic), (0, most_other))]
-    ids = some[0].unionByName(some[1])
-    got = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("t"), "_y").collect()
-    got.sort(key=lambda r: (r["_id"], r["t"]))
-    toxic, texts = [r["_y"] for r in got], [r["t"] for r in got]
-    del got
+    key = F.col(f"`{id_col}`")
+    may = labels.where(F.col(f"`{label_col}`").isNotNull() & key.isNotNull() & (F.crc32(key.cast("string")) % 5 != HELD_OUT))
+    once = may.select(key.alias("i"), (F.col(f"`{label_col}`") == 1).cast("int").alias("y")).groupBy("i").agg(F.max("y").alias("y"))
+    some = [once.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n) for y, n in ((1, most_toxic), (0, most_other))]
+    picked = docs.select(key.alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t")).where(F.octet_length("t") <= ROW_BYTES)
+    got = picked.join(F.broadcast(some[0].unionByName(some[1])), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    rows, held = [], 0
+    for r in got.orderBy(F.xxhash64("i"), "i").toLocalIterator():
+        held += len(r["t"].encode("utf-8", "surrogatepass"))
+        if held > SAMPLE_BYTES:
+            break
+        rows.append((r["i"], r["t"], r["y"]))
+    rows.sort()
+    texts, toxic = [t for _, t, _ in rows], [y for *_, y in rows]
+    del rows
     return fit(*without_copies(texts, toxic))
 
 
