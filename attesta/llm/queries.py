@@ -26,7 +26,7 @@ CONTROL_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assis
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM VALUES {', '.join(map(str, CONTROL_CONVERSATION))} AS t(conv_id, turn, role, text)")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.conversation_digests(chat.chat_windows(turns))
 
@@ -68,13 +68,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
-    return mixed.withColumn("position", F.round("position", 6)).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return ordered.withColumn("position", F.round("position", 6))  # rounded for the output only
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
-    return warc.resolved(warc.read_archives(spark, path))
+    records, _ = materialize(warc.read_archives(spark, path, payloads=False), "warc-records")
+    return warc.resolved(records)
 
 
 def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
