@@ -20,14 +20,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset, as in
-    local tests, a temporary folder is made and kept for the session.
+    It is the session's spark.checkpoint.dir. Only where that is unset on a
+    local master, as in tests, a temporary folder is made and kept for the
+    session; elsewhere executors could not read it, which is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="attesta-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -59,8 +62,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: Colum
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
-def fixed(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns only: extra columns of an input never reach an operator."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

@@ -397,3 +397,51 @@ def test_tokenizer_equals_the_library_on_odd_strings():
     mine.words.most, mine.runs.most = 500, 300  # what is set aside comes back right
     got = [i for start in range(0, len(texts), 100) for i in mine.many(texts[start : start + 100])]
     assert [x.tolist() for x in got] == [mine.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_toxicity_clashing_and_repeated_rows(spark):
+    """Columns named as the operator's own, repeated ids and labels, and long texts neither fail nor widen the sample."""
+    rng = random.Random(1)
+    rows = [(i, words(rng, 60) + (" vileword nasty " * 2 if i % 3 == 0 else ""), 1, 1, "x", 0) for i in range(200)]
+    rows += [rows[3]] * 500 + [(None, "x", 0, 0, "", 0), (400, "long " * 300_000, 0, 0, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _y int, t string, i int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] * 3 + [(None, 1), (5, None), (400, 1)], "doc_id long, toxic int")
+    taken = []
+    fit, toxicity.fit = toxicity.fit, lambda t, y: taken.append((t, y)) or fit(t, y)
+    try:
+        model = toxicity.fit_on(docs, labels)
+    finally:
+        toxicity.fit = fit
+    assert len(taken[0][0]) == sum(zlib.crc32(str(i).encode()) % 5 != toxicity.HELD_OUT for i in range(200))
+    got = toxicity.score_texts(docs, model).collect()
+    assert len(got) == len(rows) and all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in got if r.doc_id is not None and r.doc_id < 200)
+    assert toxicity.score_texts(docs.limit(0), model).count() == 0 and toxicity.keep_clean(docs, model).columns == docs.columns
+
+
+def test_warc_shuffled_decisions_and_odd_rows(spark):
+    """The join by shuffle gives what the broadcast gives; repeated rows, extra columns and an empty table."""
+    rng = random.Random(4)
+    bodies = ["<p>" + words(rng, 40) for _ in range(5)] + ["short", None, "WARC/1.1\r\n\r\n" * 30]
+    rows = [(rng.choice([None, *range(30)]), "u", rng.choice(bodies), 1, "x") for _ in range(80)] + [(3, "u", bodies[0], 1, "x")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int, digest string")
+    got = []
+    for most in (10**6, 0):
+        path = fresh_path(spark, "warc")
+        warc.write_archives(pages, path, date="2020-01-01T00:00:00Z", broadcast_rows=most)
+        got.append(sorted(map(str, warc.resolved(warc.read_archives(spark, path)).collect())))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    first = collections.defaultdict(lambda: 10**9)
+    for i, _, h, *_ in rows:
+        if i is not None:
+            first[h] = min(first[h], i)
+    want = []
+    for i, _, h, *_ in rows:
+        body = (h or "").encode()
+        again = len(body) >= 100 and i is not None and i > first[h]
+        want.append(str((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first[h] if again else None)))
+    assert sorted(str(tuple(r)) for r in warc.resolved(warc.read_archives(spark, path)).collect()) == sorted(want)
+    path = fresh_path(spark, "warc")
+    warc.write_archives(pages.limit(0), path)
+    assert warc.read_archives(spark, path).count() == 0
+    plan = pages.sparkSession.read.text(path)  # plain members read as well
+    assert plan.count() == 0 and [h["a"] for h, _ in warc.records_of(b"WARC/1.1\r\nA: 1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")] == ["1"]
