@@ -1,15 +1,18 @@
 """Layout-aware text of HTML pages.
 
 A tokenizer and a tree builder with implied end tags read a page; a renderer
-walks the tree and emits all visible text with block spacing, list markers and
-aligned table cells. Nothing is scored or cut: boilerplate stays, only what a
-browser would not show is left out.
+walks the tree once and emits all visible text with block spacing, list markers
+and aligned table cells. Nothing is scored or cut: boilerplate stays, only what
+a browser would not show is left out. Both work in a time that grows with the
+page, at any depth of nesting.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -26,8 +29,13 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
-#: Cells up to so many characters are aligned; a wider one pushes only its own row.
-CELL_WIDTH = 60
+#: Levels of lists and quotes that are indented; deeper ones keep the indentation of the last of these.
+INDENTED = 100
+#: A table is aligned as wide as its widest cells, unless that takes more than so many times its text and so many characters;
+#: then the widest cells push only their own rows.
+PADDING, LEAST_PADDING = 8, 20_000
+#: Columns and rows that a cell may span, as browsers have it.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Blocks with a blank line before and after.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 #: Start tags that end an open paragraph.
@@ -54,7 +62,9 @@ TAG = re.compile(
     re.S,
 )
 ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+#: A selector of one element by its tag, classes and id.
+SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -72,28 +82,53 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def parse(html: str) -> Node:
-    """The tree of a page. Missing end tags are implied; stray ones are ignored."""
-    root = Node("#root", {})
-    stack, at = [root], 0
+class Open:
+    """The open elements and, for each name, the places at which it is open."""
 
-    def end(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, low: int) -> None:
+        while len(self.nodes) > low:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, names: set[str] | frozenset[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def end(self, names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
         """Close the outermost of `names` that is open inside the nearest of `until`."""
-        low = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in until:
-                break
-            if stack[i].tag in names:
-                low = i
-        if low is not None:
-            del stack[low:]
+        some = [self.at[n] for n in names if self.at.get(n)]
+        if some:
+            barrier = self.last(until)
+            inside = [places[k] for places in some if (k := bisect_right(places, barrier)) < len(places)]
+            if inside:
+                self.cut(min(inside))
+
+    def end_tag(self, name: str) -> None:
+        """Close the innermost element of the name, unless a boundary that its end tag does not cross is nearer."""
+        if self.at.get(name):
+            stop = self.last(frozenset() if name in BLOCK else SCOPE)
+            if name not in ("table", "body", "html"):
+                stop = max(stop, self.last({"table"}))
+            if self.at[name][-1] >= stop:
+                self.cut(self.at[name][-1])
+
+
+def parse(html: str) -> tuple[Node, list[str]]:
+    """The tree of a page and its style sheets. Missing end tags are implied; stray ones are ignored."""
+    root, styles, at = Node("#root", {}), [], 0
+    stack = Open(root)
 
     def text(s: str) -> None:
         if s:
             s = unescape(s) if "&" in s else s
-            if stack[-1].tag == "head" and s.strip(" \t\n\r\f"):
-                stack.pop()
-            stack[-1].children.append(s)
+            if stack.nodes[-1].tag == "head" and s.strip(" \t\n\r\f"):
+                stack.cut(len(stack.nodes) - 1)
+            stack.nodes[-1].children.append(s)
 
     while m := TAG.search(html, at):
         text(html[at : m.start()])
@@ -105,28 +140,22 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and all(n.tag != "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))  # a stray </p> is an empty paragraph
+            if name == "p" and not stack.at.get("p"):
+                stack.nodes[-1].children.append(Node("p", {}))  # a stray </p> is an empty paragraph
             elif name == "br":
-                stack[-1].children.append(Node("br", {}))
+                stack.nodes[-1].children.append(Node("br", {}))
             else:
-                stop = frozenset() if name in BLOCK else SCOPE
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in stop or (name not in ("table", "body", "html") and stack[i].tag == "table"):
-                        break
+                stack.end_tag(name)
             continue
-        if stack[-1].tag == "head" and name not in IN_HEAD:
-            stack.pop()
+        if stack.nodes[-1].tag == "head" and name not in IN_HEAD:
+            stack.cut(len(stack.nodes) - 1)
         if name in ENDS_P:
-            end({"p"}, SCOPE)
+            stack.end({"p"}, SCOPE)
         if name in IMPLIED:
-            end(*IMPLIED[name])
+            stack.end(*IMPLIED[name])
         node = Node(name, _attributes(m[3]) if m[3].strip(" /\n\t\r") else {})
-        stack[-1].children.append(node)
-        if m[3].endswith("/") and (name in ("svg", "math") or any(n.tag in ("svg", "math") for n in stack)):
+        stack.nodes[-1].children.append(node)
+        if m[3].endswith("/") and (name in ("svg", "math") or stack.at.get("svg") or stack.at.get("math")):
             continue  # foreign elements may be closed by their start tags
         if name in RAW:
             close = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(html, at)
@@ -134,29 +163,83 @@ def parse(html: str) -> Node:
             at = close.end() if close else len(html)
             if body:
                 node.children.append(unescape(body) if name in ("title", "textarea") else body)
+            if name == "style" and not stack.at.get("template") and node.attrs.get("media", "all").strip().lower() in ("", "all", "screen"):
+                styles.append(body)
         elif name not in VOID:
-            stack.append(node)
+            stack.push(node)
     text(html[at:])
-    return root
-
-
-def visible(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a:
-        return False
-    if node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    return not ("style" in a and UNSEEN.search(a["style"]))
+    return root, styles
+
+
+# --- what is seen --------------------------------------------------------------------------------------------------
+
+
+def _shown(declarations: str) -> dict[str, str]:
+    return {m[1].lower(): m[2].lower() for m in SHOWN.finditer(declarations)} if "display" in declarations.lower() or "visibility" in declarations.lower() else {}
+
+
+class Styles:
+    """The rules of style sheets on display and visibility whose selectors name one element; others and at-rules are not followed."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        order = 0
+        for sheet in sheets:
+            for selectors, body in self._blocks(re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)):
+                found = _shown(body)
+                for one in selectors.split(",") if found else ():
+                    m = SIMPLE.fullmatch(one.strip())
+                    if m and (m[1] or m[2]):
+                        marks = re.findall(r"[.#][\w-]+", m[2])
+                        weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), int(m[1] not in (None, "*")))
+                        order += 1
+                        tag = None if m[1] in (None, "*") else m[1].lower()
+                        self.rules[marks[0] if marks else tag or "*"].append((weight, order, tag, frozenset(marks), found))
+
+    @staticmethod
+    def _blocks(css: str) -> Iterator[tuple[str, str]]:
+        """(selectors, declarations) of the rules outside of at-rules."""
+        depth, start, body, head = 0, 0, 0, ""
+        for m in re.finditer(r"[{};]", css):
+            c, i = m[0], m.start()
+            if c == ";":
+                start = i + 1 if not depth else start
+            elif c == "{":
+                if not depth:
+                    head, body = css[start:i].strip(), i + 1
+                depth += 1
+            elif depth:
+                depth -= 1
+                if not depth:
+                    start = i + 1
+                    if not head.startswith("@"):
+                        yield head, css[body:i]
+
+    def of(self, node: Node) -> dict[str, str]:
+        """display and visibility of an element, as far as its rules and its style attribute set them."""
+        own: dict[str, str] = {}
+        if self.rules:
+            marks = {f".{c}" for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if node.attrs.get("id") else set())
+            hits = [r for key in (*marks, node.tag, "*") for r in self.rules.get(key, ()) if r[2] in (None, node.tag) and r[3] <= marks]
+            for *_, found in sorted(hits, key=lambda r: r[:2]):
+                own |= found
+        return own | _shown(node.attrs["style"]) if "style" in node.attrs else own
+
+
+# --- rendering -----------------------------------------------------------------------------------------------------
 
 
 class Sheet:
-    """Lines of text under construction."""
+    """Lines of text under construction, with the indentation of the levels that are open."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space = False  # a collapsed space is due before the next text
         self.blank = False  # a blank line is due before the next line
+        self.indent = ""
+        self.levels: list[str] = []
+        self.fresh: list[tuple[str, str]] = []  # the last levels, which have no line yet: what stands before the first and the other lines
 
     def inline(self, s: str) -> None:
         body = SPACES.sub(" ", s)
@@ -174,12 +257,17 @@ class Sheet:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            self.lines.append("".join(self.now))
+            text = "".join(self.now)
+            self.lines.append((self.indent + "".join([f for f, _ in self.fresh]) + text).rstrip() if self.fresh or text.strip() else "")
+            if self.fresh:
+                self.indent += "".join([r for _, r in self.fresh])
+                self.fresh = []
         self.now, self.space = [], False
 
     def blank_line(self) -> None:
         self.line_end()
-        self.blank = True
+        if not self.fresh:
+            self.blank = True
 
     def put(self, lines: list[str]) -> None:
         self.line_end()
@@ -187,212 +275,293 @@ class Sheet:
             self.now = [s]
             self.line_end(force=True)
 
+    def push(self, first: str, rest: str) -> None:
+        self.line_end()
+        rest = rest if len(self.levels) < INDENTED else ""
+        self.levels.append(rest)
+        self.fresh.append((first, rest))
 
-def _table(node: Node) -> list[str]:
-    """Rows of a table with their cells padded to the columns' widths."""
-    rows: list[list[list[str]]] = []
-    captions: list[str] = []
+    def pop(self, keep_mark: bool) -> None:
+        """End the last level; one without a line leaves its mark, if that is to be kept."""
+        self.line_end()
+        rest = self.levels.pop()
+        if self.fresh:
+            if keep_mark:
+                self.line_end(force=True)
+            else:
+                self.fresh.pop()
+                return
+        self.indent = self.indent[: len(self.indent) - len(rest)]
+        self.blank = False
 
-    def collect(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                if c.strip():
-                    captions.extend(lines_of([c]))
-            elif visible(c):
-                if c.tag == "tr":
-                    cells = [x for x in c.children if not isinstance(x, str) and x.tag in ("td", "th") and visible(x)]
-                    other = [x for x in c.children if x not in cells]
-                    captions.extend(lines_of(other))
-                    row: list[list[str]] = []
-                    for x in cells:
-                        row.append(lines_of(x.children))
-                        span = x.attrs.get("colspan", "1")
-                        row += [[]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span) > 0 else 0)
-                    rows.append(row)
-                elif c.tag in ("tbody", "thead", "tfoot"):
-                    collect(c)
-                elif c.tag in ("td", "th"):  # a cell outside a row is a row of its own
-                    rows.append([lines_of(c.children)])
-                else:
-                    captions.extend(lines_of([c]))
-
-    collect(node)
-    width: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], max((len(x) for x in cell if len(x) <= CELL_WIDTH), default=0))
-    out = captions
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, width)).rstrip())
-    return out
+
+def _number(text: str | None, default: int, low: int, high: int) -> int:
+    m = re.match(r"\s*([+-]?\d{1,18})", text or "")
+    return max(low, min(high, int(m[1]))) if m else default
 
 
-def _shown_options(node: Node) -> str:
-    """What a select shows: all options of a list box, else the last selected or the first one."""
-    options, todo = [], list(reversed(node.children))
+class Table:
+    """Rows of cells (lines, columns, rows), and what stands in a table outside of them."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.other = Sheet()
+
+    def _placed(self) -> list[dict[int, list[str]]]:
+        """For each row the lines by column; columns that a cell of a row above still spans are stepped over."""
+        spans: list[tuple[int, int, int]] = []  # first column, end, first row below
+        out = []
+        for r, row in enumerate(self.rows):
+            spans = sorted(s for s in spans if s[2] > r)
+            at, k, cells = 0, 0, {}
+            for lines, wide, tall in row:
+                while k < len(spans) and spans[k][0] <= at:
+                    at = max(at, spans[k][1])
+                    k += 1
+                cells[at] = lines
+                if tall != 1:
+                    spans.append((at, at + wide, r + tall if tall else len(self.rows)))
+                    spans.sort()
+                    k = bisect_right(spans, (at, at + wide, MOST_ROWS * 2 + r))
+                at += wide
+            out.append(cells)
+        return out
+
+    def lines(self) -> list[str]:
+        self.other.line_end()
+        rows = self._placed()
+        columns = sorted({c for row in rows for c, cell in row.items() if cell})
+        place = {c: i for i, c in enumerate(columns)}
+        height = sum(max((len(x) for x in row.values()), default=0) for row in rows)
+        text = sum(len(x) for row in rows for cell in row.values() for x in cell)
+        cap = max((len(x) for row in rows for cell in row.values() for x in cell), default=0)
+        while True:
+            width = [0] * len(columns)
+            for row in rows:
+                for c, cell in row.items():
+                    if cell:
+                        width[place[c]] = max(width[place[c]], max((len(x) for x in cell if len(x) <= cap), default=0))
+            if height * sum(width[:-1]) <= PADDING * text + LEAST_PADDING or not cap:
+                break
+            cap //= 2
+        out = self.other.lines
+        for row in rows:
+            cells = {place[c]: cell for c, cell in row.items() if cell}
+            last = max(cells, default=-1)
+            for k in range(max((len(c) for c in cells.values()), default=0)):
+                out.append("  ".join((cells[i][k] if i in cells and k < len(cells[i]) else "").ljust(width[i]) for i in range(last + 1)).rstrip())
+        return out
+
+
+def _plain(node: Node) -> str:
+    found, todo = [], [node]
     while todo:
-        c = todo.pop()
-        if isinstance(c, str) or not visible(c):
-            continue
-        if c.tag == "option":
-            options.append(c)
+        n = todo.pop()
+        if isinstance(n, str):
+            found.append(n)
         else:
-            todo += reversed(c.children)
-    size = node.attrs.get("size", "1")
-    if "multiple" not in node.attrs and not (size.isascii() and size.isdigit() and int(size) > 1):
-        options = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
-    return " ".join(o.attrs.get("label") or " ".join(lines_of(o.children)) for o in options)
-
-
-def _field_text(c: Node) -> str | None:
-    """The text of an image or form field that has no shown children, else None."""
-    if c.tag == "img":
-        return c.attrs.get("alt", "")
-    if c.tag == "input":
-        shown = c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and c.attrs.get("value")
-        return f" {shown} " if shown else ""
-    return f" {_shown_options(c)} " if c.tag == "select" else None
-
-
-def _render(children: list, sheet: Sheet, pre: bool = False) -> None:
-    """Emit children; nested elements are kept on a stack of their own, so depth is not bounded by Python's."""
-    work: list = [(iter(children), None, None)]
-    while work:
-        todo, _, after = work[-1]
-        c = next(todo, None)
-        if c is None:
-            work.pop()
+            todo += reversed(n.children)
+    return SPACES.sub(" ", "".join(found)).strip(" ")
+
+
+class Page:
+    """Walks a tree and writes what it shows. `work` holds (children, how each is taken, what follows them)."""
+
+    def __init__(self, root: Node, styles: list[str]):
+        self.styles, self.sheet = Styles(styles), Sheet()
+        self.pre = self.unseen = self.in_item = self.foreign = False
+        self.list: list | None = None  # ordered, next number
+        self.work: list[tuple[Iterator, Callable, Callable | None]] = [(iter(root.children), self.flow, None)]
+        while self.work:
+            todo, take, after = self.work[-1]
+            c = next(todo, None)
+            if c is not None:
+                take(c)
+                continue
+            self.work.pop()
             if after:
                 after()
-            continue
+        self.sheet.line_end()
+
+    def into(self, children: list, take: Callable, after: Callable | None = None, **changes) -> None:
+        """Take the children next, with some of the state changed until they are through."""
+        before = {k: getattr(self, k) for k in changes}
+        for k, v in changes.items():
+            setattr(self, k, v)
+
+        def done() -> None:
+            for k, v in before.items():
+                setattr(self, k, v)
+            if after:
+                after()
+
+        self.work.append((iter(children), take, done if before or after else None))
+
+    def seen(self, node: Node) -> dict | None:
+        """What an element changes of the state, or None if it is not displayed."""
+        a = node.attrs
+        if node.tag in HIDDEN or "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
+            return None
+        if not self.styles.rules and "style" not in a:
+            return {}
+        own = self.styles.of(node)
+        if own.get("display") == "none":
+            return None
+        if own.get("visibility") in ("hidden", "collapse"):
+            return {"unseen": True}
+        return {"unseen": False} if own.get("visibility") == "visible" else {}
+
+    def words(self, s: str) -> None:
+        if self.unseen:
+            return
+        if not self.pre:
+            self.sheet.inline(s)
+            return
+        for i, p in enumerate(s.replace("\r\n", "\n").split("\n")):
+            if i:
+                self.sheet.line_end(force=True)
+            if p:
+                self.sheet.now.append(p)
+
+    def flow(self, c: Node | str) -> None:
         if isinstance(c, str):
-            if pre or any(n == "pre" for _, n, _ in work):
-                parts = c.replace("\r\n", "\n").split("\n")
-                for i, p in enumerate(parts):
-                    if i:
-                        sheet.line_end(force=True)
-                    if p:
-                        sheet.now.append(p)
-            else:
-                sheet.inline(c)
-            continue
-        if not visible(c):
-            continue
-        tag = c.tag
+            self.words(c)
+            return
+        state = self.seen(c)
+        if state is None:
+            return
+        tag, sheet = c.tag, self.sheet
+        unseen = state.get("unseen", self.unseen)
         if tag == "br":
             sheet.line_end(force=True)
         elif tag == "hr":
             sheet.blank_line()
-            sheet.put(["---"])
+            if not unseen:
+                sheet.put(["---"])
             sheet.blank_line()
-        elif (field := _field_text(c)) is not None:
-            sheet.inline(field)
-        elif tag in UNDRAWN and any(n in ("svg", "math") for _, n, _ in work):
+        elif (field := self.field(c)) is not None:
+            if not unseen:
+                sheet.inline(field)
+        elif self.foreign and tag in UNDRAWN:
             pass
-        elif tag == "text" and any(n == "svg" for _, n, _ in work):
+        elif self.foreign and tag == "text":
             sheet.inline(" ")
-            work.append((iter([*c.children, " "]), tag, None))
+            self.into(c.children, self.flow, lambda: sheet.inline(" "), **state)
+        elif tag in ("svg", "math"):
+            self.into(c.children, self.flow, **state, foreign=True)
         elif tag == "table":
-            sheet.blank_line()
-            sheet.put(_table(c))
-            sheet.blank_line()
+            self.table(c, state)
         elif tag in ("ul", "ol", "menu", "dir"):
-            nested = any(n == "li-content" for _, n, _ in work)
-            (sheet.line_end if nested else sheet.blank_line)()
-            sheet.put(_list(c))
-            (sheet.line_end if nested else sheet.blank_line)()
+            around = sheet.line_end if self.in_item else sheet.blank_line
+            around()
+            numbers = [tag == "ol", _number(c.attrs.get("start"), 1, -(2**31), 2**31 - 1)]
+            self.into(c.children, self.flow, around, **state, list=numbers, in_item=False)
+        elif tag == "li":
+            self.item(c, state, unseen)
         elif tag in BLOCK:
             around = sheet.blank_line if tag in SPACED else sheet.line_end
             around()
             if tag in ("blockquote", "dd"):
-                inner = lines_of(c.children)
-                sheet.put([("    " + s).rstrip() for s in inner])
-                around()
-            elif tag == "li":  # outside a list
-                sheet.put(_item(c, "* "))
-            else:
-                work.append((iter(c.children), tag, around))
+                sheet.push("    ", "    ")
+
+                def after() -> None:
+                    sheet.pop(False)
+                    around()
+
+                self.into(c.children, self.flow, after, **state, in_item=False)
+                return
+            children = c.children
+            if tag == "pre" and children and isinstance(children[0], str):  # a line break right behind the tag is none
+                children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
+            elif tag == "details" and "open" not in c.attrs:
+                children = [x for x in children if not isinstance(x, str) and x.tag == "summary"][:1]
+            self.into(children, self.flow, around, **state, pre=self.pre or tag == "pre")
         else:
-            work.append((iter(c.children), tag, None))
-
+            self.into(c.children, self.flow, **state)
+
+    def item(self, c: Node, state: dict, unseen: bool) -> None:
+        mark, sheet = "* ", self.sheet
+        if self.list and self.list[0]:
+            self.list[1] = _number(c.attrs.get("value"), self.list[1], -(2**31), 2**31 - 1)
+            mark = f"{self.list[1]}. "
+            self.list[1] += 1
+        sheet.push(" " * len(mark) if unseen else mark, " " * len(mark))
+        self.into(c.children, self.flow, lambda: sheet.pop(not unseen), **state, in_item=True, list=None)
+
+    def field(self, c: Node) -> str | None:
+        """The text of an image or form field that has no shown children, else None."""
+        if c.tag == "img":
+            return c.attrs.get("alt", "")
+        if c.tag == "input":
+            shown = c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") and c.attrs.get("value")
+            return f" {shown} " if shown else ""
+        return f" {self.options(c)} " if c.tag == "select" else None
+
+    def options(self, node: Node) -> str:
+        """What a select shows: all options of a list box, else the last selected or the first one."""
+        options, todo = [], list(reversed(node.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str) or self.seen(c) is None:
+                continue
+            if c.tag == "option":
+                options.append(c)
+            else:
+                todo += reversed(c.children)
+        if "multiple" not in node.attrs and _number(node.attrs.get("size"), 1, 0, 2**31) <= 1:
+            options = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1] or options[:1]
+        return " ".join(o.attrs.get("label") or _plain(o) for o in options)
 
-def _item(node: Node, marker: str) -> list[str]:
-    body = lines_of(node.children, "li")
-    return [(marker if i == 0 else " " * len(marker)) + s if s else "" for i, s in enumerate(body)] or [marker.rstrip()]
+    def table(self, node: Node, state: dict) -> None:
+        outer, t = self.sheet, Table()
+        outer.blank_line()
 
+        def cell(c: Node, row: list, own: dict) -> None:
+            sheet = Sheet()
 
-def _list(node: Node) -> list[str]:
-    out: list[str] = []
-    start = node.attrs.get("start", "1")
-    count = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for c in node.children:
-        if isinstance(c, str):
-            out += lines_of([c])
-        elif visible(c):
-            if c.tag == "li":
-                own = c.attrs.get("value", "")
-                count = int(own) if node.tag == "ol" and re.fullmatch(r"-?\d{1,9}", own) else count
-                out += _item(c, f"{count}. " if node.tag == "ol" else "* ")
-                count += 1
-            else:
-                out += lines_of([c])
-    return out
+            def after() -> None:
+                sheet.line_end()
+                row.append((sheet.lines, _number(c.attrs.get("colspan"), 1, 1, MOST_COLUMNS), _number(c.attrs.get("rowspan"), 1, 0, MOST_ROWS)))
 
+            self.into(c.children, self.flow, after, **own, sheet=sheet, in_item=False, list=None)
 
-#: Elements may nest so deep in lists, quotes and tables; deeper content is emitted without indentation.
-DEEPEST = 60
-_depth = [0]
+        def in_row(row: list) -> Callable:
+            def take(c: Node | str) -> None:
+                if not isinstance(c, str) and c.tag in ("td", "th"):
+                    if (own := self.seen(c)) is not None:
+                        cell(c, row, own)
+                else:
+                    self.into([c], self.flow, sheet=t.other)
 
+            return take
 
-def lines_of(children: list, inside: str | None = None) -> list[str]:
-    sheet = Sheet()
-    if _depth[0] >= DEEPEST:
-        todo: list = [(c, False) for c in reversed(children)]
-        while todo:
-            c, foreign = todo.pop()
-            if c is None:
-                sheet.line_end()
-            elif isinstance(c, str):
-                sheet.inline(c)
-            elif not visible(c) or (foreign and c.tag in UNDRAWN):
-                continue
-            elif c.tag == "br":
-                sheet.line_end(force=True)
-            elif c.tag == "hr":
-                sheet.put(["---"])
-            elif (field := _field_text(c)) is not None:
-                sheet.inline(field)
+        def in_table(c: Node | str) -> None:
+            if isinstance(c, str):
+                if c.strip():
+                    self.into([c], self.flow, t.other.line_end, sheet=t.other)
+                return
+            own = self.seen(c)
+            if own is None:
+                return
+            if c.tag in ("tr", "td", "th"):  # a cell outside a row is a row of its own
+                t.rows.append([])
+                self.into(c.children if c.tag == "tr" else [c], in_row(t.rows[-1]), t.other.line_end, **own)
+            elif c.tag in ("tbody", "thead", "tfoot"):
+                self.into(c.children, in_table, **own)
             else:
-                foreign = foreign or c.tag in ("svg", "math")
-                edge = None if c.tag in BLOCK else " " if c.tag == "text" and foreign else ""
-                todo += [(edge, foreign), *((x, foreign) for x in reversed(c.children)), (edge, foreign)]
-        sheet.line_end()
-        return sheet.lines
-    _depth[0] += 1
-    try:
-        _render([_ItemContent(children)] if inside == "li" else children, sheet)
-    finally:
-        _depth[0] -= 1
-    sheet.line_end()
-    return sheet.lines
-
+                self.into([c], self.flow, t.other.line_end, sheet=t.other)
 
-class _ItemContent(Node):
-    """A transparent holder that marks its content as part of a list item."""
+        def after() -> None:
+            outer.put(t.lines())
+            outer.blank_line()
 
-    def __init__(self, children: list):
-        super().__init__("li-content", {})
-        self.children = children
+        self.into(node.children, in_table, after, **state, in_item=False, list=None)
 
 
 def page_text(html: str) -> str:
     """All visible text of a page: lines joined by line feeds, without trailing spaces, at most one blank line in a row."""
-    lines = lines_of(parse(html).children)
     out: list[str] = []
-    for s in lines:
+    for s in Page(*parse(html)).sheet.lines:
         s = s.rstrip()
         if s or (out and out[-1]):
             out.append(s)
