@@ -8,6 +8,7 @@ reads it again as the next one's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from attesta.llm.common import discard, materialize, read
@@ -35,9 +36,25 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens, in training order.
+
+    The order of the mix is that of its files and of the rows in them, which a
+    reader does not keep: rows go back to one partition a file and are sorted
+    there, so that sequence ids ascend with the training position.
+    """
     path = tokenizer_path("word_bpe_49k.json")
-    return packing.pack(docs, lambda: packing.word_tokenizer(path))
+    return packing.pack(in_file_order(docs), lambda: packing.word_tokenizer(path))
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """The rows of files in the order of the files' names and of the rows in them; rows that come from no file as they are."""
+    files = sorted(path.rsplit("/", 1)[-1] for path in docs.inputFiles())
+    if not files:
+        return docs
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file int, _name string")
+    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    known = placed.join(F.broadcast(numbers), "_name")  # a row per file
+    return known.repartitionById(len(files), "_file").sortWithinPartitions("_row").select(*docs.columns)
 
 
 STAGES = [
