@@ -65,11 +65,11 @@ class WordTokenizer:
     PARTS = re.compile(r"[^\W\d_]+|[\W\d_]+")
     SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, runs: int = CACHE_RUNS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.runs = Remembered(CACHE_WORDS), Remembered(CACHE_RUNS)
+        self.words, self.runs = Remembered(words), Remembered(runs)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -133,9 +133,9 @@ class WordTokenizer:
 
 
 @lru_cache(4)
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, words: int = CACHE_WORDS, runs: int = CACHE_RUNS) -> WordTokenizer:
     """The tokenizer of a file, one for all tasks of a worker, so that words stay known."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, words, runs)
 
 
 class Packer:

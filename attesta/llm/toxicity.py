@@ -34,7 +34,7 @@ SAMPLE_BYTES, ROW_BYTES = 32 << 20, 1 << 20
 #: Rows whose crc32(id) has this remainder mod 5 are held out and never fitted on.
 HELD_OUT = 0
 #: Words whose score a task remembers, tokens of a batch, and tokens of a chunk of the chain.
-CACHE_WORDS, BATCH_TOKENS, CHUNK = 400_000, 1_000_000, 64
+CACHE_WORDS, BATCH_TOKENS, CHUNK = 150_000, 500_000, 64
 
 
 def features(word: str) -> list[tuple[int, str]]:
