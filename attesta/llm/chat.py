@@ -5,12 +5,14 @@ role or a text lose their first character to an escape, so the template's own
 are the only ones: `\` becomes `\\`, `</s>` becomes `\l/s>` and `[INST]`
 becomes `\bINST]`; `unescape` reverses it exactly.
 
-Prefix sums of turn tokens deal turns to windows: a window is a cell of half
-the room for new turns, so that a turn that straddles the cell's end still
-fits; a turn longer than that half is a window of its own. A window repeats
-the system turn and as much of the window before it as the history allows;
-repeated targets are masked. Prefix sums are two-level, over blocks of turns,
-so that a long conversation is never one task.
+Prefix sums of turn tokens deal turns to windows. A conversation's room for new
+turns is the budget without its system turn and the history. Windows are cells
+of that room less its longest usual turn, so that a turn that straddles the
+cell's end still fits; a turn longer than half the room is a window of its own.
+A window repeats the system turn and as much of the window before it as history
+and budget allow; where its first new turn is a target, the turn before it is
+repeated wherever both fit. Repeated targets are masked. Prefix sums are
+two-level, over blocks of turns, so that a long conversation is never one task.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm.common import materialize, salted_join
+
 OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
-#: Tokens of a window, of its repeated history, and of its system turn at most.
-BUDGET, HISTORY, SYSTEM = 4096, 512, 512
+#: Tokens of a window and of its repeated history; new turns have a quarter of a window at least, however long the system turn is.
+BUDGET, HISTORY, LEAST_SHARE = 4096, 512, 4
 #: Tokens that the template adds to a turn.
 TURN_OVERHEAD = 8
 #: Turn numbers to a block of the two-level prefix sums.
@@ -49,7 +53,7 @@ def turn_tokens(text: Column) -> Column:
 
 def chat_windows(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens=turn_tokens,
+    budget: int = BUDGET, history: int = HISTORY, tokens=turn_tokens,
 ) -> DataFrame:
     """One row per window: conv_id, window, text, repeated, loss (array of start, length), tokens.
 
@@ -57,37 +61,49 @@ def chat_windows(
     own, a null role or text is an empty one, and a null conv_id is a
     conversation of its own. `window` orders the windows of a conversation.
     `repeated` counts the leading turns of a window that stand for context only:
-    its system turn (the conversation's first, if it is within `system` tokens)
-    and the history. `loss` has the code-point spans of the texts of new
-    assistant turns. A window is over budget only where one turn alone is. An
-    empty table gives no rows; other columns are ignored.
+    its system turn (the conversation's first, of any length) and the history.
+    `loss` has the code-point spans of the texts of new assistant turns. A
+    window is over budget only where one turn, or the system turn with it, is
+    longer than the room that is left. An empty table gives no rows; other
+    columns are ignored.
     """
-    half = max(1, (budget - history - system) // 2)
-    by_turn = ["turn", "role", "raw"]
     rows = turns.select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("raw")
+        F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("raw")
+    )
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-1))).withColumn("tok", tokens(F.col("raw"))).withColumn("key", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("n")))
+    # text-free counts first: the system turn's length gives a conversation's room, the room its long turns and its cells
+    system = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "raw", "tok")))
+    sizes = rows.groupBy("key", "block", "tok").agg(F.count(F.lit(1)).alias("n"))
+    room = rows.groupBy("key").agg(system.alias("s")).select("key", F.greatest(F.lit(budget - history) - F.coalesce("s.tok", F.lit(0)), F.lit(max(2, budget // LEAST_SHARE))).alias("room"))
+    sized = salted_join(sizes, room, ["key"], F.col("block")).withColumn("big", (F.col("tok") > F.floor(F.col("room") / 2)).cast("long"))
+    blocks = sized.groupBy("key", "block").agg(
+        F.sum(F.col("tok") * F.col("n")).alias("tok"), F.sum(F.col("big") * F.col("n")).alias("big"), F.sum("n").alias("n"), F.max(F.when(F.col("big") == 0, F.col("tok"))).alias("widest"), F.first("room").alias("room")
     )
-    rows = rows.withColumn("block", F.floor(F.col("turn") / F.lit(BLOCK))).withColumn("tok", tokens(F.col("raw"))).withColumn("key", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("n")))
-    rows = rows.withColumn("big", (F.col("tok") > half).cast("long"))
-    blocks = rows.groupBy("key", "block").agg(F.sum("tok").alias("tok"), F.sum("big").alias("big"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = blocks.select("key", "block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("tok", "big", "n")])
-    within = Window.partitionBy("key", "block").orderBy(*by_turn).rowsBetween(Window.unboundedPreceding, -1)
+    cell = F.greatest(F.lit(1), F.col("room") - F.coalesce(F.max("widest").over(Window.partitionBy("key")), F.lit(0)))
+    base = blocks.select("key", "block", "room", cell.alias("cell"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("tok", "big", "n")])
+    within = Window.partitionBy("key", "block").orderBy("turn", "role", "raw").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.col(f"{c}0") + F.coalesce(F.sum(c).over(within), F.lit(0))
-    placed = rows.join(base, [rows["key"].eqNullSafe(base["key"]), rows["block"].eqNullSafe(base["block"])]).drop(base["key"]).drop(base["block"])
-    placed = placed.withColumn("one", F.lit(1).cast("long")).withColumn("start", so_far("tok")).withColumn("bigs", so_far("big")).withColumn("at", F.col("n0") + F.coalesce(F.sum("one").over(within), F.lit(0)))
+    placed = rows.join(base, ["key", "block"]).withColumn("big", (F.col("tok") > F.floor(F.col("room") / 2)).cast("long")).withColumn("n", F.lit(1).cast("long"))
+    placed = placed.withColumn("start", so_far("tok")).withColumn("bigs", so_far("big")).withColumn("at", so_far("n"))
     # windows follow each other as (run, cell): a big turn ends one run and is the next
-    placed = placed.withColumn("window", F.struct((F.col("bigs") * 2 + F.col("big")).alias("run"), F.floor(F.col("start") / F.lit(half)).cast("long").alias("cell")))
-    spans = placed.groupBy("key", "window").agg(F.max(F.col("start") + F.col("tok")).alias("end"), F.min("at").alias("first_at"))
-    after = spans.select("key", "window", "end", F.lead("window").over(Window.partitionBy("key").orderBy("window")).alias("next"))
+    placed = placed.withColumn("window", F.struct((F.col("bigs") * 2 + F.col("big")).alias("run"), F.floor(F.col("start") / F.col("cell")).cast("long").alias("cell")))
+    placed, _ = materialize(placed.select("key", "conv", "at", "role", "raw", "tok", "start", "window"), "turns")
+    first = placed.where(F.col("role") == "system").groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok", F.col("window").alias("own"))).alias("s")).select("key", "s.*")
+    spans = placed.groupBy("key", "window").agg(F.max(F.col("start") + F.col("tok")).alias("end"), F.min("at").alias("first_at"), F.sum("tok").alias("own"), F.min_by("role", "at").alias("opens"))
+    held = spans.join(first.select("key", F.col("tok").alias("held")), "key", "left")
+    follow = Window.partitionBy("key").orderBy("window")
+    nxt = lambda c: F.lead(c).over(follow)
+    after = held.select("key", "window", "end", nxt("window").alias("next"), (F.lit(budget) - F.coalesce("held", F.lit(0)) - nxt("own")).alias("left"), nxt("opens").alias("opens"))
     turn = ["conv", "at", "role", "raw", "tok"]
     near = placed.select("key", "window", "start", *turn).join(after, ["key", "window"])
-    repeats = (F.col("end") - F.col("start") <= history) & F.col("next").isNotNull() & (F.col("role") != "system")
+    back = F.col("end") - F.col("start")
+    prompt = (back == F.col("tok")) & (F.col("opens") == TARGET_ROLE) & (F.col("tok") <= F.col("left"))
+    repeats = ((back <= F.least(F.lit(history), F.col("left"))) | prompt) & F.col("next").isNotNull() & (F.col("role") != "system")
     own = near.withColumn("copy", F.explode(F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     where = F.when(F.col("copy") == 0, F.col("window")).otherwise(F.col("next"))
     lines = own.select("key", where.alias("window"), (F.lit(2) - F.col("copy")).alias("kind"), *turn)
     # the first system turn goes to every window after its own
-    first = placed.where((F.col("role") == "system") & (F.col("tok") <= system)).groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok", F.col("window").alias("own"))).alias("s")).select("key", "s.*")
     again = spans.select("key", "window", "first_at").join(first, "key").where((F.col("first_at") > F.col("at")) & (F.col("window") != F.col("own")))
     parts = lines.unionByName(again.select("key", "window", F.lit(0).alias("kind"), *turn)).select(
         "key", "window", "kind", "conv", "at", "tok", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE)).alias("head"), escape(F.col("raw")).alias("body"),
@@ -105,7 +121,11 @@ def chat_windows(
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
-    """Add to chat_windows rows what they say: turns (array of role, text), without the repeated, and loss_texts (array)."""
+    """Add to chat_windows rows what they say: turns (array of role, text), without the repeated, and loss_texts (array).
+
+    Every window has turns, of which any may be empty; a window without targets
+    has no loss texts. No windows give no rows.
+    """
     parts = F.slice(F.split("text", F.lit(END)), F.col("repeated") + 1, F.greatest(F.size(F.split("text", F.lit(END))) - 1 - F.col("repeated"), F.lit(0)))
     turns = F.transform(parts, lambda p: F.struct(
         unescape(F.substring(p, F.lit(len(OPEN) + 1), F.instr(p, CLOSE) - F.lit(len(OPEN) + 1))).alias("role"),
@@ -119,7 +139,8 @@ def conversation_digests(windows: DataFrame, conv_col: str = "conv_id") -> DataF
     """One row per conversation, read back from its windows: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_windows.
 
     A digest needs the whole conversation as one string, so this row is as
-    large as its conversation; the windows themselves are bounded.
+    large as its conversation; the windows themselves are bounded. A null
+    conv_id is a conversation; no windows give no rows.
     """
     read = read_windows(windows)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

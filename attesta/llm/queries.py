@@ -96,7 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_html_text, op2_chat_format, op3_toxicity, op4_fingerprint, op5_simhash_dedup, op6_exact_dedup, op7_packing, op8_mixing, op9_warc_revisits, op10_token_spans, pipeline)
 }
 
-_HALF = max(1, (chat.BUDGET - chat.HISTORY - chat.SYSTEM) // 2)
 #: Code points that escaping adds to a text or role x.
 _ADDED = """(length({x}) - length(replace({x}, chr(92), '')) + (length({x}) - length(replace({x}, '</s>', ''))) // 4 + (length({x}) - length(replace({x}, '<s>', ''))) // 3
   + (length({x}) - length(replace({x}, '<<SYS>>', ''))) // 7 + (length({x}) - length(replace({x}, '<</SYS>>', ''))) // 8
@@ -108,14 +107,17 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 k AS (SELECT *, ((strlen(text) + 3) // 4 + {chat.TURN_OVERHEAD})::BIGINT AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM t),
-p AS (SELECT *, (tok > {_HALF})::BIGINT AS big, sum(tok) OVER w - tok AS start_, sum((tok > {_HALF})::BIGINT) OVER w - (tok > {_HALF})::BIGINT AS bigs,
+r AS (SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(arg_min(tok, pos) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id), 0), {chat.BUDGET // chat.LEAST_SHARE}) AS room FROM k),
+b AS (SELECT *, room - coalesce(max(tok) FILTER (WHERE tok <= room // 2) OVER (PARTITION BY conv_id), 0) AS size FROM r),
+p AS (SELECT *, (tok > room // 2)::BIGINT AS big, sum(tok) OVER w - tok AS start_, sum((tok > room // 2)::BIGINT) OVER w - (tok > room // 2)::BIGINT AS bigs,
   length('{chat.OPEN}{chat.CLOSE}{chat.END}') + length(role) + length(text) + {_ADDED.format(x="role")} + {_ADDED.format(x="text")} AS len
-  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-q AS (SELECT *, 2 * bigs + big AS run, start_ // {_HALF} AS cell FROM p),
-s AS (SELECT conv_id, run, cell, max(start_ + tok) AS end_, min(pos) AS first_pos FROM q GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY run, cell) < count(*) OVER (PARTITION BY conv_id) AS has_next FROM s),
-f AS (SELECT conv_id, arg_min(struct_pack(pos := pos, len := len, run := run, cell := cell), pos) AS y FROM q WHERE role = 'system' AND tok <= {chat.SYSTEM} GROUP BY conv_id),
-own AS (SELECT conv_id, sum(len + CASE WHEN has_next AND end_ - start_ <= {chat.HISTORY} AND role <> 'system' THEN len ELSE 0 END) AS chars FROM q JOIN n USING (conv_id, run, cell) GROUP BY conv_id),
+  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+q AS (SELECT *, 2 * bigs + big AS run, start_ // greatest(1, size) AS cell FROM p),
+s AS (SELECT conv_id, run, cell, max(start_ + tok) AS end_, min(pos) AS first_pos, sum(tok) AS own, arg_min(role, pos) AS opens FROM q GROUP BY ALL),
+f AS (SELECT conv_id, arg_min(struct_pack(pos := pos, len := len, tok := tok, run := run, cell := cell), pos) AS y FROM q WHERE role = 'system' GROUP BY conv_id),
+n AS (SELECT s.*, lead(own) OVER w AS next_own, lead(opens) OVER w AS next_opens, {chat.BUDGET} - coalesce(f.y.tok, 0) - lead(own) OVER w AS left_ FROM s LEFT JOIN f ON s.conv_id = f.conv_id WINDOW w AS (PARTITION BY s.conv_id ORDER BY run, cell)),
+own AS (SELECT conv_id, sum(len + CASE WHEN next_own IS NOT NULL AND role <> 'system' AND (end_ - start_ <= least({chat.HISTORY}, left_) OR (end_ - start_ = tok AND next_opens = '{chat.TARGET_ROLE}' AND tok <= left_)) THEN len ELSE 0 END) AS chars
+  FROM q JOIN n USING (conv_id, run, cell) GROUP BY conv_id),
 sys AS (SELECT conv_id, sum(f.y.len) AS chars FROM n JOIN f USING (conv_id) WHERE first_pos > f.y.pos AND NOT (n.run = f.y.run AND n.cell = f.y.cell) GROUP BY conv_id),
 c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM q GROUP BY conv_id)

@@ -56,7 +56,7 @@ def test_chat(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice([None, "", "\\l</s>\\", "[INST] x [/INST]<<SYS>>", words(rng, 300)])) for c in range(12) for t in range(rng.randrange(1, 30))]
     rows += [(None, 0, "user", "n"), (3, 0, None, "null role"), (3, 0, None, "null role")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    windows = chat.chat_windows(df, budget=900, history=200, system=100)
+    windows = chat.chat_windows(df, budget=900, history=200)
     assert windows.where("tokens > 900").count() <= sum(len(r[3] or "") / 4 + 9 > 300 for r in rows)
     got = {r.conv_id: r for r in chat.conversation_digests(windows).collect()}
     by = collections.defaultdict(list)
@@ -610,3 +610,51 @@ def test_training_order_survives_to_packing(spark):
     packed = corpus_pipeline.pack_sequences(spark, written, sf).collect()
     once = {r.doc_id for r in want} - {r.doc_id for k, r in enumerate(want) if any(x.doc_id == r.doc_id for x in want[:k])}
     assert once and all((r.sequence_id >> 40) == part[r.doc_id] for r in packed if sum(x.doc_id == r.doc_id for x in want) == 1)
+
+
+def test_chat_windows_against_brute_force(spark):
+    """Long system turns stay, prompts stay with their answers, and windows fill their room."""
+    rng = random.Random(3)
+    rows = []
+    for c in range(25):
+        size = 4 * rng.choice([5, 30, 150])
+        if c % 3:
+            rows.append((c, 0, "system", "s" * rng.choice([40, 400, 1600])))
+        for t in range(1, rng.randrange(2, 40)):
+            rows.append((c, t, "assistant" if t % 2 == 0 else "user", "x" * rng.choice([size, size, 4 * rng.randrange(1, 420)])))
+    df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, key string, n int")
+    budget, history = 600, 80
+    got = collections.defaultdict(list)
+    for r in chat.read_windows(chat.chat_windows(df, budget=budget, history=history)).collect():
+        got[r.conv_id].append(r)
+    cost = lambda text: -(-len(text) // 4) + chat.TURN_OVERHEAD
+    filled = []
+    for c in {r[0] for r in rows}:
+        turns = [(role, text) for _, _, role, text in sorted(r for r in rows if r[0] == c)]
+        windows = sorted(got[c], key=lambda w: w.window)
+        assert [tuple(t) for w in windows for t in w.turns] == turns
+        system = next((t for t in turns if t[0] == "system"), None)
+        seen = 0
+        for k, w in enumerate(windows):
+            parts = w.text.split(chat.END)[: w.repeated]
+            context = [(p[len(chat.OPEN) : p.index(chat.CLOSE)], p[p.index(chat.CLOSE) + len(chat.CLOSE) :]) for p in parts]
+            own = [tuple(t) for t in w.turns]
+            held = cost(system[1]) if system and k and turns.index(system) < seen else 0
+            assert (context[:1] == [system]) == bool(held)
+            repeated = context[bool(held) :]
+            assert repeated == [t for t in turns[seen - len(repeated) : seen]] if repeated else True
+            total = held + sum(cost(t) for _, t in own + repeated)
+            assert w.tokens == total
+            room = max(budget - history - (cost(system[1]) if system else 0), budget // chat.LEAST_SHARE)
+            assert len(own) == 1 or sum(cost(t) for _, t in own) <= room
+            assert total <= budget or not repeated
+            if k and own[0][0] == "assistant" and turns[seen - 1][0] != "system":
+                before = cost(turns[seen - 1][1])
+                held_any = cost(system[1]) if system else 0
+                if before + held_any + sum(cost(t) for _, t in own) <= budget:
+                    assert repeated[-1:] == [turns[seen - 1]]
+            seen += len(own)
+            if k < len(windows) - 1 and all(cost(t) <= 40 for _, t in turns if _ != "system"):
+                filled.append(sum(cost(t) for _, t in own) / room)
+        assert [unescaped for w in windows for unescaped in w.loss_texts] == [t for r, t in turns if r == "assistant"]
+    assert not filled or sum(filled) / len(filled) > 0.7
