@@ -152,22 +152,3 @@ class Forest:
                     at = np.arange(total) - np.repeat(ends - many - low, many)
                     stack.append((np.repeat(q, many), self.child[at]))
         return self.labels.of
-
-    def within(self, queries: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (query position, node) pairs within the radius of free-standing query keys."""
-        found = []
-        stack = [(np.arange(len(queries)), np.asarray(roots))]
-        r = self.radius
-        while stack:
-            q, node = stack.pop()
-            d = distance(queries[q], self.keys[node])
-            found.append((q[d <= r], node[d <= r]))
-            low = np.searchsorted(self.slot, node * 128 + np.maximum(d - r, 0), "left")
-            high = np.searchsorted(self.slot, node * 128 + np.minimum(d + r, 64), "right")
-            many = high - low
-            total = int(many.sum())
-            if total:
-                ends = np.cumsum(many)
-                at = np.arange(total) - np.repeat(ends - many - low, many)
-                stack.append((np.repeat(q, many), self.child[at]))
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])

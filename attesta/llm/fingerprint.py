@@ -1,8 +1,8 @@
 """Document fingerprints: weighted SimHash of 256 bits and permuted block tables.
 
-Terms are words and runs of two and three words. A term's weight falls with its
-length rank and grows with the log of its count; each bit of its hash adds the
-weight to one of 256 signed votes. Fingerprints within a Hamming radius are
+Terms are words and runs of two and three words. A term's weight is that of
+its number of words and grows with the log of its count; each bit of its hash
+adds the weight to one of 256 signed votes. Fingerprints within a Hamming radius are
 found through tables that each put another block of bits first: of radius + 1
 blocks, one is equal in any two such fingerprints.
 """

@@ -658,3 +658,94 @@ def test_chat_windows_against_brute_force(spark):
                 filled.append(sum(cost(t) for _, t in own) / room)
         assert [unescaped for w in windows for unescaped in w.loss_texts] == [t for r, t in turns if r == "assistant"]
     assert not filled or sum(filled) / len(filled) > 0.7
+
+
+def test_token_spans_against_brute_force(spark, texts):
+    """Every token by itself: the section that holds most of its bytes, the earlier one of equals."""
+    import public_tokenizers
+
+    make_tokens = lambda: token_spans.ByteTokenizer(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoding = make_tokens().encoding
+    rng = random.Random(6)
+    lines = [None if t is None else "".join("\n" if rng.random() < 0.04 else c for c in t[:3000]) for t in texts] + ["é\n\n\nü€\n", "\n", "a\r\n b"]
+
+    def expected(parts):
+        ends, at = [], 0
+        for p in parts:
+            at += len(p.encode())
+            ends.append(at)
+        starts = [0, *ends[:-1]]
+        count, crossing, at = [0] * len(parts), [0] * len(parts), 0
+        for token in encoding.encode_ordinary("".join(parts)):
+            stop = at + len(encoding.decode_single_token_bytes(token))
+            share = [max(0, min(e, stop) - max(s, at)) for s, e in zip(starts, ends)]
+            of = share.index(max(share))
+            count[of] += 1
+            crossing[of] += sum(x > 0 for x in share) > 1
+            at = stop
+        return list(zip(count, crossing))
+
+    got = collections.defaultdict(list)
+    for r in token_spans.section_tokens(make(spark, lines), make_tokens).collect():
+        got[r.doc_id].append((r.section, r.n_tokens, r.n_crossing))
+    for i, t in enumerate(lines):
+        parts = [p for p in (t or "").split("\n")]
+        parts = [p + "\n" for p in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
+        assert [x[1:] for x in sorted(got[i])] == (expected(parts) if parts else [(0, 0)]), i
+    rows = [(1, "a b", "cé", None), (2, None, None, None), (2, None, None, None), (3, "x" * 5000, "", "y z")]
+    fields = spark.createDataFrame(rows, "doc_id long, title string, body string, field string")
+    names = ["title", "body", "field"]
+    found = collections.Counter((r.doc_id, r.field, r.n_tokens, r.n_crossing) for r in token_spans.field_tokens(fields, make_tokens, names).collect())
+    want = collections.Counter()
+    for i, *values in rows:
+        parts = [(v or "") + ("\n" if k < 2 else "") for k, v in enumerate(values)]
+        want.update((i, n, *x) for n, x in zip(names, expected(parts)))
+    assert found == want
+    assert token_spans.section_tokens(make(spark, lines).limit(0), make_tokens).count() == 0 and token_spans.field_tokens(fields.limit(0), make_tokens, names).count() == 0
+
+
+def test_fingerprints_by_plain_integers(texts):
+    """Both fingerprints bit by bit, without numpy."""
+    import math
+
+    import xxhash
+
+    whole = (1 << 64) - 1
+
+    def mixed(h):
+        h = ((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9) & whole
+        return h ^ (h >> 29)
+
+    for t in texts[:12] + texts[-7:]:
+        ws = [w for w in "".join(c.lower() if c.isascii() else c for c in t or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+        runs = [" ".join(ws[i : i + 4]) for i in range(len(ws) - 3)] or ([" ".join(ws)] if ws else [])
+        hs = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        assert near_dedup.simhash(near_dedup.shingle_hashes(t, 4)) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+        one = [xxhash.xxh64_intdigest(w.encode(), 7) for w in ws]
+        two = [mixed((a * 0x9E3779B97F4A7C15 + b) & whole) for a, b in zip(one, one[1:])]
+        three = [mixed((a * 0x94D049BB133111EB + b) & whole) for a, b in zip(two, one[2:])]
+        votes, total = [0] * 256, 0
+        for terms, run in zip((one, two, three), fingerprint.RUN_WEIGHTS):
+            for h, n in collections.Counter(terms).items():
+                weight = round(1024 * run * (1 + math.log(n)))
+                total += weight
+                full = b"".join(mixed((h * m + 0xD6E8FEB86659FD93) & whole).to_bytes(8, "little") for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+                for b in range(256):
+                    votes[b] += weight * (full[b // 8] >> (7 - b % 8) & 1)
+        bits = "".join("1" if 2 * v > total else "0" for v in votes)
+        assert fingerprint.fingerprint(t or "", fingerprint.WordHashes()).hex() == f"{int(bits, 2):064x}"
+
+
+def test_near_copies_recall(spark):
+    """Links of all pairs that share a shingle, against brute force: recall of 0.9 at least."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    sets = [(r.doc_id, set(near_dedup.shingle_hashes(r.text, 5).tolist())) for r in rows]
+    by = collections.defaultdict(set)
+    for k, (_, s) in enumerate(sets):
+        for h in s:
+            by[h].add(k)
+    pairs = {(a, b) for ks in by.values() if len(ks) < 200 for a in ks for b in ks if a < b}
+    links = [(a, b) for a, b in pairs if len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])]
+    groups = {r.node: r.component for r in near_dedup.near_groups(spark.createDataFrame(rows)).collect()}
+    found = sum(groups.get(sets[a][0], -1) == groups.get(sets[b][0], -2) for a, b in links)
+    assert len(links) > 50 and found >= 0.9 * len(links), (found, len(links))
