@@ -44,7 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     path = tokenizer_path("word_bpe_49k.json")
     # workers of earlier stages still hold memory: fewer words are remembered here
-    return packing.pack(in_file_order(docs), lambda: packing.word_tokenizer(path, 400_000, 250_000))
+    return packing.pack(in_file_order(docs.select("doc_id", "text")), lambda: packing.word_tokenizer(path, 400_000, 250_000))
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:
@@ -53,9 +53,12 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     if not files:
         return docs
     numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_file int, _name string")
-    placed = docs.select(*docs.columns, F.col("_metadata.file_name").alias("_name"), F.col("_metadata.row_index").alias("_row"))
+    place = docs.metadataColumn("_metadata")
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    placed = docs.select(row.alias("row"), place["file_name"].alias("_name"), place["row_index"].alias("_at"))
     known = placed.join(F.broadcast(numbers), "_name")  # a row per file
-    return known.repartitionById(len(files), "_file").sortWithinPartitions("_row").select(*docs.columns)
+    ordered = known.repartitionById(len(files), "_file").sortWithinPartitions("_at")
+    return ordered.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 STAGES = [
