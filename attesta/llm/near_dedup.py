@@ -11,8 +11,9 @@ fingerprints fits one machine:
   pairs and the texts' whole shingle sets confirm them.
 
 A shard's fingerprints go to the task that builds its tree; shards over
-`shard_cap` texts or PIECE_BYTES of sets are cut into pieces and every pair of pieces gets a tree, so memory
-is bounded and no pair is lost. Trees give forest edges, never all pairs.
+`shard_cap` texts or PIECE_BYTES of sets are cut into pieces, and only what
+is not connected to one lead text of the shard meets all pieces, so memory is
+bounded and no pair is lost. Trees give forest edges, never all pairs.
 """
 
 from __future__ import annotations
@@ -102,39 +103,29 @@ def block_count(n: int, radius: int, per_shard: int = 64, most: int = 4) -> int:
     return radius + most
 
 
-def _pieces(shards: DataFrame, cap: int, spread: F.Column, size: F.Column | None = None) -> DataFrame:
-    """Add i, j: the pair of pieces of its shard that a row serves; (0, 0) where the shard is one piece.
+def _forests(units: DataFrame, radius: int, columns: list[str], verifier: Callable[[pa.Table], tuple] | None = None, members: bool = False) -> DataFrame:
+    """Edges (u, v) of a spanning forest of the links found in each unit (t, key, i, j) of rows.
 
-    `size` is the bytes that a row will bring, if they are to bound a piece too.
+    With `members`, where the row marked `lead` stands first in its unit, each
+    other row instead: (t, key, i, id, bytes, v, near), v the row that its set
+    in the unit is named by, near whether the lead is in that set.
     """
-    room = F.count(F.lit(1)) / F.lit(cap)
-    if size is not None:
-        room = F.greatest(room, F.sum(size) / F.lit(PIECE_BYTES))
-    sizes = shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.ceil(room).cast("int").alias("_s"))
-    many = sizes.where(F.col("n") > 1)
-    cut = salted_join(shards, many, ["t", "key"], spread)
-    s = F.col("_s")
-    own = F.pmod(F.xxhash64(spread), s).cast("int")
-    other = F.explode(F.when(s > 1, F.sequence(F.lit(0), s - 1)).otherwise(F.array(F.lit(0))))
-    return (
-        cut.withColumn("_own", own).withColumn("_other", other)
-        .withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other"))
-        .drop("_own", "_other", "n", "_s")
-    )
-
-
-def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: Callable[[pa.Table], tuple] | None = None) -> DataFrame:
-    """Edges (u, v) of a spanning forest of the links found in each unit (t, key, i, j) of rows."""
+    schema = "t int, key long, i int, id long, bytes long, v long, near boolean" if members else "u long, v long"
 
     def edges(table: pa.Table) -> pa.RecordBatch:
-        unit = table.select(["t", "key", "i", "j"])
-        code = [unit.column(c).to_numpy() for c in ("t", "key", "i", "j")]
+        code = [table.column(c).to_numpy() for c in ("t", "key", "i", "j")]
         new = np.zeros(len(table), dtype=bool)
         for c in code:
             new[1:] |= c[1:] != c[:-1]
-        ids = table.column("id").to_numpy()
-        forest = Forest(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), radius, *(verifier(table) if verifier else ()))
+        unit, ids = np.cumsum(new), table.column("id").to_numpy()
+        forest = Forest(table.column("fp").to_numpy().view(np.uint64), unit, radius, *(verifier(table) if verifier else ()))
         of = forest.components()
+        if members:
+            first = np.r_[0, np.flatnonzero(new)][unit]
+            rest = np.flatnonzero(~table.column("lead").to_numpy(zero_copy_only=False))
+            kept = table.select(["t", "key", "i", "id", "bytes"]).take(pa.array(rest)).combine_chunks()
+            out = [c.combine_chunks() for c in kept.columns] + [pa.array(ids[of[rest]]), pa.array((of == first)[rest])]
+            return pa.RecordBatch.from_arrays(out, ["t", "key", "i", "id", "bytes", "v", "near"])
         far = np.flatnonzero((of != np.arange(len(of))) & (ids[of] != ids))
         return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[of[far]])], ["u", "v"])
 
@@ -160,8 +151,49 @@ def _forest_edges(units: DataFrame, radius: int, columns: list[str], verifier: C
         if rows:
             yield edges(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = units.select("t", "key", "i", "j", *columns).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "id")
-    return dealt.mapInArrow(work, "u long, v long")
+    extra, order = (["bytes", "lead"], [F.col("lead").desc()]) if members else ([], [])
+    dealt = units.select("t", "key", "i", "j", *columns, *extra).repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", *order, "id")
+    return dealt.mapInArrow(work, schema)
+
+
+def _links(
+    shards: DataFrame, cap: int, radius: int, columns: list[str], fill: Callable[[DataFrame], DataFrame], verifier: Callable[[pa.Table], tuple] | None = None,
+) -> DataFrame:
+    """Edges (u, v) that connect what is linked within each shard of (t, key, id, bytes) rows.
+
+    `fill` adds to rows with an id the columns that a tree needs. A shard of up
+    to `cap` rows and PIECE_BYTES is one tree. A larger one is cut into pieces,
+    and one row of it, the lead, joins every piece. Rows connected to the lead
+    in their piece are connected with each other, so no pair of those has to
+    be looked at again: only the others, in pieces of their own, meet all rows.
+    A hot family of near copies thus costs about its size, and no link is lost.
+    """
+    pieces = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(cap), F.sum("bytes") / F.lit(PIECE_BYTES))).cast("int")
+    sizes = shards.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), pieces().alias("pieces"), F.min(F.struct(F.xxhash64("id"), "id")).getField("id").alias("top"))
+    many, _ = materialize(sizes.where("n > 1").drop("n"), "shards")
+    cut = salted_join(shards, many, ["t", "key"], F.col("id"))
+    zero = F.lit(0)
+    links = _forests(fill(cut.where("pieces = 1").select("t", "key", zero.alias("i"), zero.alias("j"), "id")), radius, columns, verifier)
+    hot = many.where("pieces > 1")
+    if hot.isEmpty():
+        return links
+    piece = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("i")
+    each = F.explode(F.sequence(zero, F.col("pieces") - 1)).alias("i")
+    rows = cut.where("pieces > 1").select("t", "key", piece, "id", "bytes", F.lit(False).alias("lead"))
+    leads = hot.select("t", "key", each, F.col("top").alias("id"), F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("lead"))
+    seen, _ = materialize(_forests(fill(rows.unionByName(leads).withColumn("j", F.col("i"))), radius, columns, verifier, members=True), "members")
+    rest = seen.where("not near").groupBy("t", "key").agg(pieces().alias("others")).join(hot.select("t", "key", "pieces"), ["t", "key"])
+    other = F.pmod(F.xxhash64("id", F.lit(1)), F.col("others")).cast("int")
+    upto = lambda n: F.sequence(zero, n - 1)
+    # pieces of the others are 0 to others - 1, those of the lead's rows follow
+    near_units = F.transform(upto(F.col("others")), lambda x: F.struct(x.alias("i"), (F.col("others") + F.col("i")).alias("j")))
+    own_units = F.concat(
+        F.transform(upto(F.col("others")), lambda x: F.struct(F.least(x, other).alias("i"), F.greatest(x, other).alias("j"))),
+        F.transform(upto(F.col("pieces")), lambda x: F.struct(other.alias("i"), (F.col("others") + x).alias("j"))),
+    )
+    again = salted_join(seen, rest, ["t", "key"], F.col("id")).select("t", "key", "id", F.explode(F.when(F.col("near"), near_units).otherwise(own_units)).alias("unit"))
+    met = _forests(fill(again.select("t", "key", "unit.i", "unit.j", "id")), radius, columns, verifier)
+    return links.unionByName(seen.where("id <> v").select(F.col("id").alias("u"), "v")).unionByName(met)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, shard_cap: int = SHARD_CAP) -> DataFrame:
@@ -177,10 +209,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_row, _ = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     nodes, _ = materialize(per_row.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
     blocks = block_count(nodes.count(), radius)
-    shards = nodes.select("fp", F.explode(_block_keys(F.col("fp"), radius, blocks)).alias("s")).select("s.t", "s.key", "fp", F.col("fp").alias("id"))
-    links = _forest_edges(_pieces(shards, shard_cap, F.col("fp")), radius, ["id", "fp"])
+    shards = nodes.select("fp", F.explode(_block_keys(F.col("fp"), radius, blocks)).alias("s")).select("s.t", "s.key", F.col("fp").alias("id"), F.lit(0).cast("long").alias("bytes"))
+    links = _links(shards, shard_cap, radius, ["id", "fp"], lambda rows: rows.withColumn("fp", F.col("id")))
     # nodes are named by their fingerprint while links are followed, then by the least id
-    parts = connected_components(links.select("u", "v"))
+    parts = connected_components(links)
     named = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("part"))
     least = named.groupBy("part").agg(F.min("id").alias("component_id"))
     of_fp = salted_join(named.select("fp", "part"), least, ["part"], F.col("fp")).select("fp", "component_id")
@@ -281,11 +313,9 @@ def near_groups(
         turn = math.acos(2 * threshold / (1 + threshold)) / math.pi
         radius = math.ceil(64 * turn + 5 * math.sqrt(64 * turn * (1 - turn)))
     feats, _ = materialize(_features(docs, id_col, text_col, words, bands, rows), "features")
-    shards = feats.select("id", F.octet_length("sketch").cast("long").alias("bytes"), F.posexplode("keys").alias("t", "key"))
-    units = _pieces(shards, shard_cap, F.col("id"), F.col("bytes")).drop("bytes")
-    filled = salted_join(units, feats.select("id", "fp", "sketch"), ["id"], F.col("t"), 1)
-    links = _forest_edges(filled, radius, ["id", "fp", "sketch"], _similar(mapped, threshold))
-    return connected_components(links)
+    shards = feats.where("id IS NOT NULL").select("id", F.octet_length("sketch").cast("long").alias("bytes"), F.posexplode("keys").alias("t", "key"))
+    fill = lambda units: salted_join(units, feats.select("id", "fp", "sketch"), ["id"], F.col("t"), 1)
+    return connected_components(_links(shards, shard_cap, radius, ["id", "fp", "sketch"], fill, _similar(mapped, threshold)))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -749,3 +749,45 @@ def test_near_copies_recall(spark):
     groups = {r.node: r.component for r in near_dedup.near_groups(spark.createDataFrame(rows)).collect()}
     found = sum(groups.get(sets[a][0], -1) == groups.get(sets[b][0], -2) for a, b in links)
     assert len(links) > 50 and found >= 0.9 * len(links), (found, len(links))
+
+
+@pytest.mark.parametrize("families", [1, 4, 40])
+def test_hot_shards_lose_no_link(spark, families):
+    """Shards far over the cap: one family about its lead, several, and rows that are mostly alone."""
+    rng = np.random.default_rng(families)
+    k = rng.integers(0, 2**63, families, dtype=np.uint64)[rng.integers(0, families, 150)]
+    for _ in range(4):
+        k = k ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
+    k = np.unique(k)
+    keys = [int(x) if x < 2**63 else int(x) - 2**64 for x in k]
+    shards = spark.createDataFrame([(t, 9, i, 1) for t in (0, 1) for i in range(len(keys)) if t == 0 or i < 3], "t int, key long, id long, bytes long")
+    of = spark.createDataFrame(list(enumerate(keys)), "id long, fp long")
+    want = brute_components([int(x) for x in k], 4)
+    got = {r.node: r.component for r in components.connected_components(near_dedup._links(shards, 7, 4, ["id", "fp"], lambda rows: rows.join(of, "id"))).collect()}
+    assert [got.get(i, i) for i in range(len(keys))] == want
+
+
+def test_near_groups_of_a_hot_family(spark):
+    """A large family, null ids and a cap far below its size: the groups are those of one tree."""
+    rng = random.Random(8)
+    base = words(rng, 150).split()
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [words(rng, 80) for _ in range(10)])] + [(None, texts[0])] * 9, "doc_id long, text string")
+    groups = [sorted(tuple(r) for r in near_dedup.near_groups(docs, shard_cap=cap).collect()) for cap in (6, 32_768)]
+    assert groups[0] == groups[1] and len(groups[0]) > 30
+    assert near_dedup.drop_near(docs, shard_cap=6).where("doc_id IS NULL").count() == 9
+
+
+def test_file_order_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    path = str(tmp_path / "docs")
+    spark.range(50).selectExpr("id AS doc_id", "'x' AS text", "1 AS _file", "2 AS _name", "3 AS _row", "4 AS row", "5 AS `a.b`", "6 AS _metadata").repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = corpus_pipeline.in_file_order(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == list(range(50))
