@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, exact_dedup, fingerprint, html_text, mixing, near_dedup, packing, token_spans, toxicity, warc
+from attesta.llm import chat, exact_dedup, exponion, fingerprint, html_text, merkle, mixing, near_dedup, packing, suffix, token_spans, toxicity, warc
 from attesta.llm.common import fresh_path, materialize, read
 
 
@@ -85,6 +85,22 @@ def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.section_tokens(read(spark, sf_dir, "documents"), lambda: token_spans.ByteTokenizer(path, pattern))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.clusters(read(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, salt="1")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    text = F.regexp_replace("text", "\n", "")
+    now = merkle.leaf_digest([text if f == "text" else F.col(f) for f in merkle.FIELDS])
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(docs, tampered=F.when(touched, now))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_text, op2_chat_format, op3_toxicity, op4_fingerprint, op5_simhash_dedup, op6_exact_dedup, op7_packing, op8_mixing, op9_warc_revisits, op10_token_spans, pipeline)
+    for f in (op1_html_text, op2_chat_format, op3_toxicity, op4_fingerprint, op5_simhash_dedup, op6_exact_dedup, op7_packing, op8_mixing, op9_warc_revisits, op10_token_spans, op11_suffix_dedup, op12_clusters, op13_merkle_manifest, pipeline)
 }
 
 #: Code points that escaping adds to a text or role x.
@@ -149,4 +165,81 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM m""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM d),
+w AS (SELECT r, doc_id, i, b[i + 1:i + 50] AS s FROM (SELECT *, unnest(range(n - 49)) AS i FROM n WHERE n >= 50)),
+g AS (SELECT r, i FROM (SELECT r, i, coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY s) AS gone FROM w) WHERE gone),
+e AS (SELECT *, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 50, -1) AS new FROM g),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+s AS (SELECT r, run, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY r, run),
+c AS (SELECT r, a, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM (SELECT r, a, z FROM s UNION ALL SELECT r, n, n FROM n)),
+t AS (SELECT r, string_agg(hex(b[p + 1:a]), '' ORDER BY p, a) AS kept FROM c JOIN n USING (r) WHERE a > p GROUP BY r),
+m AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM n LEFT JOIN m USING (r) LEFT JOIN t USING (r)""",
 }
+
+
+def _cluster_sql(k: int = 16, rounds: int = 3, dims: int = 64, scale: int = 64, salt: str = "1") -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, x, unnest(arg_min(struct_pack(cluster := c, distance := d), (d, c))) FROM (SELECT r, vec_id, x, c, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r}) GROUP BY r, vec_id, x)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT cluster, list(m ORDER BY i) AS y FROM (SELECT cluster, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY cluster, i) GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(s{r}.y, c{r}.y)::BIGINT[] AS y FROM c{r} LEFT JOIN s{r} ON c = cluster)""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS y FROM (SELECT sha256('{salt}:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(y, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = cluster"""
+
+
+def _merkle_sql(levels: int = 16) -> str:
+    """Both kinds of tree, `levels` deep: enough for 3 ** levels leaves in a source."""
+
+    def leaf(text: str) -> str:
+        return "sha256(concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+    def tree(t: str, key: str) -> str:
+        """Levels of the trees of t(key, pos, h): (key, pos, h) as {t}0, {t}1, …; paths as {t}p(key, pos, l, left_, right_)."""
+        out = [f"{t}0 AS (SELECT {key}, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {t})"]
+        for l in range(levels):
+            out.append(f"{t}{l + 1} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT {key}, pos // 3 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {t}{l} WHERE n > 1 GROUP BY ALL))")
+        tops = " UNION ALL ".join(f"SELECT {key}, h FROM {t}{l} WHERE n = 1" for l in range(levels + 1))
+        # a row of each level that has more than one node: the nodes of each run
+        runs = " UNION ALL ".join(f"SELECT {key}, {l} AS l, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM {t}{l} WHERE n > 1 GROUP BY ALL" for l in range(levels))
+        return ",\n".join([*out, f"{t}top AS ({tops})", f"{t}runs AS MATERIALIZED ({runs})"])
+
+    def climb(t: str, key: str, first: str) -> str:
+        """Fold of every leaf of t from `first`: {t}f(key, pos, proof, folded)."""
+        return f"""{t}f AS (WITH RECURSIVE f AS (SELECT {key}, pos AS leaf, pos, 0 AS l, '' AS proof, {first} AS h FROM {t}
+  UNION ALL SELECT f.{key}, leaf, pos // 3, f.l + 1, proof || array_to_string(hs[:pos % 3] || hs[pos % 3 + 2:], ''), sha256(array_to_string(hs[:pos % 3], '') || h || array_to_string(hs[pos % 3 + 2:], ''))
+  FROM f JOIN {t}runs r ON r.{key} = f.{key} AND r.l = f.l AND r.run = f.pos // 3)
+  SELECT {key}, leaf AS pos, arg_max(proof, l) AS proof, arg_max(h, l) AS h FROM f GROUP BY ALL)"""
+
+    # CRC-32 bit by bit, over the bytes of a decimal number
+    step = "lambda a, z: xor(a >> 1, 3988292384 * (a & 1))"
+    crc = f"xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda a, b: list_reduce([xor(a, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], {step})), 4294967295)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce('s' || source, '-') AS tree, {leaf("text")} AS h, CASE WHEN doc_id IS NULL OR crc % 2 = 1 THEN {leaf("text")} ELSE {leaf("replace(text, chr(10), '')")} END AS now
+  FROM (SELECT *, {crc} AS crc FROM documents)),
+lf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h, now) - 1 AS pos FROM d),
+{tree("lf", "tree")},
+sr AS MATERIALIZED (SELECT 0 AS whole, tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h FROM lftop),
+{tree("sr", "whole")},
+{climb("lf", "tree", "now")},
+{climb("sr", "whole", "h")},
+src AS (SELECT sr.tree, sr.pos, sr.h AS subroot, srf.proof, srtop.h AS root FROM sr JOIN srf USING (pos), srtop),
+j AS (SELECT lf.doc_id, lf.h AS leaf, subroot, root, sha256(lff.proof || src.proof) AS proof_sha256, lff.h AS below, src.pos AS pos FROM lf JOIN lff USING (tree, pos) JOIN src USING (tree)),
+up AS (WITH RECURSIVE f AS (SELECT row_number() OVER () AS r, doc_id, leaf, subroot, root, proof_sha256, pos, 0 AS l, below AS h FROM j
+  UNION ALL SELECT f.r, doc_id, leaf, subroot, root, proof_sha256, pos // 3, f.l + 1, sha256(array_to_string(hs[:pos % 3], '') || h || array_to_string(hs[pos % 3 + 2:], ''))
+  FROM f JOIN srruns r ON r.l = f.l AND r.run = f.pos // 3)
+  SELECT r, doc_id, leaf, subroot, root, proof_sha256, arg_max(h, l) AS folded_root FROM f GROUP BY ALL)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM up"""
+
+
+ORACLE_SQL["op12_clusters"] = _cluster_sql()
+ORACLE_SQL["op13_merkle_manifest"] = _merkle_sql()
