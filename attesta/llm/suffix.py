@@ -37,8 +37,8 @@ from attesta.llm.common import discard, materialize
 
 #: Bytes of a string that is removed, and of the strings that anchors are chosen from.
 SPAN, GRAM = 50, 24
-#: Bytes of text to a slice, of segments to a shard.
-SLICE_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+#: Bytes of text to a slice, of segments to a shard at most, and of text to a bucket of anchors.
+SLICE_BYTES, SHARD_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20, 3 << 19
 #: Bytes that a task hashes at once: small enough for a processor's cache.
 BLOCK = 1 << 17
 #: Bytes of a window's segment as they are reckoned before segments are cut.
@@ -133,6 +133,14 @@ def key_of(h: np.ndarray) -> np.ndarray:
     return _mixed(h * _U(0xE7037ED1A0B428DB)) >> _U(24)
 
 
+def packed(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def unpacked(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def five_bytes(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
@@ -143,6 +151,34 @@ def from_five(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel().astype(_U)
 
 
+#: Bytes that a segment has at most, in whole 64-bit words.
+WIDTH = 8 * -(-(2 * SPAN - GRAM) // 8)
+
+
+def padded(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Segments as rows of 64-bit words, zeros behind their end."""
+    grid, offsets, step = np.zeros((len(first), WIDTH), np.uint8), np.arange(WIDTH), 1 << 15
+    for a in range(0, len(first), step):
+        f, z = first[a : a + step, None], size[a : a + step, None]
+        grid[a : a + step] = np.where(offsets < z, data[np.minimum(f + offsets, len(data) - 1)], 0)
+    return grid.view(_U)
+
+
+def row_hash(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    h = size.astype(_U)
+    for c in range(words.shape[1]):
+        h = _mixed(h * _power(_BASE, 1) + words[:, c])
+    return h
+
+
+def differ(h: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each row but the first whether it differs from the one before it; bytes decide, not the hash."""
+    out = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+    same = np.flatnonzero(~out)
+    out[same] = (words[same + 1] != words[same]).any(axis=1)
+    return out
+
+
 # ---- suffix arrays
 
 
@@ -310,12 +346,11 @@ def slices(docs: DataFrame, id_col: str, text_col: str, slice_bytes: int = SLICE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=3)
         ids, texts, held = [], [], 0
 
         def row() -> pa.RecordBatch:
             nonlocal ids, texts, held, made
-            data = pack.compress(b"".join(texts))
+            data = packed(b"".join(texts))
             sizes = np.array([len(t) for t in texts], "<i8").tobytes()
             out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["slice", "ids", "sizes", "bytes", "data"])
             ids, texts, held, made = [], [], 0, made + 1
@@ -344,8 +379,7 @@ class Slice:
         self.order = np.array([NULL_ID if i is None else i for i in self.ids], np.int64)
         self.sizes = np.frombuffer(row["sizes"], "<i8").astype(np.int64)
         self.starts = np.r_[0, np.cumsum(self.sizes)]
-        raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(self.starts[-1])))
-        self.data = np.frombuffer(raw, np.uint8)
+        self.data = np.frombuffer(unpacked(row["data"]), np.uint8)
 
     def document(self, place: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, place, side="right") - 1
@@ -437,8 +471,9 @@ SEGMENTS = "bucket int, shards int, shard int, slice long, data binary, sizes bi
 def cut_segments(sliced: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """The segments of shared anchors, a row for each slice and shard.
 
-    data and sizes: the different segments; of, ids, places: the segment, the
-    document's id and the place in the slice of each occurrence.
+    data and sizes: the different segments; of, ids, places, for each occurrence:
+    whether it is the first of the next segment, its document's id and its place
+    in the slice.
     """
     lists = shared.groupBy("slice").agg(F.collect_list(F.struct("bucket", "shards", "keys")).alias("anchors"))
 
@@ -472,37 +507,28 @@ def _packed(s: Slice, first: np.ndarray, size: np.ndarray, bucket: np.ndarray, s
     """Rows of SEGMENTS. Equal segments of a slice meet: found by a hash, decided by their bytes."""
     if not len(first):
         return
-    width = 8 * -(-(2 * SPAN - GRAM) // 8)
-    grid = np.zeros((len(first), width), np.uint8)
-    offsets = np.arange(width)
-    step = 1 << 16
-    for a in range(0, len(first), step):
-        f, z = first[a : a + step, None], size[a : a + step, None]
-        grid[a : a + step] = np.where(offsets < z, s.data[np.minimum(f + offsets, len(s.data) - 1)], 0)
-    words = grid.view(_U)
-    h = size.astype(_U)
-    for c in range(words.shape[1]):
-        h = _mixed(h * _power(_BASE, 1) + words[:, c])
+    words = padded(s.data, first, size)
+    h = row_hash(words, size)
     by = np.lexsort((h, bucket))
     first, size, bucket, shards, h, words = first[by], size[by], bucket[by], shards[by], h[by], words[by]
     # a bucket of several shards is dealt by slice, so that equal segments of a slice stay together
     shard = (_mixed(np.array([s.number], np.int64).view(_U) * _ODD) >> _U(8)).astype(np.int64) % shards
     unit = np.r_[True, bucket[1:] != bucket[:-1]]
     new = unit.copy()
-    new[1:] |= (h[1:] != h[:-1]) | (size[1:] != size[:-1]) | (words[1:] != words[:-1]).any(axis=1)
-    segment = np.cumsum(new) - 1
-    raw = words.view(np.uint8)
+    new[1:] |= differ(h, size, words)
+    raw, offsets = words.view(np.uint8), np.arange(WIDTH)
     ids = s.order[s.document(first)]
     cut = np.r_[np.flatnonzero(unit), len(first)]
     out: dict[str, list] = {k: [] for k in ("data", "sizes", "of", "ids", "places")}
     for a, b in zip(cut[:-1], cut[1:]):
         heads = a + np.flatnonzero(new[a:b])
         z = size[heads]
-        out["data"].append(raw[heads][offsets < z[:, None]].tobytes())
+        out["data"].append(packed(raw[heads][offsets < z[:, None]].tobytes()))
         out["sizes"].append(z.astype(np.uint8).tobytes())
-        out["of"].append((segment[a:b] - segment[a]).astype("<u4").tobytes())
-        out["ids"].append(ids[a:b].astype("<i8").tobytes())
-        out["places"].append(first[a:b].astype("<i8").tobytes())
+        # segments are numbered as they come: 1 where a new one begins
+        out["of"].append(packed(np.packbits(new[a:b]).tobytes()))
+        out["ids"].append(packed(ids[a:b].astype("<i8").tobytes()))
+        out["places"].append(packed(first[a:b].astype("<i8").tobytes()))
     yield pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(shards[cut[:-1]].astype(np.int32)), pa.array(shard[cut[:-1]].astype(np.int32)), pa.array(np.full(len(cut) - 1, s.number)),
@@ -517,25 +543,36 @@ class Group:
 
     def __init__(self, table: pa.Table):
         table = table.take(pa.array(np.argsort(table.column("slice").to_numpy(), kind="stable")))
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in _column(table, name)])
-        sizes = [np.frombuffer(x, np.uint8) for x in _column(table, "sizes")]
-        of = [np.frombuffer(x, "<u4").astype(np.int64) for x in _column(table, "of")]
-        before = np.cumsum([0, *[len(z) for z in sizes]])
-        self.of = np.concatenate([o + b for o, b in zip(of, before)])
-        self.row = np.repeat(np.arange(len(of)), [len(o) for o in of])
-        self.ids, self.places = join("ids", "<i8"), join("places", "<i8")
+        parts = lambda name, kind: [np.frombuffer(unpacked(x), kind) for x in _column(table, name)]
+        sizes = np.concatenate([np.frombuffer(x, np.uint8) for x in _column(table, "sizes")]).astype(np.int64)
+        ids = parts("ids", "<i8")
+        self.row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        self.ids, self.places = np.concatenate(ids), np.concatenate(parts("places", "<i8"))
+        new = np.concatenate([np.unpackbits(bits, count=len(i)) for bits, i in zip(parts("of", np.uint8), ids)])
+        of = np.cumsum(new, dtype=np.int64) - 1
+        # equal segments of several slices meet before the suffix array is made
+        data, ends = np.concatenate(parts("data", np.uint8)), np.cumsum(sizes)
+        words = padded(data, ends - sizes, sizes)
+        h = row_hash(words, sizes)
+        by = np.argsort(h, kind="stable")
+        first = np.r_[True, differ(h[by], sizes[by], words[by])]
+        name = np.empty(len(by), np.int64)
+        name[by] = np.cumsum(first) - 1
+        some = by[first]
+        self.of = name[of]
+        least = np.full(len(some), NULL_ID, np.int64)
+        np.minimum.at(least, self.of, self.ids)
         self.slices = table.column("slice").to_numpy()
-        least = np.minimum.reduceat(self.ids, np.flatnonzero(np.r_[True, self.of[1:] != self.of[:-1]]))  # occurrences are in the order of segments
-        self.shard = Shard(join("data", np.uint8), np.concatenate(sizes).astype(np.int64), least)
+        self.shard = Shard(words[some].view(np.uint8)[np.arange(WIDTH) < sizes[some, None]], sizes[some], least)
 
     def places_removed(self) -> pa.Table:
         at, first, n = self.shard.removed(self.of, self.ids, self.places)
         row = self.row[at]
         some, begin = np.unique(row, return_index=True)  # occurrences are in the order of the rows
         cut = np.r_[begin, len(row)]
-        first, n = first.astype("<i8").tobytes(), n.astype("<u2").tobytes()
+        first, n = first.astype("<i8").tobytes(), n.astype(np.uint8).tobytes()
         return pa.table(
-            [pa.array(self.slices[some]), pa.array([first[8 * a : 8 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([n[2 * a : 2 * b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+            [pa.array(self.slices[some]), pa.array([packed(first[8 * a : 8 * b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([n[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
             names=["slice", "places", "windows"],
         )
 
@@ -603,9 +640,9 @@ def _kept(sliced: DataFrame, places: DataFrame, texts: bool) -> DataFrame:
             s = Slice(row)
             edge = np.zeros(len(s.data) + 1, np.int32)
             for g in row["gone"] or []:
-                first = np.frombuffer(g["places"], "<i8")
+                first = np.frombuffer(unpacked(g["places"]), "<i8")
                 np.add.at(edge, first, 1)
-                np.add.at(edge, first + np.frombuffer(g["windows"], "<u2").astype(np.int64) + SPAN - 1, -1)
+                np.add.at(edge, first + np.frombuffer(g["windows"], np.uint8).astype(np.int64) + SPAN - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
             begins = gone & np.r_[True, ~gone[:-1]][: len(gone)]
             begins[s.starts[:-1][s.sizes > 0]] |= gone[s.starts[:-1][s.sizes > 0]]  # runs of two documents may touch
@@ -620,7 +657,7 @@ def _kept(sliced: DataFrame, places: DataFrame, texts: bool) -> DataFrame:
     return sliced.select("slice", "ids", "sizes", "data").join(lists, "slice", "left").mapInArrow(work, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, slice_bytes: int = SLICE_BYTES, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, slice_bytes: int = SLICE_BYTES, bucket_bytes: int = BUCKET_BYTES, texts: bool = False) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256 and, where asked for, the bytes kept.
 
     Every byte goes that a string of SPAN bytes covers which also starts in a
@@ -634,7 +671,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     sliced, slices_path = materialize(slices(docs, id_col, text_col, slice_bytes), "slices")
     size = sliced.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, min((1 << 31) - 1, -(-size // shard_bytes)))
+    buckets = max(1, min((1 << 31) - 1, -(-size // bucket_bytes)))
     shared, shared_path = materialize(shared_anchors(anchors(sliced, buckets), shard_bytes), "anchors")
     cut = cut_segments(sliced, shared, buckets)
     made = [shared_path]

@@ -110,7 +110,7 @@ def test_remove_repeats_matches_every_string(spark, monkeypatch, slice_bytes, sh
     whole = suffix.in_many_shards
     monkeypatch.setattr(suffix, "in_many_shards", lambda cut: merges.append(1) or whole(cut))
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, slice int, bucket string").repartition(3)
-    got = suffix.remove_repeats(df, shard_bytes=shard_bytes, slice_bytes=slice_bytes, texts=True).collect()
+    got = suffix.remove_repeats(df, shard_bytes=shard_bytes, slice_bytes=slice_bytes, bucket_bytes=shard_bytes, texts=True).collect()
     assert sorted([tuple(r)[:5] for r in got], key=repr) == brute(rows)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert bool(merges) == (shard_bytes < 1 << 20)
