@@ -41,6 +41,51 @@ def consensus_fit(points: DataFrame, keys: list[str], low: float = 0.3, high: fl
     return fits.where(F.col("_spread") >= spread).drop("_spread")
 
 
+def register_axes(points: DataFrame, keys: list[str], low: float = 0.3, high: float = 4.0, spread: float = 100.0, tolerance: float = 16.0, least: int = 3) -> DataFrame:
+    """(keys, sx, tx, sy, ty): x = sx * tx + shift and the same for y, per key from (keys, seq, tx, ty, x, y) points, some of them wrong.
+
+    Each axis has its own consensus, over the same pairs of points: a pair that
+    stands `spread` apart on an axis of the template proposes a line there; most
+    points within `tolerance` win, then the smaller sum of residuals, then the
+    earlier pair. The points that agree are refitted. A key has no row if on
+    either axis fewer than `least` points agree, if these stand less than
+    `spread` apart, or if the scale is out of range.
+
+    Points are shuffled once, by key; all joins and groups keep that dealing.
+    """
+    axes = (("x", "tx"), ("y", "ty"))
+    dealt = points.select(*keys, "seq", "tx", "ty", "x", "y").repartition(*keys)
+    p, q = dealt.alias("p"), dealt.alias("q")
+    on = F.col("p.seq") < F.col("q.seq")
+    for k in keys:
+        on = (F.col(f"p.{k}") == F.col(f"q.{k}")) & on
+
+    def proposed(v: str, t: str) -> list[Column]:
+        apart = F.col(f"q.{t}") - F.col(f"p.{t}")
+        slope = F.try_divide(F.col(f"q.{v}") - F.col(f"p.{v}"), apart)
+        scale = F.when((F.abs(apart) >= spread) & slope.between(low, high), slope)
+        return [scale.alias(f"s{v}"), (F.col(f"p.{v}") - scale * F.col(f"p.{t}")).alias(f"c{v}")]
+
+    lines = p.join(q, on).select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.seq").alias("i"), F.col("q.seq").alias("j"), *proposed("x", "tx"), *proposed("y", "ty"))
+    lines = lines.where(F.col("sx").isNotNull() | F.col("sy").isNotNull())
+    far = lambda v, t: F.abs(F.col(f"s{v}") * F.col(t) + F.col(f"c{v}") - F.col(v))
+    agrees = lambda v, t: far(v, t) <= tolerance * F.col(f"s{v}")
+    counted = [c for v, t in axes for c in (F.count(F.when(agrees(v, t), 1)).alias(f"n{v}"), F.sum(F.when(agrees(v, t), far(v, t))).alias(f"e{v}"))]
+    tried = lines.join(dealt.drop("seq"), keys).groupBy(*keys, "i", "j", "sx", "cx", "sy", "cy").agg(*counted)
+    rank = lambda v: F.when(F.col(f"s{v}").isNotNull(), F.struct(-F.col(f"n{v}"), f"e{v}", "i", "j"))
+    best = tried.groupBy(*keys).agg(*[F.min_by(F.struct(f"s{v}", f"c{v}"), rank(v)).alias(v) for v, _ in axes])
+    chosen = best.select(*keys, *[F.col(f"{v}.{c}{v}").alias(f"{c}{v}") for v, _ in axes for c in ("s", "c")])
+    inside = chosen.join(dealt.drop("seq"), keys)
+    fitted = []
+    for v, t in axes:
+        template, actual = F.when(agrees(v, t), F.col(t)), F.when(agrees(v, t), F.col(v))
+        fitted += [F.regr_slope(actual, template).alias(f"_s{v}"), F.regr_intercept(actual, template).alias(f"_t{v}"), F.count(template).alias(f"_n{v}"), (F.max(template) - F.min(template)).alias(f"_w{v}")]
+    fits = inside.groupBy(*keys).agg(*fitted)
+    for v, _ in axes:
+        fits = fits.where((F.col(f"_n{v}") >= least) & (F.col(f"_w{v}") >= spread) & F.col(f"_s{v}").between(low, high))
+    return fits.select(*keys, F.col("_sx").alias("sx"), F.col("_tx").alias("tx"), F.col("_sy").alias("sy"), F.col("_ty").alias("ty"))
+
+
 def register_by_lines(boxes: DataFrame, keys: list[str], mrz: tuple, size: tuple, drift: float = 1.25) -> DataFrame:
     """sx, tx, sy, ty of a back image from its three machine-readable line boxes, else from the image's size."""
     left, right, centres = mrz

@@ -111,11 +111,19 @@ def band_triples(bands: DataFrame, keys: list[str], order: str) -> DataFrame:
     return b.where(ok).withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
 
 
-def place(boxes: DataFrame, fits: DataFrame, zones: list[tuple]) -> DataFrame:
-    """Template boxes carried onto each image by its fit (sx, tx, sy, ty), clamped to (width, height); tiny ones are dropped."""
-    spark = fits.sparkSession
-    small = spark.createDataFrame([(*z[:2], *map(float, z[2:])) for z in zones], "field string, part string, bx0 double, by0 double, bx1 double, by1 double")
-    out = fits.crossJoin(F.broadcast(small))
-    for c, s, t, most in (("x0", "sx", "tx", "width"), ("x1", "sx", "tx", "width"), ("y0", "sy", "ty", "height"), ("y1", "sy", "ty", "height")):
-        out = out.withColumn(c, F.greatest(F.lit(0.0), F.least(F.col(most).cast("double"), F.col(f"b{c}") * F.col(s) + F.col(t))))
-    return out.where((F.col("x1") - F.col("x0") > 20) & (F.col("y1") - F.col("y0") > 10)).drop("bx0", "by0", "bx1", "by1")
+def place(fits: DataFrame, zones: list[tuple]) -> DataFrame:
+    """Template boxes (field, part, line, x0, y0, x1, y1) carried onto each image by its fit (sx, tx, sy, ty).
+
+    They are clamped to (width, height); those not over 20 wide and 10 high are dropped.
+    """
+    low = lambda v, s, t: F.greatest(F.lit(0.0), F.lit(float(v)) * F.col(s) + F.col(t))
+    high = lambda v, s, t, most: F.least(F.col(most).cast("double"), F.lit(float(v)) * F.col(s) + F.col(t))
+    boxes = F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.lit(p).alias("part"), F.lit(n).cast("int").alias("line"), low(x0, "sx", "tx").alias("x0"), low(y0, "sy", "ty").alias("y0"),
+            high(x1, "sx", "tx", "width").alias("x1"), high(y1, "sy", "ty", "height").alias("y1"),
+        )
+        for f, p, n, x0, y0, x1, y1 in zones
+    ])
+    out = fits.withColumn("_z", F.explode(F.filter(boxes, lambda z: (z["x1"] - z["x0"] > 20) & (z["y1"] - z["y0"] > 10))))
+    return out.select("*", "_z.*").drop("_z")

@@ -89,3 +89,25 @@ def anything_known(facts: DataFrame) -> DataFrame:
 def latest_attempts(facts: DataFrame, keys: list[str], attempt: str) -> DataFrame:
     """Facts of the latest attempt only: results of superseded ones are dropped."""
     return facts.withColumn("_last", F.max(attempt).over(Window.partitionBy(*keys))).where(F.col(attempt) == F.col("_last")).drop("_last")
+
+
+def with_edits(facts: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, confidence, source): facts with a log of corrections (keys, value, at) over them.
+
+    Of the corrections of a field the last one counts, whatever the fact's
+    confidence; of several at one time the largest text, null before any. A
+    null takes the correction back, so the fact holds again; an empty text
+    empties the field. A corrected field has neither confidence nor source. A
+    field that only a correction names gets a row; facts have one row a key.
+
+    Both sides are aggregated by key in one shuffle, corrections in part
+    before it, however many there are of one field.
+    """
+    cols = [*keys, "value", "confidence", "source"]
+    known = facts.select(*cols, F.lit(None).cast("struct<at: bigint, text: string>").alias("edit"), F.lit(True).alias("fact"))
+    logged = edits.select(*keys, F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("source"), F.struct(F.col("at").cast("bigint").alias("at"), F.col("value").alias("text")).alias("edit"), F.lit(False).alias("fact"))
+    own = lambda c: F.max(F.when(F.col("fact"), F.col(c))).alias(c)
+    both = known.unionByName(logged).groupBy(*keys).agg(own("value"), own("confidence"), own("source"), F.max("edit")["text"].alias("text"), F.bool_or("fact").alias("fact"))
+    kept = both.where(F.col("fact") | F.col("text").isNotNull())
+    edited = F.col("text").isNotNull()
+    return kept.select(*keys, F.coalesce("text", "value").alias("value"), F.when(~edited, F.col("confidence")).alias("confidence"), F.when(~edited, F.col("source")).alias("source"))

@@ -850,7 +850,7 @@ def back_zone_boxes(spark, sf_dir):
     size = lambda small: F.when(k % 3 == 2, small).otherwise(9000)
     b = customers(spark, sf_dir).select(k.alias("doc_id"), line.alias("l"), s.alias("s"), tx.alias("tx"), ty.alias("ty"), size(900).alias("width"), size(603).alias("height"))
     boxes_ = b.select("doc_id", "l.seq", (left * F.col("s") + F.col("tx")).alias("x0"), (right * F.col("s") + F.col("tx")).alias("x1"), (F.col("l.c") * F.col("s") + F.col("ty") - 20).alias("y0"), (F.col("l.c") * F.col("s") + F.col("ty") + 20).alias("y1"), "width", "height")
-    zones_ = spatial.place(boxes_, fit.register_by_lines(boxes_, ["doc_id"], T.BACK_MRZ, T.BACK_SIZE), [z for z in T.BACK_BOXES if (z[0], z[1]) in (("maritalStatus", "latin"), ("taxId", "value"))])
+    zones_ = spatial.place(fit.register_by_lines(boxes_, ["doc_id"], T.BACK_MRZ, T.BACK_SIZE), [z for z in zones.back_template() if z[:2] in (("maritalStatus", "latin"), ("taxId", "value"))])
     return zones_.select("doc_id", "field", "part", *[(F.round(c, 3) + 0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 

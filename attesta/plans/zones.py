@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions import tables as T
 from attesta.functions import text as X
-from attesta.operators import names, votes
+from attesta.operators import fit, names, spatial, votes
+from attesta.operators import pages as nested
 
 READS = (
     "doc_id long, side string, field string, part string, line int, zone_seq int, padding_seq int, fixed boolean, raw string, confidence double, "
@@ -96,12 +97,45 @@ def back_zone_facts(reads: DataFrame) -> DataFrame:
 
 def missing_zones(reads: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, field, x, y, width, height) of the fixed rectangles whose field was not read."""
-    spark = reads.sparkSession
-    fixed = spark.createDataFrame([(f, *map(float, r)) for f, *r in T.FIXED_ZONES], "field string, x double, y double, width double, height double")
-    every = reads.where("side = 'front'").select("doc_id").distinct().crossJoin(F.broadcast(fixed))  # a fixed table of five rows
+    fixed = F.array(*[F.struct(F.lit(f).alias("field"), *[F.lit(float(v)).alias(c) for v, c in zip(r, ("x", "y", "width", "height"))]) for f, *r in T.FIXED_ZONES])
+    every = reads.where("side = 'front'").select("doc_id").distinct().select("doc_id", F.inline(fixed))
     return every.join(found.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
 
 
+def locate_front_zones(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, part, line, box): where the values of a front stand, by the labels that both language models read on it.
+
+    pages: (keys, tajik, english, width, height), the first two the blocks of
+    the pages, null where a model read none. A page of which too few labels
+    agree has no rows. Keys are unique.
+    """
+    none = F.array().cast("array<struct<text: string, confidence: double, bbox: struct<x0: double, y0: double, x1: double, y1: double>>>")
+    found = pages.select(*keys, *[F.coalesce(nested.segments(F.col(c)), none).alias(c) for c in ("tajik", "english")])
+    points = found.select(*keys, F.posexplode(nested.anchor_points(F.col("tajik"), F.col("english"))).alias("seq", "p")).select(*keys, "seq", "p.*")
+    fits = fit.register_axes(points, keys).join(pages.select(*keys, "width", "height"), keys)
+    return spatial.place(fits, [(f, p, None, *box) for f, p, *box in T.FRONT_BOXES]).select(*keys, "field", "part", "line", *BOX)
+
+
+def back_template() -> list[tuple]:
+    """(field, part, line, x0, y0, x1, y1) of the back: the lines of the address, then the other values."""
+    a = T.BACK_ADDRESS
+    lines = [("address", "value", n, a["left"], a["top"] + n * a["pitch"], a["right"], a["top"] + n * a["pitch"] + a["height"]) for n in range(a["lines"])]
+    return lines + [(f, p, None, *box) for f, p, *box in T.BACK_BOXES]
+
+
+def locate_back_zones(lines: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, part, line, box) of a back: by its three machine-readable lines, else by the image's size.
+
+    lines: (keys, seq, x0, y0, x1, y1); images: (keys, width, height), one row a key, also of those without lines.
+    """
+    whole = images.select(*keys, "width", "height")
+    fits = fit.register_by_lines(lines.join(whole, keys), keys, T.BACK_MRZ, T.BACK_SIZE)
+    by_size = [(F.col("width") / T.BACK_SIZE[0]).alias("bx"), (F.col("height") / T.BACK_SIZE[1]).alias("by")]
+    known = whole.select("*", *by_size).join(fits.drop("width", "height"), keys, "left")
+    every = known.select(*keys, "width", "height", F.coalesce("sx", "bx").alias("sx"), F.coalesce("tx", F.lit(0.0)).alias("tx"), F.coalesce("sy", "by").alias("sy"), F.coalesce("ty", F.lit(0.0)).alias("ty"))
+    return spatial.place(every, back_template()).select(*keys, "field", "part", "line", *BOX)
+
+
 def anchored_names(reads: DataFrame, as_of_year: int) -> DataFrame:
     """One pair of scripts for each name read under its label."""
     return names.closest_reads(front_name_reads(reads, as_of_year))
