@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from attesta.functions import card_text, geometry, mrz
 from attesta.functions import text as X
 from attesta.operators import names, raster, votes
-from attesta.streaming import upsert
 
 
 def one(spark, expr_of, *values):
@@ -104,14 +103,6 @@ def test_expanded_diamond(spark):
     assert np.allclose([(p.x, p.y) for p in got.e], [(50, 8), (92, 50), (50, 92), (8, 50)]) and got.a == 3200
 
 
-def test_upsert_keeps_the_latest_attempt(spark):
-    rows = "doc_id long, side string, field string, value string, attempt int"
-    known = spark.createDataFrame([(1, "front", "sex", "M", 1), (1, "front", "taxId", "1", 1)], rows)
-    new = spark.createDataFrame([(1, "front", "sex", "F", 2), (2, "back", "sex", "M", 1)], rows)
-    got = {(r.doc_id, r.field): r.value for r in upsert.merge_arrivals(known, new).collect()}
-    assert got == {(1, "sex"): "F", (1, "taxId"): "1", (2, "sex"): "M"}
-
-
 def test_raster():
     x = np.zeros((6, 6), bool)
     x[0, 0] = x[2:4, 2:5] = True
