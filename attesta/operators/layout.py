@@ -38,57 +38,109 @@ def _around(words: Column) -> Column:
     return F.struct(edge(F.array_min, "x0"), edge(F.array_min, "y0"), edge(F.array_max, "x1"), edge(F.array_max, "y1"))
 
 
-def label_hits(lines: DataFrame) -> DataFrame:
-    """A row for each field whose label a line holds: field, the value that stands beside it, and the label's box.
+def _some(items: Column) -> Column:
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def _by_field(field: Column, of) -> Column:
+    """of(patterns) of the field whose labels they are."""
+    out = None
+    for f, patterns in T.FIELD_LABELS.items():
+        out = F.when(field == f, of(patterns)) if out is None else out.when(field == f, of(patterns))
+    return out
+
+
+def _labels(field: Column, text: Column) -> Column:
+    return _by_field(field, lambda patterns: text.rlike("|".join(f"(?:{X.label(p)})" for p in patterns)))
 
-    The label's box is that of the first run of words that shows it, else the line's.
-    """
-    with_spans = lines.withColumn("_spans", _spans(F.col("words")))
 
-    def hit(field: str, patterns: list[str]) -> Column:
-        whole = "|".join(f"(?:{X.label(p)})" for p in patterns)
-        rest = F.col("text")
+def _without_label(field: Column, text: Column) -> Column:
+    def rest(patterns: list[str]) -> Column:
+        out = text
         for p in patterns:
-            rest = X.remove_first(rest, X.label(p))
-        box = F.get(F.filter("_spans", lambda s: s["text"].rlike(whole)), F.lit(0))["words"]
-        inline = X.VALIDATORS[field](X.clean_value(rest))
-        return F.when(F.col("text").rlike(whole), F.struct(F.lit(field).alias("field"), inline.alias("inline"), F.coalesce(F.when(box.isNotNull(), _around(box)), F.col("bbox")).alias("label")))
+            out = X.remove_first(out, X.label(p))
+        return out
 
-    hits = F.filter(F.array(*[hit(f, p) for f, p in T.FIELD_LABELS.items()]), lambda h: h.isNotNull())
-    return with_spans.select(*PAGE, "at", F.col("confidence").alias("seen"), F.col("bbox").alias("line"), F.explode(hits).alias("h")).select(*PAGE, "at", "seen", "line", "h.*")
+    return X.clean_value(_by_field(field, rest))
 
 
-def near_values(hits: DataFrame, lines: DataFrame) -> DataFrame:
-    """The value of each label hit: beside it, else in a word below it, else in a line below it.
+def page_fields(lines: Column) -> Column:
+    """array<struct<field, value, confidence>>: the layout fields of a page, from its lines in the order of the page.
 
-    Of several words or lines the nearest valid one with enough confidence
-    counts, of equally near ones the first. Confidence is the lower one of
-    label and value.
+    lines: array<struct<text, confidence, bbox, words>> as `cleaned` has them.
+    A label's value stands beside it, else in a word below it, else in a line
+    below it; of several the nearest valid one with enough confidence counts,
+    of equally near ones the first. Confidence is the lower one of label and
+    value. Of the labels of a field the one with the most confident value
+    counts, the first of equal ones. A label's box is that of the first run of
+    words that shows it, else the line's.
+
+    Everything is searched for in the row: a page's lines are few, and only
+    words and lines that stand right are validated. Null lines have no fields.
     """
-    keys = [*PAGE, "at", "field"]
-    open_ = hits.where(F.col("inline").isNull()).withColumn("h", F.greatest(F.lit(1.0), F.col("label.y1") - F.col("label.y0")))
-    words = lines.select(*PAGE, F.col("at").alias("w_at"), F.posexplode("words").alias("w_no", "w")).select(*PAGE, "w_at", "w_no", F.col("w.text").alias("raw"), F.col("w.confidence").alias("w_seen"), F.col("w.bbox").alias("box")).where(F.col("w_seen") >= VALUE_FLOOR)
-    gap = F.col("box.y0") - F.col("label.y1")
-    aside = F.abs((F.col("box.x0") + F.col("box.x1")) / 2 - (F.col("label.x0") + F.col("label.x1")) / 2)
-    below = gap.between(-0.2 * F.col("h"), 3.5 * F.col("h")) & (aside <= F.greatest(F.col("label.x1") - F.col("label.x0"), 3 * F.col("h")))
-    by_word = open_.join(words, PAGE).where(below).select(*keys, F.lit(1).alias("way"), (F.greatest(F.lit(0.0), gap) + 0.25 * aside).alias("far"), "w_at", "w_no", "raw", F.least("seen", "w_seen").alias("confidence"))
-    others = lines.select(*PAGE, F.col("at").alias("w_at"), F.col("text").alias("raw"), F.col("confidence").alias("w_seen"), F.col("bbox").alias("box")).where((F.col("w_seen") >= VALUE_FLOOR) & ~F.col("raw").rlike(X.label(T.LINE_LABELS)))
-    drop = F.col("box.y0") - F.col("line.y1")
-    beside = (F.col("box.x1") >= F.col("line.x0") - F.col("h")) & (F.col("box.x0") <= F.col("line.x1") + 5 * F.col("h"))
-    under = (F.col("w_at") != F.col("at")) & drop.between(-0.25 * F.col("h"), 3.5 * F.col("h")) & beside
-    by_line = open_.join(others, PAGE).where(under).select(*keys, F.lit(2).alias("way"), (F.greatest(F.lit(0.0), drop) + 0.2 * F.abs(F.col("box.x0") - F.col("line.x0"))).alias("far"), "w_at", F.lit(0).alias("w_no"), "raw", F.least("seen", "w_seen").alias("confidence"))
-    valid = by_word.unionByName(by_line).withColumn("value", X.validate_field(F.col("field"), F.col("raw"))).where(F.col("value").isNotNull()).drop("raw")
-    inline = hits.where(F.col("inline").isNotNull()).select(*keys, F.lit(0).alias("way"), F.lit(0.0).alias("far"), F.col("at").alias("w_at"), F.lit(0).alias("w_no"), F.col("seen").alias("confidence"), F.col("inline").alias("value"))
-    w = Window.partitionBy(*keys).orderBy("way", "far", "w_at", "w_no")
-    best = valid.unionByName(inline).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.select(*keys, "value", F.floor(F.col("confidence") + 0.5).cast("double").alias("confidence"))
+    names = F.array(*[F.lit(f) for f in T.FIELD_LABELS])
+    hits = F.flatten(F.transform(lines, lambda l, at: F.transform(F.filter(names, lambda f: _labels(f, l["text"])), lambda f: F.struct(f.alias("field"), at.alias("at"), l.alias("line")))))
+    key = lambda h, v: F.struct(h["field"].alias("field"), (-F.floor(v["confidence"] + 0.5)).cast("double").alias("k"), h["at"].alias("at"), v["value"].alias("value"))
+    valued = F.transform(hits, lambda h: X.let(_value(h, lines), lambda v: F.when(v.isNotNull(), key(h, v))))
+    best = lambda vs: _some(F.transform(names, lambda f: F.array_min(F.filter(vs, lambda v: v["field"] == f))))
+    return F.transform(X.let(valued, best), lambda v: F.struct(v["field"].alias("field"), v["value"].alias("value"), (-v["k"]).alias("confidence")))
+
+
+#: Ways in which a value stands by its label, in order of trust.
+BESIDE, WORD_BELOW, LINE_BELOW = range(3)
+
+
+def _value(h: Column, lines: Column) -> Column:
+    """struct<value, confidence> of a label hit (field, at, line), or null."""
+    seen, own = h["line"]["confidence"], h["line"]["bbox"]
+    run = F.get(F.filter(_spans(h["line"]["words"]), lambda s: _labels(h["field"], s["text"])), F.lit(0))["words"]
+    box = X.let(run, lambda r: F.coalesce(F.when(r.isNotNull(), _around(r)), own))
+
+    def candidate(way: int, far: Column, at: Column, no: Column, raw: Column, sure: Column) -> Column:
+        return F.struct(F.lit(way).alias("way"), far.cast("double").alias("far"), at.alias("at"), no.alias("no"), raw.alias("raw"), sure.alias("seen"))
+
+    def around(label: Column) -> Column:
+        height = F.greatest(F.lit(1.0), label["y1"] - label["y0"])
+
+        def word(w: Column, at: Column, no: Column) -> Column:
+            b = w["bbox"]
+            gap = b["y0"] - label["y1"]
+            aside = F.abs((b["x0"] + b["x1"]) / 2 - (label["x0"] + label["x1"]) / 2)
+            ok = (w["confidence"] >= VALUE_FLOOR) & gap.between(-0.2 * height, 3.5 * height) & (aside <= F.greatest(label["x1"] - label["x0"], 3 * height))
+            return F.when(ok, candidate(WORD_BELOW, F.greatest(F.lit(0.0), gap) + 0.25 * aside, at, no, w["text"], w["confidence"]))
+
+        def line(l: Column, at: Column) -> Column:
+            b = l["bbox"]
+            drop = b["y0"] - label["y1"]
+            ok = (at != h["at"]) & (l["confidence"] >= VALUE_FLOOR) & drop.between(-0.25 * height, 3.5 * height) & (b["x1"] >= own["x0"] - height) & (b["x0"] <= own["x1"] + 5 * height)
+            return F.when(ok & ~l["text"].rlike(X.label(T.LINE_LABELS)), candidate(LINE_BELOW, F.greatest(F.lit(0.0), drop) + 0.2 * F.abs(b["x0"] - own["x0"]), at, F.lit(0), l["text"], l["confidence"]))
+
+        beside = candidate(BESIDE, F.lit(0.0), h["at"], F.lit(0), _without_label(h["field"], h["line"]["text"]), seen)
+        words = F.flatten(F.transform(lines, lambda l, at: F.transform(l["words"], lambda w, no: word(w, at, no))))
+        return F.concat(F.array(beside), _some(words), _some(F.transform(lines, line)))
+
+    def valid(c: Column) -> Column:
+        known = lambda v: F.when(v.isNotNull(), F.struct(c["way"].alias("way"), c["far"].alias("far"), c["at"].alias("at"), c["no"].alias("no"), v.alias("value"), F.least(seen, c["seen"]).alias("confidence")))
+        return X.let(X.validate_field(h["field"], c["raw"]), known)
+
+    return F.array_min(_some(F.transform(X.let(box, around), valid)))
+
+
+def cleaned(lines: Column) -> Column:
+    """A page's lines as page_fields takes them: texts cleaned, empty words left out, lines empty or below the floor dropped, from the top and then from the left."""
+    word = lambda w: F.struct(X.clean_value(w["text"]).alias("text"), w["confidence"].alias("confidence"), w["bbox"].alias("bbox"))
+    kept = F.filter(F.transform(lines, lambda l, i: F.struct(
+        l["bbox"]["y0"].alias("y"), l["bbox"]["x0"].alias("x"), i.alias("i"), X.clean_value(l["text"]).alias("text"), l["confidence"].alias("confidence"), l["bbox"].alias("bbox"), l["words"].alias("words")
+    )), lambda l: (l["text"] != "") & (l["confidence"] >= WORD_FLOOR))
+    whole = lambda l: F.struct(l["text"].alias("text"), l["confidence"].alias("confidence"), l["bbox"].alias("bbox"), F.filter(F.transform(l["words"], word), lambda w: w["text"] != "").alias("words"))
+    return F.transform(F.array_sort(kept), whole)
 
 
 def layout_fields(lines: DataFrame) -> DataFrame:
-    """(doc_id, side, field, value, confidence) from clean_lines: the most confident label of each field, the first of equal ones."""
-    found = near_values(label_hits(lines), lines)
-    w = Window.partitionBy(*PAGE, "field").orderBy(F.col("confidence").desc(), "at")
-    return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*PAGE, "field", "value", "confidence")
+    """(doc_id, side, field, value, confidence) of pages from their lines as the readers give them; a page's lines meet in one row."""
+    of_page = F.transform(F.sort_array(F.collect_list(F.struct("block_no", "par_no", "line_no", "text", "confidence", "bbox", "words"))), lambda l: F.struct(*[l[c].alias(c) for c in ("text", "confidence", "bbox", "words")]))
+    found = lines.groupBy(*PAGE).agg(of_page.alias("l")).select(*PAGE, F.explode(X.let(cleaned(F.col("l")), page_fields)).alias("f"))
+    return found.select(*PAGE, "f.*")
 
 
 def drop_label_values(facts: DataFrame) -> DataFrame:

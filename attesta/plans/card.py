@@ -31,8 +31,7 @@ def text_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
 
 def layout_facts(lines: DataFrame) -> DataFrame:
     """Facts of page lines by their layout, without values that are labels."""
-    found = layout.layout_fields(layout.clean_lines(lines))
-    return layout.drop_label_values(found).select(*FACT[:-1], F.lit("layout").alias("source"))
+    return layout.drop_label_values(layout.layout_fields(lines)).select(*FACT[:-1], F.lit("layout").alias("source"))
 
 
 def side_facts(zone: DataFrame, machine: DataFrame, layout_: DataFrame, text: DataFrame) -> DataFrame:

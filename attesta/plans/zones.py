@@ -65,19 +65,47 @@ def front_name_reads(reads: DataFrame, as_of_year: int) -> DataFrame:
     return some.join(parsed.select(*VALUE, "seq", *BOX), [*VALUE, "seq"]).drop("place")
 
 
+def _settled(reads: Column) -> Column:
+    """struct<value, votes, confidence> of reads (value, confidence) in order: the first value to come twice, else the most confident one; as votes.first_to_two."""
+
+    def of(some: Column) -> Column:
+        again = lambda r, i: X.let(F.array_position(F.transform(some, lambda x: x["value"]), r["value"]), lambda first: F.when(first < i + 1, F.struct(i.alias("i"), first.cast("int").alias("first"))))
+        twice = F.array_min(F.filter(F.transform(some, again), lambda x: x.isNotNull()))
+        at = lambda i: F.get(some, i)
+        agreed = lambda t: F.struct(at(t["i"])["value"].alias("value"), F.lit(2).alias("votes"), F.greatest(at(t["i"])["confidence"], at(t["first"] - 1)["confidence"]).alias("confidence"))
+        surest = X.let(F.array_min(F.transform(some, lambda r, i: F.struct(F.coalesce(-r["confidence"], F.lit(float("inf"))).alias("k"), i.alias("i"))))["i"], lambda i: F.when(i.isNotNull(), F.struct(at(i)["value"].alias("value"), F.lit(1).alias("votes"), at(i)["confidence"].alias("confidence"))))
+        return X.let(twice, lambda t: F.when(t.isNotNull(), agreed(t)).otherwise(surest))
+
+    return X.let(F.filter(reads, lambda r: r["value"].isNotNull()), of)
+
+
 def front_zone_facts(reads: DataFrame, as_of_year: int) -> DataFrame:
     """(doc_id, side, field, value, confidence, source) of the front's values, names apart.
 
     Rectangles under a label go first; a field that they leave empty is taken
-    from the fixed ones.
+    from the fixed ones. Each read is parsed once; the reads of a field meet in
+    one row, where rectangles are told apart, votes counted and floors applied.
     """
-    parsed = parsed_front(distinct_zones(reads.where(~F.col("fixed"))), as_of_year).where(~F.col("field").isin(T.NAME_FIELDS))
-    by_vote = F.col("kind").isin("date", "digits13", "documentNumber")
-    shaped = votes.first_read(parsed.where(~by_vote), ["doc_id", "side", "field"], float("-inf"))
-    found = _facts(shaped, "value", F.lit(SHAPE_CONFIDENCE)).unionByName(_voted(parsed.where(by_vote), ["doc_id", "side", "field"]))
-    fixed = parsed_front(reads.where("fixed"), as_of_year).where(by_vote)
-    open_ = fixed.join(found.select("doc_id", "side", "field"), ["doc_id", "side", "field"], "left_anti")
-    return found.unionByName(_voted(open_, ["doc_id", "side", "field"]))
+    value = X.parse_zone_read(F.col("field"), F.col("part"), F.col("raw"), as_of_year)
+    parsed = reads.where(~F.col("field").isin(T.NAME_FIELDS)).select(*VALUE, "zone_seq", "padding_seq", "fixed", value.alias("value"), "confidence", *BOX)
+    # the kind of a value follows from its field: parts are told apart for names only
+    row = F.struct("zone_seq", "padding_seq", "part", "fixed", "value", "confidence", *BOX)
+    rows = parsed.groupBy("doc_id", "side", "field").agg(F.sort_array(F.collect_list(row)).alias("r"), F.bool_or(X.zone_kind(F.col("field"), F.col("part")).isin("date", "digits13", "documentNumber")).alias("by_vote"))
+    near = lambda a, z: F.forall(F.array(*[F.abs(a[c] - z[c]) for c in BOX]), lambda d: d <= SAME_ZONE)
+    same = lambda kept, r: F.filter(kept, lambda k: k["part"] == r["part"])
+    opens = lambda kept, r: X.let(same(kept, r), lambda k: ~F.exists(k, lambda z: z["zone_seq"] == r["zone_seq"]) & ~F.exists(k, lambda z: near(z, r)) & (F.size(k) < MAX_ZONES))
+    seen = lambda tried, r: F.exists(tried, lambda z: (z["part"] == r["part"]) & (z["zone_seq"] == r["zone_seq"]))
+    # a rectangle is judged by its first read: those that stay, and all that were judged
+    label_reads = F.filter("r", lambda r: ~r["fixed"])
+    firsts = lambda rs: F.filter(F.transform(rs, lambda r, i: F.when(~seen(F.slice(rs, 1, i), r), r)), lambda r: r.isNotNull())
+    kept = F.aggregate(firsts(F.col("u")), F.slice("u", 1, 0), lambda acc, r: F.when(opens(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
+    some = rows.withColumn("u", label_reads).withColumn("k", kept)
+    chosen = F.filter("u", lambda r: seen(F.col("k"), r))
+    floor = F.when(F.col("field").isin("nationalIdNumber", "documentNumber", "bloodGroup", "taxId"), SHAPED_FLOOR).otherwise(ZONE_FLOOR)
+    voted = lambda rs: X.let(_settled(rs), lambda w: F.when((w["votes"] >= 2) | (w["confidence"] >= floor), F.struct(w["value"].alias("value"), X.clamp(w["confidence"], 86, 97).cast("double").alias("confidence"))))
+    shaped = X.let(F.get(F.filter(chosen, lambda r: r["value"].isNotNull() & r["confidence"].isNotNull()), F.lit(0))["value"], lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(SHAPE_CONFIDENCE).alias("confidence"))))
+    fact = F.when(F.col("by_vote"), F.coalesce(voted(chosen), voted(F.filter("r", lambda r: r["fixed"])))).otherwise(shaped)
+    return some.select("doc_id", "side", "field", fact.alias("f")).where("f is not null").select("doc_id", "side", "field", "f.*", F.lit("layout").alias("source"))
 
 
 def back_zone_facts(reads: DataFrame) -> DataFrame:
