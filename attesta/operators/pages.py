@@ -13,17 +13,28 @@ from attesta.functions import tables as T
 from attesta.functions import text as X
 from attesta.functions.text import let
 from attesta.operators.spatial import overlap
+from attesta.sources.tables import WORD_FLOOR
 
 #: Confidence from which a word belongs to a segment, and the gap, in line heights, that parts two segments.
 SEGMENT_FLOOR, SEGMENT_GAP = 30.0, 1.0
 WORDS = "array<struct<text: string, confidence: double, bbox: struct<x0: double, y0: double, x1: double, y1: double>>>"
 
 
+def lines_of(blocks: Column) -> Column:
+    """A page's lines in reading order; null for null blocks."""
+    return F.flatten(F.transform(F.flatten(F.transform(blocks, lambda b: b["paragraphs"])), lambda p: p["lines"]))
+
+
+def page_text(blocks: Column, own: Column) -> Column:
+    """The cleaned text of a page's sure words, line by line; the page's own text where none is left."""
+    sure = lambda l: F.filter(l["words"], lambda w: (w["confidence"] >= WORD_FLOOR) & (F.trim(w["text"]) != ""))
+    texts = F.filter(F.transform(lines_of(blocks), lambda l: F.array_join(F.transform(sure(l), lambda w: w["text"]), " ")), lambda t: t != "")
+    return X.clean_text(F.coalesce(F.nullif(F.array_join(texts, "\n"), F.lit("")), own))
+
+
 def words_of(blocks: Column) -> Column:
     """A page's words in reading order; null for null blocks."""
-    paragraphs = F.flatten(F.transform(blocks, lambda b: b["paragraphs"]))
-    lines = F.flatten(F.transform(paragraphs, lambda p: p["lines"]))
-    return F.flatten(F.transform(lines, lambda l: l["words"]))
+    return F.flatten(F.transform(lines_of(blocks), lambda l: l["words"]))
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -100,7 +111,6 @@ def segments(blocks: Column) -> Column:
     Words go from left to right, those at one place as they were read. A
     segment has its words' text, their mean confidence and the box around them.
     """
-    lines = F.flatten(F.transform(F.flatten(F.transform(blocks, lambda b: b["paragraphs"])), lambda p: p["lines"]))
 
     def of_line(l: Column) -> Column:
         height = l["bbox"]["y1"] - l["bbox"]["y0"]
@@ -116,7 +126,7 @@ def segments(blocks: Column) -> Column:
 
         return let(ordered, cut)
 
-    return F.flatten(F.transform(lines, of_line))
+    return F.flatten(F.transform(lines_of(blocks), of_line))
 
 
 def _joined(words: Column) -> Column:

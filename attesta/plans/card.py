@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attesta.functions import card_text, mrz
 from attesta.functions import tables as T
 from attesta.operators import layout, names, votes
+from attesta.operators import pages as nested
 from attesta.plans import zones
 
 AS_OF_YEAR = 2024
@@ -46,30 +47,71 @@ def label_names(layout_: DataFrame, text: DataFrame) -> DataFrame:
     return votes.merge_facts(both.where(F.col("field").isin(T.NAME_FIELDS)), ["doc_id", "side", "field"]).select(*FACT[:-1])
 
 
-def recognized_cards(lines: DataFrame, latin_lines: DataFrame, texts: DataFrame, zone_reads: DataFrame, zone_texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
+def chosen_sides(pages: DataFrame, english: DataFrame) -> DataFrame:
+    """(doc_id, side, blocks, english, text): the best page of each side, overlaid with the English page of the same variant.
+
+    pages: (doc_id, side, seq, confidence, text, blocks), a row for each
+    variant; english: (doc_id, side, seq, blocks). A page is as good as its
+    confidence and three for each field that its layout gives; of equally good
+    ones the first counts. Scores are worked out where pages are read, and the
+    losers dropped before the shuffle as far as a task sees them.
+    """
+    lines = layout.cleaned(nested.lines_of(F.col("blocks")))
+    score = F.coalesce(F.col("confidence"), F.lit(0.0)) + 3 * F.coalesce(F.size(F.coalesce(layout.page_fields(lines), F.array())), F.lit(0))
+    mine = pages.select("doc_id", "side", "seq", score.alias("score"), "text", "blocks", F.lit(None).cast(pages.schema["blocks"].dataType).alias("e"))
+    theirs = english.select("doc_id", "side", "seq", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(pages.schema["blocks"].dataType).alias("blocks"), F.col("blocks").alias("e"))
+    best = F.max_by(F.struct("seq", "text", "blocks"), F.when(F.col("score").isNotNull(), F.struct(F.col("score"), -F.col("seq"))))
+    others = F.collect_list(F.when(F.col("score").isNull(), F.struct("seq", "e")))
+    both = mine.unionByName(theirs).groupBy("doc_id", "side").agg(best.alias("b"), others.alias("o")).where("b is not null")
+    read = F.get(F.filter("o", lambda o: o["seq"] == F.col("b.seq")), F.lit(0))["e"]
+    found = both.select("doc_id", "side", F.col("b.blocks").alias("blocks"), read.alias("english"), F.col("b.text").alias("text"))
+    return found.select("doc_id", "side", nested.merge_labels(F.col("blocks"), F.col("english")).alias("blocks"), "english", "text")
+
+
+def chosen_zone_facts(zone_texts: DataFrame, as_of_year: int) -> DataFrame:
+    """(doc_id, field, value, confidence, source) of the best read of each document's machine-readable zone.
+
+    zone_texts: (doc_id, turn, area, confidence, text); turns count from 1,
+    areas from 0. The best read has most check points, ten times counted, and
+    confidence; of equal ones the earlier. Where a second area was tried, it
+    counts on the first turn only.
+    """
+    parsed = zone_texts.select("doc_id", "turn", "area", "confidence", mrz.parse(F.col("text"), as_of_year).alias("best"))
+    reads = parsed.groupBy("doc_id").agg(F.collect_list(F.struct("turn", "area", "confidence", "best")).alias("r"), F.max("area").alias("areas"))
+    tried = F.filter("r", lambda x: (x["turn"] == 1) | (F.col("areas") == 0) | (x["area"] != 1))
+    ranked = F.transform(tried, lambda x: F.struct((-(F.coalesce(x["best"]["score"], F.lit(0)) * 10 + x["confidence"])).alias("k"), x["turn"].alias("turn"), x["area"].alias("area"), x["best"].alias("best")))
+    best = reads.select("doc_id", F.array_min(ranked)["best"].alias("best")).where("best is not null")
+    return best.select("doc_id", F.explode(mrz.facts(F.col("best"), as_of_year)).alias("f")).select("doc_id", "f.*", F.lit("mrz").alias("source"))
+
+
+def recognized_cards(pages: DataFrame, english: DataFrame, zone_texts: DataFrame, zone_reads: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
     """One wide row per document from all that was read of its two sides.
 
-    lines and latin_lines: the page lines of the two language models; texts:
-    (doc_id, side, text); zone_reads: see zones; zone_texts: (doc_id, text) of
-    the machine-readable zone on the back. Names are resolved across sides; the
-    other fields are merged side by side, the front before the back.
+    pages, english: see chosen_sides; zone_texts: reads of the machine-readable
+    zone on the back, see chosen_zone_facts; zone_reads: see zones. What is
+    validated, that is reads of known places and the machine-readable zone,
+    goes before what layout and text let guess. Names are resolved across
+    sides; other fields are merged side by side, the front before the back.
     """
-    machine = mrz_facts(zone_texts, as_of_year).withColumn("side", F.lit("back"))
-    by_layout, by_text = layout_facts(lines), text_facts(texts, as_of_year)
+    sides = chosen_sides(pages, english)
+    lines = nested.lines_of(F.col("blocks"))
+    by_layout = sides.select("doc_id", "side", F.explode(layout.page_fields(layout.cleaned(lines))).alias("f")).select("doc_id", "side", "f.*")
+    by_layout = layout.drop_label_values(by_layout).select(*FACT[:-1], F.lit("layout").alias("source"))
+    by_text = text_facts(sides.select("doc_id", "side", nested.page_text(F.col("blocks"), F.col("text")).alias("text")), as_of_year)
+    machine = chosen_zone_facts(zone_texts, as_of_year).withColumn("side", F.lit("back"))
     front, back = zone_reads.where("side = 'front'"), zone_reads.where("side = 'back'")
     zone = zones.front_zone_facts(front, as_of_year).unionByName(zones.back_zone_facts(back))
     facts = side_facts(zone, machine.where(~F.col("field").isin(list(MACHINE_NAMES))).select(*FACT), by_layout, by_text)
     own = F.create_map(*[F.lit(x) for kv in MACHINE_NAMES.items() for x in kv])
     machine_names = machine.where(F.col("field").isin(list(MACHINE_NAMES))).withColumn("field", own[F.col("field")])
-    flat = lambda x: x.select("doc_id", "side", (F.col("block_no") * 1_000_000 + F.col("par_no") * 1_000 + F.col("line_no")).alias("seq"), names_text(x).alias("text"), "confidence", "bbox.*")
-    named = names.resolve_names(names.line_pairs(flat(lines), flat(latin_lines)), zones.anchored_names(front, as_of_year), label_names(by_layout, by_text), machine_names)
+    flat = lambda blocks: sides.select("doc_id", "side", F.posexplode(nested.lines_of(F.col(blocks))).alias("seq", "l")).select("doc_id", "side", F.col("seq").cast("long").alias("seq"), names_text(F.col("l.words")).alias("text"), "l.confidence", "l.bbox.*")
+    named = names.resolve_names(names.line_pairs(flat("blocks"), flat("english")), zones.anchored_names(front, as_of_year), label_names(by_layout, by_text), machine_names)
     return card(facts, named)
 
 
-def names_text(lines: DataFrame):
-    """The text of a line's confident words."""
-    sure = F.filter("words", lambda w: w["confidence"] >= 25)
-    return F.array_join(F.transform(sure, lambda w: w["text"]), " ")
+def names_text(words):
+    """The text of a line's confident words; a line of which none is sure stays, with an empty text."""
+    return F.array_join(F.transform(F.filter(words, lambda w: w["confidence"] >= 25), lambda w: w["text"]), " ")
 
 
 def card(facts: DataFrame, named: DataFrame) -> DataFrame:

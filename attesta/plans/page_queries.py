@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import tables as T
+from attesta.functions import text as X
 from attesta.operators import pages, votes
-from attesta.plans import zones
-from attesta.plans.queries import _POS, customers, line_order, query
+from attesta.plans import card, zones
+from attesta.plans.queries import _BACK, _BASE, _CARD, _FRONT, _POS, _TRUTH, NAME_HEADS, card_reads, customers, line_order, mrz_texts, query
 from attesta.sources.tables import page_lines, table
 
 # --- overlay of label words ----------------------------------------------------------------------------------------
@@ -211,3 +212,61 @@ def edited_facts(spark, sf_dir):
     text = F.when(i % 5 == 0, None).when(i % 5 == 1, "").otherwise(F.concat(F.lit("edit"), i.cast("string")))
     edits = e.where(i % 3 == 0).select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("field"), text.alias("value"), i.alias("at"))
     return votes.with_edits(votes.merge_facts(facts, ["doc_id", "field"]), edits, ["doc_id", "field"])
+
+
+# --- a whole card --------------------------------------------------------------------------------------------------
+
+
+def card_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(pages, english): three variants of a customer's front, of which the second is the best by its layout, and a back without words.
+
+    Only the English page of the second variant mends its label, and two of
+    three fronts show names, in both scripts.
+    """
+    k = F.col("c_custkey")
+    base = F.translate(k.cast("string"), "0123456789", "АНИҚОХЧШРЛ")
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+
+    def line(y: float, confidence: float, *words: tuple, high: int = 20) -> Column:
+        ws = [F.struct(text(t).alias("text"), F.lit(float(c)).alias("confidence"), F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y, x1, y + high))]).alias("bbox")) for t, c, x0, x1 in words]
+        box = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (min(w[2] for w in words), y, max(w[3] for w in words), y + high))])
+        return F.struct(F.concat_ws(" ", *[text(w[0]) for w in words]).alias("text"), F.lit(float(confidence)).alias("confidence"), box.alias("bbox"), F.array(*ws).alias("words"))
+
+    names = [(F.concat(F.lit(head), base), 1000.0 + y) for _, head, y in NAME_HEADS]
+    shown = lambda lines: F.when(k % 3 != 0, F.array(*lines)).otherwise(F.slice(F.array(*lines), 1, 0))
+    good = F.concat(F.array(
+        line(400, 75, ("Sex", 75, 0, 30)), line(430, 71, ("M", 71, 5, 20)), line(600, 80, ("Рлаке", 80, 0, 60), ("of", 80, 65, 80), ("birth", 80, 85, 130)), line(640, 77, ("ДУШАНБЕ", 77, 5, 90)),
+    ), shown([line(y, 80, (n, 80, 0, 300), high=40) for n, y in names]))
+    bad = F.array(line(600, 99, ("ХАТО", 99, 0, 300)))
+    latin = F.concat(F.array(line(600, 95, ("Place", 95, 0, 60))), shown([line(y + 45, 80, (X.transliterate(n), 80, 0, 300), high=40) for n, y in names]))
+    blocks = lambda lines: F.array(F.struct(F.array(F.struct(lines.alias("lines"))).alias("paragraphs")))
+    rows = lambda *vs: F.inline(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(seq).alias("seq"), F.lit(float(c)).alias("confidence"), F.lit(t).alias("text"), b.alias("blocks")) for side, seq, c, t, b in vs]))
+    none = F.when(F.lit(False), blocks(bad))
+    c = customers(spark, sf_dir)
+    mine = c.select(k.alias("doc_id"), rows(("front", 0, 70, "", blocks(bad)), ("front", 1, 69, "", blocks(good)), ("front", 2, 71, "", blocks(bad)), ("back", 0, 50, "x", none)))
+    return mine, c.select(k.alias("doc_id"), rows(("front", 0, 0, "", blocks(bad)), ("front", 1, 0, "", blocks(latin)), ("front", 2, 0, "", blocks(bad)))).drop("confidence", "text")
+
+
+@query(
+    f"""
+WITH m AS ({_TRUTH} SELECT doc_id, field, value, confidence FROM f),
+fr AS (WITH {_CARD}, {_FRONT} SELECT doc_id, field, value, confidence FROM front WHERE NOT (field = 'birthPlace' AND doc_id % 5 = 0) UNION ALL SELECT doc_id, 'birthPlace', 'ДУШАНБЕ', 77 FROM k WHERE doc_id % 5 = 0),
+bk AS (WITH {_CARD}, {_BACK} SELECT doc_id, field, value, confidence FROM back),
+every_ AS (SELECT *, 0 AS r FROM fr UNION ALL SELECT *, 1 FROM bk UNION ALL SELECT *, 1 FROM m WHERE field NOT LIKE 'mrz%'),
+best AS (SELECT doc_id, field, value FROM every_ QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY confidence DESC, r) = 1),
+named AS (SELECT c_custkey AS doc_id, f.field, f.head || {_BASE.format("c_custkey")} AS value FROM customer, (VALUES {", ".join(f"('{f}', '{h}')" for f, h, _ in NAME_HEADS)}) f(field, head) WHERE c_custkey % 3 <> 0
+  UNION ALL SELECT doc_id, CASE field WHEN 'mrzSurname' THEN 'surname' ELSE 'givenNames' END, value FROM m WHERE field LIKE 'mrz%' AND doc_id % 3 = 0),
+w AS (SELECT * FROM best UNION ALL SELECT * FROM named)
+SELECT doc_id, """
+    + ", ".join(f"max(value) FILTER (WHERE field = '{f}') AS \"{f}\"" for f in T.FIELDS)
+    + " FROM w GROUP BY doc_id"
+)
+def recognized_cards(spark, sf_dir):
+    """From recognised pages of both sides to one row per card: page choice, label overlay, zone choice, all parsers, names, merge."""
+    mine, english = card_pages(spark, sf_dir)
+    reads = card_reads(spark, sf_dir).where(~((F.col("field") == "birthPlace") & (F.col("doc_id") % 5 == 0)))
+    texts = mrz_texts(spark, sf_dir)
+    # a surer read of nothing, the zone, and on the second turn a read of the second area, which does not count
+    decoy = F.lit("I<TJKA0000004240000000000042<<\n9001011F3001019TJK<<<<<<<<<<<2\nSAMPLEOVA<<TESTA<<<<<<<<<<<<<<")
+    tries = F.inline(F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(a).alias("area"), F.lit(float(c)).alias("confidence"), x.alias("text")) for t, a, c, x in ((1, 0, 30, F.lit("NOTHING")), (2, 0, 20, F.col("text")), (2, 1, 99, decoy), (1, 1, 25, F.lit("")))]))
+    return card.recognized_cards(mine, english, texts.select("doc_id", tries), reads)
