@@ -12,6 +12,7 @@ from attesta.functions import tables as T
 from attesta.operators import layout, names, votes
 from attesta.operators import pages as nested
 from attesta.plans import zones
+from attesta.sources.tables import written
 
 AS_OF_YEAR = 2024
 FACT = ["doc_id", "side", "field", "value", "confidence", "source"]
@@ -92,20 +93,27 @@ def recognized_cards(pages: DataFrame, english: DataFrame, zone_texts: DataFrame
     validated, that is reads of known places and the machine-readable zone,
     goes before what layout and text let guess. Names are resolved across
     sides; other fields are merged side by side, the front before the back.
+
+    What several steps read, that is the chosen sides, the zone's facts, the
+    guesses and the parsed reads of names, is written once in the shared folder.
     """
-    sides = chosen_sides(pages, english)
+    sides = written(chosen_sides(pages, english), "sides")
     lines = nested.lines_of(F.col("blocks"))
     by_layout = sides.select("doc_id", "side", F.explode(layout.page_fields(layout.cleaned(lines))).alias("f")).select("doc_id", "side", "f.*")
     by_layout = layout.drop_label_values(by_layout).select(*FACT[:-1], F.lit("layout").alias("source"))
     by_text = text_facts(sides.select("doc_id", "side", nested.page_text(F.col("blocks"), F.col("text")).alias("text")), as_of_year)
-    machine = chosen_zone_facts(zone_texts, as_of_year).withColumn("side", F.lit("back"))
+    guesses = written(by_layout.withColumn("way", F.lit("layout")).unionByName(by_text.withColumn("way", F.lit("text"))), "guesses")
+    by_layout, by_text = [guesses.where(F.col("way") == w).drop("way") for w in ("layout", "text")]
+    machine = written(chosen_zone_facts(zone_texts, as_of_year).withColumn("side", F.lit("back")), "machine")
     front, back = zone_reads.where("side = 'front'"), zone_reads.where("side = 'back'")
-    zone = zones.front_zone_facts(front, as_of_year).unionByName(zones.back_zone_facts(back))
+    zone = written(zones.front_zone_facts(front, as_of_year).unionByName(zones.back_zone_facts(back)), "zones")
     facts = side_facts(zone, machine.where(~F.col("field").isin(list(MACHINE_NAMES))).select(*FACT), by_layout, by_text)
     own = F.create_map(*[F.lit(x) for kv in MACHINE_NAMES.items() for x in kv])
     machine_names = machine.where(F.col("field").isin(list(MACHINE_NAMES))).withColumn("field", own[F.col("field")])
     flat = lambda blocks: sides.select("doc_id", "side", F.posexplode(nested.lines_of(F.col(blocks))).alias("seq", "l")).select("doc_id", "side", F.col("seq").cast("long").alias("seq"), names_text(F.col("l.words")).alias("text"), "l.confidence", "l.bbox.*")
-    named = names.resolve_names(names.line_pairs(flat("blocks"), flat("english")), zones.anchored_names(front, as_of_year), label_names(by_layout, by_text), machine_names)
+    pairs = written(names.line_pairs(flat("blocks"), flat("english")), "pairs")
+    anchored = written(zones.anchored_names(front, as_of_year), "anchored")
+    named = names.resolve_names(pairs, anchored, label_names(by_layout, by_text), machine_names)
     return card(facts, named)
 
 
