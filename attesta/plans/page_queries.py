@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import tables as T
 from attesta.functions import text as X
-from attesta.operators import pages, votes
+from attesta.operators import fit, pages, votes
 from attesta.plans import card, zones
 from attesta.plans.queries import _BACK, _BASE, _CARD, _FRONT, _POS, _TRUTH, NAME_HEADS, card_reads, customers, line_order, mrz_texts, query
 from attesta.sources.tables import page_lines, table
@@ -270,3 +270,18 @@ def recognized_cards(spark, sf_dir):
     decoy = F.lit("I<TJKA0000004240000000000042<<\n9001011F3001019TJK<<<<<<<<<<<2\nSAMPLEOVA<<TESTA<<<<<<<<<<<<<<")
     tries = F.inline(F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(a).alias("area"), F.lit(float(c)).alias("confidence"), x.alias("text")) for t, a, c, x in ((1, 0, 30, F.lit("NOTHING")), (2, 0, 20, F.col("text")), (2, 1, 99, decoy), (1, 1, 25, F.lit("")))]))
     return card.recognized_cards(mine, english, texts.select("doc_id", tries), reads)
+
+
+# --- means over areas ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """
+WITH c AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, floor(embedding[i + 1]::DOUBLE * 1000) AS value FROM embeddings, range(64) t(i) WHERE (vec_id + i) % 11 <> 0)
+SELECT a.vec_id, a.y::BIGINT AS y, a.x::BIGINT AS x, round(avg(b.value), 6) AS mean FROM c a JOIN c b ON a.vec_id = b.vec_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL"""
+)
+def area_means(spark, sf_dir):
+    """Means over boxes of five cells, clipped at the edges, of each embedding as a grid with cells missing, from summed areas of tiles."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).where((F.col("vec_id") + F.col("i")) % 11 != 0)
+    cells = e.select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), F.floor(F.col("v").cast("double") * 1000).alias("value"))
+    return fit.area_mean(cells, ["vec_id"], 2, tile=4).select("vec_id", "y", "x", F.round("mean", 6).alias("mean"))

@@ -151,3 +151,18 @@ def test_corrections(spark):
 
 def test_queries_are_registered():
     assert {"label_overlay_pages", "page_segments", "front_zone_boxes", "back_address_boxes", "edited_facts"} <= entry.queries().keys() & entry.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("radius,tile", [(1, 4), (3, 4), (9, 4), (2, 256)])
+def test_area_mean_matches_plain_means(spark, radius, tile):
+    rng = random.Random(radius)
+    cells = [(k, y, x, None if rng.random() < 0.05 else float(rng.randrange(100))) for k, (h, w) in enumerate([(11, 9), (1, 1), (4, 13)]) for y in range(h) for x in range(w) if rng.random() < 0.8 or (y, x) == (0, 0)]
+    df = spark.createDataFrame(cells, "k int, y int, x int, value double")
+    got = {(r.k, r.y, r.x): r["mean"] for r in fit.area_mean(df, ["k"], radius, tile).collect()}
+    known = [c for c in cells if c[3] is not None]
+    want = {}
+    for k, y, x, _ in known:
+        near = [v for i, b, a, v in known if i == k and abs(b - y) <= radius and abs(a - x) <= radius]
+        want[k, y, x] = sum(near) / len(near)
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
+    assert fit.area_mean(df.where("false"), ["k"], radius, tile).collect() == []
