@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from attesta.functions import tables as T
 from attesta.functions import text as X
-from attesta.operators import fit, pages, votes
+from attesta.operators import fit, pages, regions, votes
 from attesta.plans import card, zones
-from attesta.plans.queries import _BACK, _BASE, _CARD, _FRONT, _POS, _TRUTH, NAME_HEADS, card_reads, customers, line_order, mrz_texts, query
+from attesta.plans.queries import _BACK, _BASE, _CARD, _FRONT, _GRID, _POS, _TRUTH, NAME_HEADS, card_reads, customers, line_order, mrz_texts, query
 from attesta.sources.tables import page_lines, table
 
 # --- overlay of label words ----------------------------------------------------------------------------------------
@@ -285,3 +285,21 @@ def area_means(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).where((F.col("vec_id") + F.col("i")) % 11 != 0)
     cells = e.select("vec_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), F.floor(F.col("v").cast("double") * 1000).alias("value"))
     return fit.area_mean(cells, ["vec_id"], 2, tile=4).select("vec_id", "y", "x", F.round("mean", 6).alias("mean"))
+
+
+# --- regions -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {_GRID}, on_ AS (SELECT doc_id, y, x FROM g WHERE v > 128), reach AS (SELECT doc_id, y * 8 + x AS seed, y, x FROM on_
+  UNION SELECT r.doc_id, r.seed, o.y, o.x FROM reach r JOIN on_ o ON o.doc_id = r.doc_id AND abs(o.y - r.y) + abs(o.x - r.x) = 1),
+l AS (SELECT doc_id, y, x, min(seed) AS label FROM reach GROUP BY doc_id, y, x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY label) - 1)::INT AS region, count(*) AS cells, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1 FROM l GROUP BY doc_id, label"""
+)
+def run_regions(spark, sf_dir):
+    """Connected regions of each embedding as a grid of marked cells, from runs in its rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("i", "v"))
+    marked = e.where(F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v") * 60 + 128))) > 128).select("doc_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"))
+    found = regions.regions(marked, ["doc_id"])
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("label")) - 1
+    return found.select("doc_id", number.alias("region"), "cells", "x0", "y0", "x1", "y1")
