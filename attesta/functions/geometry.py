@@ -103,3 +103,58 @@ def bounding_crop(q: Column, width: Column, height: Column, least: int = 100) ->
 
 def point_to_percent(p: Column, width: Column, height: Column) -> Column:
     return point(p["x"] / width * 100, p["y"] / height * 100)
+
+
+# --- maps between quadrilaterals -----------------------------------------------------------------------------------
+
+#: Least share of its size squared that a quadrilateral's determinant has, below which it counts as degenerate.
+LEAST_DETERMINANT = 1e-9
+
+
+def _matrix(*cells: Column) -> Column:
+    return F.array(*[c.cast("double") for c in cells])
+
+
+def _square_to(q: Column) -> Column:
+    """The 3 x 3 map, row by row, of the unit square's corners (0,0), (1,0), (1,1), (0,1) to a quadrilateral's; null if three corners are on a line."""
+    p = [F.get(q, F.lit(i)) for i in range(4)]
+    x, y = [c["x"] for c in p], [c["y"] for c in p]
+    ax, ay, bx, by = x[1] - x[2], y[1] - y[2], x[3] - x[2], y[3] - y[2]
+    sx, sy = x[0] - x[1] + x[2] - x[3], y[0] - y[1] + y[2] - y[3]
+    size = F.greatest(*[F.abs(v) for v in (ax, ay, bx, by, sx, sy)])
+    den = ax * by - bx * ay
+    sound = F.when(F.abs(den) > LEAST_DETERMINANT * size * size, den)
+    return let(F.struct(((sx * by - bx * sy) / sound).alias("g"), ((ax * sy - sx * ay) / sound).alias("h")), lambda v: F.when(
+        v["g"].isNotNull() & v["h"].isNotNull(),
+        _matrix(x[1] - x[0] + v["g"] * x[1], x[3] - x[0] + v["h"] * x[3], x[0], y[1] - y[0] + v["g"] * y[1], y[3] - y[0] + v["h"] * y[3], y[0], v["g"], v["h"], F.lit(1.0)),
+    ))
+
+
+def _product(a: Column, b: Column) -> Column:
+    cell = lambda i, j: sum((a[3 * i + k] * b[3 * k + j] for k in range(1, 3)), a[3 * i] * b[j])
+    return _matrix(*[cell(i, j) for i in range(3) for j in range(3)])
+
+
+def _adjugate(m: Column) -> Column:
+    """The inverse up to a factor, which a map of points does not mind; null where there is none."""
+    minor = lambda r, s, c, d: m[3 * r + c] * m[3 * s + d] - m[3 * r + d] * m[3 * s + c]
+    cells = [
+        minor(1, 2, 1, 2), -minor(0, 2, 1, 2), minor(0, 1, 1, 2), -minor(1, 2, 0, 2), minor(0, 2, 0, 2), -minor(0, 1, 0, 2),
+        minor(1, 2, 0, 1), -minor(0, 2, 0, 1), minor(0, 1, 0, 1),
+    ]
+    return let(_matrix(*cells), lambda a: F.when(m[0] * a[0] + m[1] * a[3] + m[2] * a[6] != 0, a))
+
+
+def homography(source: Column, target: Column) -> Column:
+    """The projective map of one quadrilateral's corners to another's, nine cells row by row.
+
+    In closed form: the source to the unit square by the adjugate, the square
+    to the target. Null where either has three corners on a line or is null.
+    """
+    return let(_square_to(source), lambda s: let(_adjugate(s), lambda back: let(_square_to(target), lambda t: F.when(back.isNotNull() & t.isNotNull(), _product(t, back)))))
+
+
+def mapped(h: Column, p: Column) -> Column:
+    """A point carried by a map; null for a null map, and for points at the map's horizon."""
+    w = h[6] * p["x"] + h[7] * p["y"] + h[8]
+    return F.when(w != 0, point((h[0] * p["x"] + h[1] * p["y"] + h[2]) / w, (h[3] * p["x"] + h[4] * p["y"] + h[5]) / w))

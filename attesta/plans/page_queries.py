@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import tables as T
+from attesta.functions import geometry
 from attesta.functions import text as X
 from attesta.operators import fit, pages, regions, votes
 from attesta.plans import card, zones
@@ -303,3 +304,28 @@ def run_regions(spark, sf_dir):
     found = regions.regions(marked, ["doc_id"])
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("label")) - 1
     return found.select("doc_id", number.alias("region"), "cells", "x0", "y0", "x1", "y1")
+
+
+# --- maps of quadrilaterals ----------------------------------------------------------------------------------------
+
+
+@query(
+    """
+WITH k AS (SELECT s_suppkey AS d, 400.0 + s_suppkey % 50 AS w, 250.0 + s_suppkey % 40 AS h FROM supplier WHERE s_suppkey % 7 <> 0),
+c AS (SELECT d, 0 AS i, 10.0 + d % 9 AS x, 20.0 + d % 11 AS y FROM k UNION ALL SELECT d, 1, 300.0 + d % 13, 5.0 + d % 8 FROM k UNION ALL SELECT d, 2, 320.0 - d % 10, 220.0 + d % 12 FROM k UNION ALL SELECT d, 3, 2.0 + d % 6, 200.0 - d % 14 FROM k)
+SELECT d AS doc_id, i::INT AS corner, round(x, 6)::DOUBLE + 0.0 AS x, round(y, 6)::DOUBLE + 0.0 AS y, 'there' AS way FROM c
+UNION ALL SELECT d, 4, round(w / 3, 6)::DOUBLE, round(h / 4, 6)::DOUBLE, 'there and back' FROM k"""
+)
+def quad_homography(spark, sf_dir):
+    """Corners of a straight card carried to a photographed one, and an inner point there and back; degenerate ones have no map."""
+    k = F.col("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select(k.alias("doc_id"), (400.0 + k % 50).alias("w"), (250.0 + k % 40).alias("h"))
+    k, at = F.col("doc_id"), geometry.point
+    card_ = F.array(at(F.lit(0), F.lit(0)), at(F.col("w"), F.lit(0)), at(F.col("w"), F.col("h")), at(F.lit(0), F.col("h")))
+    seen = F.array(at(10.0 + k % 9, 20.0 + k % 11), at(300.0 + k % 13, 5.0 + k % 8), at(320.0 - k % 10, 220.0 + k % 12), at(2.0 + k % 6, 200.0 - k % 14))
+    line = F.array(*[at(F.lit(i) * 10, F.lit(i) * 20) for i in range(4)])
+    quads = d.withColumn("card", card_).withColumn("seen", F.when(k % 7 == 0, line).otherwise(seen))
+    maps = quads.withColumn("there", geometry.homography(F.col("card"), F.col("seen"))).withColumn("back", geometry.homography(F.col("seen"), F.col("card"))).where("there is not null or back is not null")
+    corners = maps.select("doc_id", F.posexplode(F.transform("card", lambda p: geometry.mapped(F.col("there"), p))).alias("corner", "p"), F.lit("there").alias("way"))
+    inner = maps.select("doc_id", F.lit(4).alias("corner"), geometry.mapped(F.col("back"), geometry.mapped(F.col("there"), at(F.col("w") / 3, F.col("h") / 4))).alias("p"), F.lit("there and back").alias("way"))
+    return corners.unionByName(inner).select("doc_id", "corner", (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"), "way")
