@@ -12,6 +12,18 @@ def upper_median(x: Column) -> Column:
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
 
 
+def upper_medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, median): the element at floor(n/2) of each key's sorted values, from a count of each different one.
+
+    Equal values meet before the shuffle, and no key's values are gathered in
+    one row. Nulls are left out; a key without values has no row.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*keys)
+    run = counts.select("*", F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_up"), F.sum("_n").over(w).alias("_all"))
+    return run.where((F.col("_up") > F.floor(F.col("_all") / 2)) & (F.col("_up") - F.col("_n") <= F.floor(F.col("_all") / 2))).select(*keys, F.col("_v").alias("median"))
+
+
 def refit(points: DataFrame, keys: list[str]) -> DataFrame:
     """Least-squares slope and intercept of v over t."""
     return points.groupBy(*keys).agg(F.regr_slope("v", "t").alias("scale"), F.regr_intercept("v", "t").alias("shift"), F.count(F.lit(1)).alias("n"))

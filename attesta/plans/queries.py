@@ -410,7 +410,7 @@ def consensus_axis_fit(spark, sf_dir):
 
 @query("SELECT l_suppkey, list_sort(list(l_extendedprice))[len(list(l_extendedprice)) // 2 + 1] AS median FROM lineitem GROUP BY l_suppkey")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(fit.upper_median(F.col("l_extendedprice")).alias("median"))
+    return fit.upper_medians(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice")
 
 
 _HIST = "h AS (SELECT l_returnflag, greatest(0, least(255, floor(l_extendedprice / 400)))::INT AS bin, count(*) AS n FROM lineitem GROUP BY ALL)"

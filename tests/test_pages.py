@@ -166,3 +166,11 @@ def test_area_mean_matches_plain_means(spark, radius, tile):
         want[k, y, x] = sum(near) / len(near)
     assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c]) for c in want)
     assert fit.area_mean(df.where("false"), ["k"], radius, tile).collect() == []
+
+
+def test_upper_medians(spark):
+    rng = random.Random(1)
+    rows = [(k, rng.choice([1.0, 2.0, 2.0, 5.0, None])) for k in range(40) for _ in range(rng.randrange(1, 9))]
+    got = {r.k: r["median"] for r in fit.upper_medians(spark.createDataFrame(rows, "k int, v double"), ["k"], "v").collect()}
+    values = {k: sorted(v for i, v in rows if i == k and v is not None) for k in range(40)}
+    assert got == {k: vs[len(vs) // 2] for k, vs in values.items() if vs}
