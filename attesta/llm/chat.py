@@ -5,14 +5,15 @@ role or a text lose their first character to an escape, so the template's own
 are the only ones: `\` becomes `\\`, `</s>` becomes `\l/s>` and `[INST]`
 becomes `\bINST]`; `unescape` reverses it exactly.
 
-Prefix sums of turn tokens deal turns to windows. A conversation's room for new
-turns is the budget without its system turn and the history. Windows are cells
-of that room less its longest usual turn, so that a turn that straddles the
-cell's end still fits; a turn longer than half the room is a window of its own.
-A window repeats the system turn and as much of the window before it as history
-and budget allow; where its first new turn is a target, the turn before it is
-repeated wherever both fit. Repeated targets are masked. Prefix sums are
-two-level, over blocks of turns, so that a long conversation is never one task.
+Prefix sums of turn tokens choose the windows. A window that begins at a turn
+repeats the system turn and as many of the turns before it as the history
+allows; where it begins with a target, the turn before is repeated wherever
+both fit. Repeated targets are masked. What is left of the budget is its room,
+and it takes turns for as long as their prefix sums lie within it; the next
+window begins at the first that does not fit. Prefix sums are two-level, over
+blocks of turns, and windows also begin anew with each segment of turns, so
+that a long conversation is never one task; only numbers, no texts, are
+gathered to follow the windows of a segment.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ OPEN, CLOSE, END = "[INST] ", " [/INST]", "</s>"
 BUDGET, HISTORY, LEAST_SHARE = 4096, 512, 4
 #: Tokens that the template adds to a turn.
 TURN_OVERHEAD = 8
-#: Turn numbers to a block of the two-level prefix sums.
-BLOCK = 1024
+#: Turn numbers to a block of the two-level prefix sums, and turns to a segment whose windows are followed together.
+BLOCK, SEGMENT = 1024, 4096
 TARGET_ROLE = "assistant"
 
 
@@ -53,13 +54,14 @@ def turn_tokens(text: Column) -> Column:
 
 def chat_windows(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-    budget: int = BUDGET, history: int = HISTORY, tokens=turn_tokens,
+    budget: int = BUDGET, history: int = HISTORY, tokens=turn_tokens, segment: int = SEGMENT,
 ) -> DataFrame:
     """One row per window: conv_id, window, text, repeated, loss (array of start, length), tokens.
 
     Turns are ordered by turn, role and text; repeated rows are turns of their
     own, a null role or text is an empty one, and a null conv_id is a
-    conversation of its own. `window` orders the windows of a conversation.
+    conversation of its own. `window` is the place of a window's first new turn
+    in its conversation, from 0. The history is at most as many tokens and turns.
     `repeated` counts the leading turns of a window that stand for context only:
     its system turn (the conversation's first, of any length) and the history.
     `loss` has the code-point spans of the texts of new assistant turns. A
@@ -71,40 +73,22 @@ def chat_windows(
         F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("raw")
     )
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK)), F.lit(-1))).withColumn("tok", tokens(F.col("raw"))).withColumn("key", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("n")))
-    # text-free counts first: the system turn's length gives a conversation's room, the room its long turns and its cells
-    system = F.min(F.when(F.col("role") == "system", F.struct("turn", "role", "raw", "tok")))
-    sizes = rows.groupBy("key", "block", "tok").agg(F.count(F.lit(1)).alias("n"))
-    room = rows.groupBy("key").agg(system.alias("s")).select("key", F.greatest(F.lit(budget - history) - F.coalesce("s.tok", F.lit(0)), F.lit(max(2, budget // LEAST_SHARE))).alias("room"))
-    sized = salted_join(sizes, room, ["key"], F.col("block")).withColumn("big", (F.col("tok") > F.floor(F.col("room") / 2)).cast("long"))
-    blocks = sized.groupBy("key", "block").agg(
-        F.sum(F.col("tok") * F.col("n")).alias("tok"), F.sum(F.col("big") * F.col("n")).alias("big"), F.sum("n").alias("n"), F.max(F.when(F.col("big") == 0, F.col("tok"))).alias("widest"), F.first("room").alias("room")
-    )
+    # text-free sums by block first, so that a conversation's prefix sums are many tasks
+    blocks = rows.groupBy("key", "block").agg(F.sum("tok").alias("tok"), F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    cell = F.greatest(F.lit(1), F.col("room") - F.coalesce(F.max("widest").over(Window.partitionBy("key")), F.lit(0)))
-    base = blocks.select("key", "block", "room", cell.alias("cell"), *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("tok", "big", "n")])
+    base = blocks.select("key", "block", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("tok", "n")])
     within = Window.partitionBy("key", "block").orderBy("turn", "role", "raw").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.col(f"{c}0") + F.coalesce(F.sum(c).over(within), F.lit(0))
-    placed = rows.join(base, ["key", "block"]).withColumn("big", (F.col("tok") > F.floor(F.col("room") / 2)).cast("long")).withColumn("n", F.lit(1).cast("long"))
-    placed = placed.withColumn("start", so_far("tok")).withColumn("bigs", so_far("big")).withColumn("at", so_far("n"))
-    # windows follow each other as (run, cell): a big turn ends one run and is the next
-    placed = placed.withColumn("window", F.struct((F.col("bigs") * 2 + F.col("big")).alias("run"), F.floor(F.col("start") / F.col("cell")).cast("long").alias("cell")))
-    placed, _ = materialize(placed.select("key", "conv", "at", "role", "raw", "tok", "start", "window"), "turns")
-    first = placed.where(F.col("role") == "system").groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok", F.col("window").alias("own"))).alias("s")).select("key", "s.*")
-    spans = placed.groupBy("key", "window").agg(F.max(F.col("start") + F.col("tok")).alias("end"), F.min("at").alias("first_at"), F.sum("tok").alias("own"), F.min_by("role", "at").alias("opens"))
-    held = spans.join(first.select("key", F.col("tok").alias("held")), "key", "left")
-    follow = Window.partitionBy("key").orderBy("window")
-    nxt = lambda c: F.lead(c).over(follow)
-    after = held.select("key", "window", "end", nxt("window").alias("next"), (F.lit(budget) - F.coalesce("held", F.lit(0)) - nxt("own")).alias("left"), nxt("opens").alias("opens"))
+    placed = rows.join(base, ["key", "block"]).withColumn("n", F.lit(1).cast("long")).withColumn("start", so_far("tok")).withColumn("at", so_far("n"))
+    placed, _ = materialize(placed.select("key", "conv", "at", "role", "raw", "tok", "start"), "turns")
+    first = placed.where(F.col("role") == "system").groupBy("key").agg(F.min(F.struct("at", "conv", "role", "raw", "tok")).alias("s")).select("key", "s.*")
+    windows = _windows(placed, first, budget, history, segment)
     turn = ["conv", "at", "role", "raw", "tok"]
-    near = placed.select("key", "window", "start", *turn).join(after, ["key", "window"])
-    back = F.col("end") - F.col("start")
-    prompt = (back == F.col("tok")) & (F.col("opens") == TARGET_ROLE) & (F.col("tok") <= F.col("left"))
-    repeats = ((back <= F.least(F.lit(history), F.col("left"))) | prompt) & F.col("next").isNotNull() & (F.col("role") != "system")
-    own = near.withColumn("copy", F.explode(F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    where = F.when(F.col("copy") == 0, F.col("window")).otherwise(F.col("next"))
-    lines = own.select("key", where.alias("window"), (F.lit(2) - F.col("copy")).alias("kind"), *turn)
-    # the first system turn goes to every window after its own
-    again = spans.select("key", "window", "first_at").join(first, "key").where((F.col("first_at") > F.col("at")) & (F.col("window") != F.col("own")))
+    # a window's own turns (kind 2) and its history (1); the first system turn goes to every window after its own (0)
+    places = windows.select("key", "window", "system_at", F.explode(F.sequence("context", F.col("end") - 1)).alias("at"))
+    places = places.where((F.col("at") >= F.col("window")) | ~F.col("at").eqNullSafe(F.col("system_at")))
+    lines = places.join(placed, ["key", "at"]).select("key", "window", F.when(F.col("at") >= F.col("window"), 2).otherwise(1).alias("kind"), *turn)
+    again = salted_join(windows.where(F.col("system_at") < F.col("window")).select("key", "window"), first, ["key"], F.col("window"))
     parts = lines.unionByName(again.select("key", "window", F.lit(0).alias("kind"), *turn)).select(
         "key", "window", "kind", "conv", "at", "tok", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE)).alias("head"), escape(F.col("raw")).alias("body"),
         ((F.col("kind") == 2) & (F.col("role") == TARGET_ROLE)).alias("target"),
@@ -120,6 +104,45 @@ def chat_windows(
     )
 
 
+def _windows(placed: DataFrame, first: DataFrame, budget: int, history: int, segment: int) -> DataFrame:
+    """(key, window, context, end, system_at): first new turn, first repeated turn and the turn behind the last, of each window.
+
+    A segment's numbers come with those of the turns that its first window may
+    repeat, and one fold follows its windows: a turn within the limit of the
+    window joins it, another begins the next, whose limit follows from its context.
+    """
+    at, room_least = F.col("at"), F.lit(budget // LEAST_SHARE)
+    own = F.floor(at / F.lit(segment)).cast("long")
+    both = F.when(F.pmod(at, F.lit(segment)) >= segment - history, F.array(own, own + 1)).otherwise(F.array(own))
+    numbers = placed.select("key", F.explode(both).alias("segment"), F.struct(at, "start", "tok", (F.col("role") == TARGET_ROLE).alias("target")).alias("t"))
+    turns = numbers.groupBy("key", "segment").agg(F.sort_array(F.collect_list("t")).alias("t"), F.max("t.at").alias("last"))
+    turns = turns.where(F.col("last") >= F.col("segment") * segment)  # else only the history of a segment that has no turns
+    held = first.select("key", F.col("at").alias("system_at"), F.col("tok").alias("system_tok"))
+    turns = salted_join(turns, held, ["key"], F.col("segment"), how="left")
+
+    def begun(windows: Column, x: Column) -> Column:
+        """The state after a window begins at x."""
+        room = F.lit(budget) - F.when(F.col("system_at") < x["at"], F.col("system_tok")).otherwise(F.lit(0))
+        spare = room - x["tok"]
+        index = (x["at"] - F.element_at("t", 1)["at"]).cast("int")
+        before = F.slice("t", F.greatest(F.lit(1), index + 1 - history), F.least(index, F.lit(history)))
+        prompt = lambda c: x["target"] & (c["at"] == x["at"] - 1) & (c["tok"] <= spare)
+        repeated = F.filter(before, lambda c: (x["start"] - c["start"] <= F.least(F.lit(history), spare)) | prompt(c))
+        context = F.array_min(F.concat(repeated, F.array(x)))
+        new = F.transform(F.array(context), lambda c: F.struct(
+            F.concat(windows, F.array(F.struct(x["at"].alias("window"), c["at"].alias("context")))).alias("windows"), (c["start"] + F.greatest(room, room_least)).alias("limit")
+        ))
+        return new[0]
+
+    none = F.from_json(F.lit("[]"), "array<struct<window: long, context: long>>")
+    start = F.struct(none.alias("windows"), F.lit(-1).cast("long").alias("limit"))
+    lead = F.col("segment") * segment
+    step = lambda s, x: F.when((x["at"] < lead) | (x["start"] + x["tok"] <= s["limit"]), s).otherwise(begun(s["windows"], x))
+    chain = turns.select("key", "system_at", F.aggregate("t", start, step)["windows"].alias("w"), F.col("last"))
+    ended = F.transform("w", lambda x, i: F.struct(x["window"].alias("window"), x["context"].alias("context"), F.coalesce(F.get("w", i + 1)["window"], F.col("last") + 1).alias("end")))
+    return chain.select("key", "system_at", F.inline(ended))
+
+
 def read_windows(windows: DataFrame) -> DataFrame:
     """Add to chat_windows rows what they say: turns (array of role, text), without the repeated, and loss_texts (array).
 

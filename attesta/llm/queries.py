@@ -119,22 +119,23 @@ _ADDED = """(length({x}) - length(replace({x}, chr(92), '')) + (length({x}) - le
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": f"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-k AS (SELECT *, ((strlen(text) + 3) // 4 + {chat.TURN_OVERHEAD})::BIGINT AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM t),
-r AS (SELECT *, greatest({chat.BUDGET - chat.HISTORY} - coalesce(arg_min(tok, pos) FILTER (WHERE role = 'system') OVER (PARTITION BY conv_id), 0), {chat.BUDGET // chat.LEAST_SHARE}) AS room FROM k),
-b AS (SELECT *, room - coalesce(max(tok) FILTER (WHERE tok <= room // 2) OVER (PARTITION BY conv_id), 0) AS size FROM r),
-p AS (SELECT *, (tok > room // 2)::BIGINT AS big, sum(tok) OVER w - tok AS start_, sum((tok > room // 2)::BIGINT) OVER w - (tok > room // 2)::BIGINT AS bigs,
+k AS (SELECT *, ((strlen(text) + 3) // 4 + {chat.TURN_OVERHEAD})::BIGINT AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM t),
+q AS (SELECT *, sum(tok) OVER w - tok AS start_,
   length('{chat.OPEN}{chat.CLOSE}{chat.END}') + length(role) + length(text) + {_ADDED.format(x="role")} + {_ADDED.format(x="text")} AS len
-  FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-q AS (SELECT *, 2 * bigs + big AS run, start_ // greatest(1, size) AS cell FROM p),
-s AS (SELECT conv_id, run, cell, max(start_ + tok) AS end_, min(pos) AS first_pos, sum(tok) AS own, arg_min(role, pos) AS opens FROM q GROUP BY ALL),
-f AS (SELECT conv_id, arg_min(struct_pack(pos := pos, len := len, tok := tok, run := run, cell := cell), pos) AS y FROM q WHERE role = 'system' GROUP BY conv_id),
-n AS (SELECT s.*, lead(own) OVER w AS next_own, lead(opens) OVER w AS next_opens, {chat.BUDGET} - coalesce(f.y.tok, 0) - lead(own) OVER w AS left_ FROM s LEFT JOIN f ON s.conv_id = f.conv_id WINDOW w AS (PARTITION BY s.conv_id ORDER BY run, cell)),
-own AS (SELECT conv_id, sum(len + CASE WHEN next_own IS NOT NULL AND role <> 'system' AND (end_ - start_ <= least({chat.HISTORY}, left_) OR (end_ - start_ = tok AND next_opens = '{chat.TARGET_ROLE}' AND tok <= left_)) THEN len ELSE 0 END) AS chars
-  FROM q JOIN n USING (conv_id, run, cell) GROUP BY conv_id),
-sys AS (SELECT conv_id, sum(f.y.len) AS chars FROM n JOIN f USING (conv_id) WHERE first_pos > f.y.pos AND NOT (n.run = f.y.run AND n.cell = f.y.cell) GROUP BY conv_id),
+  FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+f AS (SELECT * FROM q WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos) = 1),
+r AS (SELECT q.*, {chat.BUDGET} - CASE WHEN f.pos < q.pos THEN f.tok ELSE 0 END AS room FROM q LEFT JOIN f USING (conv_id)),
+x AS (SELECT r.conv_id, r.pos, r.room, min(j.pos) AS context, min(j.start_) AS from_ FROM r JOIN q j ON j.conv_id = r.conv_id AND (j.pos = r.pos OR j.pos < r.pos AND j.pos >= r.pos - {chat.HISTORY} AND (
+  r.start_ - j.start_ <= least({chat.HISTORY}, r.room - r.tok) OR (r.role = '{chat.TARGET_ROLE}' AND j.pos = r.pos - 1 AND j.tok <= r.room - r.tok))) GROUP BY ALL),
+e AS (SELECT x.*, coalesce((SELECT min(j.pos) FROM q j WHERE j.conv_id = x.conv_id AND j.pos > x.pos AND (j.start_ + j.tok > x.from_ + greatest(x.room, {chat.BUDGET // chat.LEAST_SHARE}) OR j.pos % {chat.SEGMENT} = 0)),
+  (SELECT max(j.pos) + 1 FROM q j WHERE j.conv_id = x.conv_id)) AS end_ FROM x),
+s AS (SELECT conv_id, pos, context, end_ FROM e WHERE pos = 0 UNION ALL SELECT e.conv_id, e.pos, e.context, e.end_ FROM s JOIN e ON e.conv_id = s.conv_id AND e.pos = s.end_),
+own AS (SELECT s.conv_id, sum(q.len) AS chars FROM s JOIN q ON q.conv_id = s.conv_id AND q.pos >= s.context AND q.pos < s.end_ LEFT JOIN f ON f.conv_id = s.conv_id
+  WHERE q.pos >= s.pos OR q.pos IS DISTINCT FROM f.pos GROUP BY s.conv_id),
+sys AS (SELECT conv_id, sum(f.len) AS chars FROM s JOIN f USING (conv_id) WHERE s.pos > f.pos GROUP BY conv_id),
 c AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM q GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own.chars + coalesce(sys.chars, 0))::BIGINT AS formatted_chars,

@@ -612,52 +612,81 @@ def test_training_order_survives_to_packing(spark):
     assert once and all((r.sequence_id >> 40) == part[r.doc_id] for r in packed if sum(x.doc_id == r.doc_id for x in want) == 1)
 
 
-def test_chat_windows_against_brute_force(spark):
-    """Long system turns stay, prompts stay with their answers, and windows fill their room."""
+def greedy_windows(turns, budget, history, segment):
+    """(turns, repeated, tokens) of each window, one turn after the other: the rule of chat_windows in plain Python."""
+    cost = [-(-len(text.encode()) // 4) + chat.TURN_OVERHEAD for _, text in turns]
+    system = next((i for i, t in enumerate(turns) if t[0] == "system"), None)
+    out, i = [], 0
+    while i < len(turns):
+        held = cost[system] if system is not None and system < i else 0
+        spare = budget - held - cost[i]
+        k = i
+        while k and i - k < history and sum(cost[k - 1 : i]) <= min(history, spare):
+            k -= 1
+        if k == i and i and turns[i][0] == "assistant" and cost[i - 1] <= spare:
+            k = i - 1
+        room, end = max(budget - held, budget // chat.LEAST_SHARE) - sum(cost[k:i]), i + 1
+        while end < len(turns) and end % segment and sum(cost[i : end + 1]) <= room:
+            end += 1
+        repeated = [j for j in range(k, i) if j != system]
+        repeated = [system] * bool(held) + repeated
+        out.append((i, [turns[j] for j in repeated], turns[i:end], sum(cost[j] for j in [*repeated, *range(i, end)])))
+        i = end
+    return out
+
+
+@pytest.mark.parametrize("segment", [7, 4096])
+def test_chat_windows_against_brute_force(spark, segment):
+    """Long system turns stay, prompts stay with their answers, and windows take all turns that fit."""
     rng = random.Random(3)
     rows = []
     for c in range(25):
         size = 4 * rng.choice([5, 30, 150])
         if c % 3:
-            rows.append((c, 0, "system", "s" * rng.choice([40, 400, 1600])))
+            rows.append((c, rng.choice([0, 0, 5]), "system", "s" * rng.choice([40, 400, 1600])))
         for t in range(1, rng.randrange(2, 40)):
-            rows.append((c, t, "assistant" if t % 2 == 0 else "user", "x" * rng.choice([size, size, 4 * rng.randrange(1, 420)])))
+            rows.append((c, t, "assistant" if t % 2 == 0 else "user", "x" * rng.choice([size, size, 4 * rng.randrange(1, 420), 3000 if c % 5 == 0 else 1])))
     df = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, key string, n int")
     budget, history = 600, 80
     got = collections.defaultdict(list)
-    for r in chat.read_windows(chat.chat_windows(df, budget=budget, history=history)).collect():
+    for r in chat.read_windows(chat.chat_windows(df, budget=budget, history=history, segment=segment)).collect():
         got[r.conv_id].append(r)
-    cost = lambda text: -(-len(text) // 4) + chat.TURN_OVERHEAD
-    filled = []
     for c in {r[0] for r in rows}:
         turns = [(role, text) for _, _, role, text in sorted(r for r in rows if r[0] == c)]
-        windows = sorted(got[c], key=lambda w: w.window)
-        assert [tuple(t) for w in windows for t in w.turns] == turns
-        system = next((t for t in turns if t[0] == "system"), None)
-        seen = 0
-        for k, w in enumerate(windows):
-            parts = w.text.split(chat.END)[: w.repeated]
-            context = [(p[len(chat.OPEN) : p.index(chat.CLOSE)], p[p.index(chat.CLOSE) + len(chat.CLOSE) :]) for p in parts]
-            own = [tuple(t) for t in w.turns]
-            held = cost(system[1]) if system and k and turns.index(system) < seen else 0
-            assert (context[:1] == [system]) == bool(held)
-            repeated = context[bool(held) :]
-            assert repeated == [t for t in turns[seen - len(repeated) : seen]] if repeated else True
-            total = held + sum(cost(t) for _, t in own + repeated)
-            assert w.tokens == total
-            room = max(budget - history - (cost(system[1]) if system else 0), budget // chat.LEAST_SHARE)
-            assert len(own) == 1 or sum(cost(t) for _, t in own) <= room
-            assert total <= budget or not repeated
-            if k and own[0][0] == "assistant" and turns[seen - 1][0] != "system":
-                before = cost(turns[seen - 1][1])
-                held_any = cost(system[1]) if system else 0
-                if before + held_any + sum(cost(t) for _, t in own) <= budget:
-                    assert repeated[-1:] == [turns[seen - 1]]
-            seen += len(own)
-            if k < len(windows) - 1 and all(cost(t) <= 40 for _, t in turns if _ != "system"):
-                filled.append(sum(cost(t) for _, t in own) / room)
-        assert [unescaped for w in windows for unescaped in w.loss_texts] == [t for r, t in turns if r == "assistant"]
-    assert not filled or sum(filled) / len(filled) > 0.7
+        have = []
+        for w in sorted(got[c], key=lambda w: w.window):
+            context = [(p[len(chat.OPEN) : p.index(chat.CLOSE)], p[p.index(chat.CLOSE) + len(chat.CLOSE) :]) for p in w.text.split(chat.END)[: w.repeated]]
+            have.append((w.window, context, [tuple(t) for t in w.turns], w.tokens))
+            assert list(w.loss_texts) == [t.text for t in w.turns if t.role == "assistant"]
+        assert have == greedy_windows(turns, budget, history, segment)
+
+
+def test_chat_windows_are_full(spark):
+    """Turns near half of a window, and of a quarter with some near half among them, leave no window half empty."""
+    turn = lambda c, t, tokens: (c, t, "assistant" if t % 2 else "user", "x" * 4 * (tokens - chat.TURN_OVERHEAD))
+    rows = [turn(1, t, 1700) for t in range(60)] + [turn(2, t, 900 if t % 9 else 1750) for t in range(90)]
+    windows = chat.chat_windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.n, r.fill) for r in windows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), (F.avg("tokens") / chat.BUDGET).alias("fill")).collect()}
+    assert got[1][0] == 30 and all(fill > 0.8 for _, fill in got.values())
+
+
+def test_chat_sql_over_many_windows(spark, tmp_path):
+    """The query's SQL on conversations of several windows, null roles and texts, and the empty table."""
+    import duckdb
+
+    from attesta.llm import queries
+
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "</s>", "é" * 700, "y" * rng.choice([40, 3000, 7000, 17000])])) for c in range(12) for t in range(rng.randrange(1, 30))]
+    for name, part in (("many", rows), ("none", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(part, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+        got = queries.op2_chat_format(spark, sf)
+        con = duckdb.connect()
+        con.sql(f"create view conversations as select * from '{sf}/conversations.parquet/*.parquet'")
+        want = con.sql(queries.ORACLE_SQL["op2_chat_format"])
+        names = want.columns
+        assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())
 
 
 def test_token_spans_against_brute_force(spark, texts):
