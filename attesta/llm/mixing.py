@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import SPACE, WORD
 
-#: Hexadecimal digits of a document's hash that name its bucket: 4096 to a source.
-BUCKET_DIGITS = 3
+#: Hexadecimal digits of a document's hash that name its bucket: 65536 to a source.
+BUCKET_DIGITS = 4
 #: Weights by source in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: (time, factor) knots of the schedules, repeating likewise; each integrates to 1.
@@ -33,6 +33,11 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def _hash(doc_id: Column, text: Column) -> Column:
+    """The place of a row in its source's order: of id and text, so that rows without ids, or of one id, are dealt to all buckets."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(key, rank, source_size, target) for each source of (key, source, size) rows.
 
@@ -81,7 +86,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: C
     source = F.col(f"`{source_col}`")
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), source.alias("source"), _key(source).alias("key"), word_count(F.col(f"`{text_col}`")).alias("size"),
-        F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("h"), *([row.alias("row")] if row is not None else []),
+        _hash(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), *([row.alias("row")] if row is not None else []),
     ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     sums = rows.groupBy("key", "source", "bucket").agg(F.sum("size").alias("size"))
     targets = source_targets(sums, weights, share, most)
@@ -118,8 +123,10 @@ def mix(
     target, the last document cut to fit: taken sums to the rounded target.
     `passes` counts whole copies, `last_words` the words of one more, partial
     copy; `position` in [0, 1] is the training time of the first copy, null if
-    nothing is taken. Rows that repeat an id are separate rows; ties in the
-    hash order are broken by id and size, so reruns agree. Sources may be null.
+    nothing is taken. Rows that repeat an id are separate rows, and ids may be
+    null: the hash is of id and text, so such rows are many buckets unless
+    their texts are equal too; those follow each other in one bucket, and
+    reruns agree on what the equal rows get together. Sources may be null.
     An empty table gives no rows; other columns are ignored.
     """
     placed = _placed(docs, id_col, text_col, source_col, None, weights, share, most)

@@ -243,6 +243,27 @@ def test_mixing(spark, texts):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Many rows without an id or of one id: no bucket holds a large share, each source reaches its target, and reruns agree."""
+    rng = random.Random(9)
+    texts = [" ".join(["w"] * rng.randrange(1, 30)) + f" {i}" for i in range(3000)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t, ["a", None][i % 2]) for i, t in enumerate(texts)]
+    rows += [(None, "same text", "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    mixed = mixing.mix(docs)
+    got = mixed.collect()
+    assert len(got) == len(rows) and all(r.taken <= 2 * r.size for r in got)
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5
+    order = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(got, key=order) == sorted(mixing.mix(docs.repartition(3)).collect(), key=order)
+    hashed = docs.withColumn("b", F.substring(mixing._hash(F.col("doc_id"), F.col("text")), 1, mixing.BUCKET_DIGITS)).groupBy("source", "b").count()
+    assert hashed.agg(F.max("count")).first()[0] <= 42  # the equal rows, and few by chance
+    taken = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    assert taken[None] >= sum(r.passes for r in got if r.doc_id is None)
+
+
 def test_warc(spark):
     big = "WARC/1.1\r\n\r\n\r\n" * 20
     rows = [(5, "u", big), (2, "u\r\nx", big), (9, None, big), (1, "u", None), (3, "u", "short"), (4, "u", "short"), (6, "u", "é" * 60)]
