@@ -578,6 +578,30 @@ def test_html_against_plain_recursion():
         assert html_text.page_text(html(t)) == "\n".join(lines).strip("\n"), html(t)
 
 
+def test_html_fields_dialogs_and_bars():
+    """Values that a browser shows in fields of any type, and what it does not draw."""
+    kinds = "email search url tel number date time month week datetime-local text submit button reset unknown".split()
+    shown = "".join(f"<input type={k} value=v-{k}>" for k in kinds)
+    assert html_text.page_text(shown).split() == [f"v-{k}" for k in kinds]
+    assert html_text.page_text("".join(f"<input type={k} value=no>" for k in sorted(html_text.WORDLESS)) + "<input type=' IMAGE ' alt=yes>") == "yes"
+    assert html_text.page_text("a<dialog>no</dialog><dialog open>b</dialog>c") == "a\nb\nc"
+    assert html_text.page_text("<style>dialog{display:block}</style><dialog>styled</dialog>") == "styled"
+    assert html_text.page_text("<style>p{display:block}</style>a<dialog>no</dialog>") == "a"
+    assert html_text.page_text("a <progress max=2>no</progress> <meter value=1>no <b>no</b></meter> b") == "a b"
+
+
+def test_html_nested_tables_with_text_and_many_rules():
+    import time
+
+    began = time.time()
+    depth = 20_000
+    lines = html_text.page_text("".join(f"<table><tr><td>t{i}" for i in range(depth))).split("\n")
+    assert [x for x in lines if x] == [f"t{i}" for i in range(depth)]
+    rules = "".join(f".c{'.d' * (i % 3)} {{display: block}}" for i in range(3000))
+    assert html_text.page_text(f"<style>{rules} .c.hide {{display: none}}</style>" + "<b class=c>x</b><b class='c hide'>y</b>" * 3000).count("y") == 0
+    assert time.time() - began < 30
+
+
 def test_html_depth_and_time():
     import time
 
