@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import geometry
+
 
 def upper_median(x: Column) -> Column:
     """The element at floor(n/2) of the sorted values."""
@@ -180,3 +184,56 @@ def area_mean(cells: DataFrame, keys: list[str], radius: int, tile: int = TILE)
     asked = inside.select(*unit, "y", "x", F.inline(F.array(corner(bottom, right, 1), corner(top, right, -1), corner(bottom, left, -1), corner(top, left, 1))))
     found = asked.join(table, [*unit, "_cy", "_cx"]).groupBy(*unit, "y", "x").agg(F.sum(F.col("sign") * F.col("_v")).alias("v"), F.sum(F.col("sign") * F.col("_n")).alias("n"))
     return found.select(*keys, "y", "x", (F.col("v") / F.col("n")).alias("mean"))
+
+
+def longest_stable(levels: DataFrame, keys: list[str], tolerance: Column | float, least: int = 3) -> DataFrame:
+    """(keys, light, level, corners, run): the middle of the longest run of neighbouring levels whose quadrilaterals stay where they are.
+
+    levels: (keys, light, level, corners), a row for each polarity and threshold
+    level, corners an array of points or null where the level shows none. A
+    level continues a run if it follows the last one of its polarity and no
+    corner moves by more than the tolerance. Runs under `least` do not count;
+    of runs of one length the light one and then the first wins. Levels that
+    are absent count as null ones; keys without a run give no row.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col("light").desc(), "level")
+    before = F.lag(F.struct("light", "level", "corners")).over(w)
+    goes_on = (F.col("_p.light") == F.col("light")) & (F.col("_p.level") == F.col("level") - 1) & geometry.same_quad(F.col("_p.corners"), F.col("corners"), F.lit(tolerance) if isinstance(tolerance, (int, float)) else tolerance)
+    shown = levels.withColumn("_p", before).withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    runs = shown.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("corners").isNotNull())
+    # a run has no more rows than there are levels
+    found = runs.groupBy(*keys, "light", "_run").agg(F.sort_array(F.collect_list(F.struct("level", "corners"))).alias("r")).where(F.size("r") >= least)
+    first = F.struct((-F.size("r")).alias("n"), (~F.col("light")).alias("dark"), F.get("r", F.lit(0))["level"].alias("level"), F.get("r", F.floor(F.size("r") / 2).cast("int")).alias("middle"))
+    return found.groupBy(*keys).agg(F.min(first).alias("b")).select(*keys, (~F.col("b.dark")).alias("light"), "b.middle.level", "b.middle.corners", (-F.col("b.n")).alias("run"))
+
+
+#: Angles in degrees at which a page's rows are tried, the stride of its cells, and the value up to which a cell is dark.
+TILTS, STRIDE, DARK = tuple(i / 2 for i in range(-10, 11)), 2, 190
+
+
+def skew_angle(images: DataFrame, cells: DataFrame, keys: list[str], angles: tuple[float, ...] = TILTS, stride: int = STRIDE, dark: float = DARK) -> DataFrame:
+    """(keys, angle, score): the tilt at which the darkness of a page's rows changes most from row to row.
+
+    images: (keys, width, height); cells: (keys, y, x, value) with values up to
+    255. The dark cells on the stride are summed along each tilt into rows,
+    which are counted before the shuffle; the score is the sum of squared
+    differences of neighbouring rows, rows without dark cells included. Of
+    equal scores the tilt 0 wins, then the smallest; a page without dark cells
+    has tilt 0 and score 0. Null values are not dark. A stride over 1 leaves
+    every other row empty at tilt 0 and so favours it unless lines are thin and
+    far apart; with stride 1 small tilts of any page are found.
+    """
+    picked = cells.where((F.col("value") <= dark) & (F.col("y") % stride == 0) & (F.col("x") % stride == 0))
+    known = picked.join(images.select(*keys, "width", "height"), keys)
+    middle = F.col("height") / 2
+    turned = lambda a: F.floor(-(F.col("x") - F.col("width") / 2) * F.lit(math.sin(math.radians(a))) + (F.col("y") - middle) * F.lit(math.cos(math.radians(a))) + middle + F.lit(0.5)).cast("long")
+    tried = known.select(*keys, "height", (F.lit(255.0) - F.col("value")).alias("d"), F.inline(F.array(*[F.struct(F.lit(float(a)).alias("angle"), turned(a).alias("row")) for a in angles])))
+    rows = tried.where((F.col("row") >= 0) & (F.col("row") < F.col("height"))).groupBy(*keys, "height", "angle", "row").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*keys, "height", "angle").orderBy("row")
+    d, row = F.col("d"), F.col("row")
+    rise = F.when(F.lag("row").over(w) == row - 1, d - F.lag("d").over(w)).when(row > 0, d).otherwise(F.lit(0.0))
+    fall = F.when((F.coalesce(F.lead("row").over(w), F.lit(-1)) != row + 1) & (row + 1 < F.col("height")), d).otherwise(F.lit(0.0))
+    scores = rows.select(*keys, "angle", (rise * rise + fall * fall).alias("s")).groupBy(*keys, "angle").agg(F.sum("s").alias("score"))
+    best = scores.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), (F.col("angle") != 0).alias("tilted"), "angle")).alias("b"))
+    best = best.select(*keys, F.when(F.col("b.s") < 0, F.col("b.angle")).otherwise(0.0).alias("_a"), (-F.col("b.s")).alias("_s"))
+    return images.select(*keys).join(best, keys, "left").select(*keys, F.coalesce("_a", F.lit(0.0)).alias("angle"), F.coalesce("_s", F.lit(0.0)).alias("score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -329,3 +331,56 @@ def quad_homography(spark, sf_dir):
     corners = maps.select("doc_id", F.posexplode(F.transform("card", lambda p: geometry.mapped(F.col("there"), p))).alias("corner", "p"), F.lit("there").alias("way"))
     inner = maps.select("doc_id", F.lit(4).alias("corner"), geometry.mapped(F.col("back"), geometry.mapped(F.col("there"), at(F.col("w") / 3, F.col("h") / 4))).alias("p"), F.lit("there and back").alias("way"))
     return corners.unionByName(inner).select("doc_id", "corner", (F.round("p.x", 6) + 0.0).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"), "way")
+
+
+# --- the longest stable run of thresholds --------------------------------------------------------------------------
+
+
+@query(
+    """
+WITH c AS (SELECT vec_id, b, l, floor(embedding[b * 10 + l + 1]::DOUBLE * 25) AS s, floor(embedding[b * 10 + l + 21]::DOUBLE * 25) AS t FROM embeddings, range(2) p(b), range(10) q(l) WHERE (vec_id + 3 * l + b) % 7 <> 0),
+n AS (SELECT *, coalesce(lag(l) OVER w = l - 1 AND abs(s - lag(s) OVER w) <= 4 AND sqrt(2.0) * abs(t - lag(t) OVER w) <= 4, false) AS on_ FROM c WINDOW w AS (PARTITION BY vec_id, b ORDER BY l)),
+r AS (SELECT *, sum((NOT on_)::INT) OVER (PARTITION BY vec_id, b ORDER BY l) AS run FROM n),
+g AS (SELECT vec_id, b, run, count(*) AS n, min(l) AS l0 FROM r GROUP BY ALL HAVING count(*) >= 3),
+m AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, b, l0) = 1)
+SELECT m.vec_id AS doc_id, m.b = 0 AS light, r.l::INT AS level, m.n::INT AS run, r.s AS x0, 100 + r.t AS x1 FROM m JOIN r ON r.vec_id = m.vec_id AND r.b = m.b AND r.l = m.l0 + m.n // 2"""
+)
+def stable_quads(spark, sf_dir):
+    """The middle of the longest run of threshold levels at which a quadrilateral, moved about by an embedding's components, stays where it is."""
+    e = table(spark, sf_dir, "embeddings")
+    levels = e.select(F.col("vec_id").alias("doc_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).withColumn("level", F.col("i") % 10)
+    moved = lambda j: F.floor(F.get("embedding", F.col("i") + j).cast("double") * 25).cast("double")
+    left, right = moved(0), moved(20)
+    corners = F.array(geometry.point(left, left * 0), geometry.point(right + 100, right), geometry.point(right + 100, right + 60), geometry.point(left, left * 0 + 60))
+    none = (F.col("doc_id") + 3 * F.col("level") + F.floor(F.col("i") / 10)) % 7 == 0
+    found = fit.longest_stable(levels.select("doc_id", (F.col("i") < 10).alias("light"), "level", F.when(~none, corners).alias("corners")), ["doc_id"], 4.0)
+    return found.select("doc_id", "light", "level", "run", F.get("corners", F.lit(0))["x"].alias("x0"), F.get("corners", F.lit(1))["x"].alias("x1"))
+
+
+# --- tilt of a page ------------------------------------------------------------------------------------------------
+
+_TILTED = ", ".join(f"({float(a)}, {math.sin(math.radians(a))!r}, {math.cos(math.radians(a))!r})" for a in fit.TILTS)
+
+
+@query(
+    f"""
+WITH i AS (SELECT s_suppkey * 4 + stride AS key, stride, s_suppkey AS k, 40 + s_suppkey % 21 AS width, 30 + s_suppkey % 12 AS height FROM supplier, (VALUES (1), (2)) p(stride)),
+c AS (SELECT key, stride, width, height, x, y, CASE WHEN k % 9 <> 0 AND (y * 64 - x * (k % 11 - 5) + 65536) % 1536 < 128 THEN 20 + (k * 7 + x * 13 + y * 5) % 150 ELSE 200 + (k + x + y) % 56 END AS value FROM i, range(60) p(x), range(41) q(y) WHERE x < width AND y < height),
+d AS (SELECT key, height, a, floor(-(x - width / 2.0) * s::DOUBLE + (y - height / 2.0) * o::DOUBLE + height / 2.0 + 0.5::DOUBLE)::BIGINT AS r, 255 - value AS d FROM c, (VALUES {_TILTED}) v(a, s, o) WHERE value <= {fit.DARK} AND x % stride = 0 AND y % stride = 0),
+g AS (SELECT key, a, r, sum(d)::DOUBLE AS d FROM d WHERE r BETWEEN 0 AND height - 1 GROUP BY ALL),
+w AS (SELECT i.key, v.a, y, coalesce(g.d, 0) AS d FROM i CROSS JOIN (VALUES {_TILTED}) v(a, s, o) CROSS JOIN range(41) q(y) LEFT JOIN g ON g.key = i.key AND g.a = v.a AND g.r = y WHERE y < height),
+z AS (SELECT key, a, y, (d - lag(d) OVER (PARTITION BY key, a ORDER BY y)) ** 2 AS s FROM w),
+t AS (SELECT key, a::DOUBLE AS a, coalesce(sum(s), 0)::DOUBLE AS score FROM z GROUP BY ALL)
+SELECT key // 4 AS doc_id, (key % 4)::INT AS stride, a AS angle, score FROM t QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, a <> 0, a) = 1"""
+)
+def page_tilt(spark, sf_dir):
+    """The tilt of pages with dark lines of a known slope on a light ground, from rows summed along each tilt, by all cells and by every other one; some pages are blank."""
+    k = F.col("doc_id")
+    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (40 + F.col("s_suppkey") % 21).alias("width"), (30 + F.col("s_suppkey") % 12).alias("height"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
+    at = images.select("doc_id", "height", upto("width").alias("x")).select("doc_id", "x", upto("height").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    line = (k % 9 != 0) & ((y * 64 - x * (k % 11 - 5) + 65536) % 1536 < 128)
+    cells = at.select("doc_id", "y", "x", F.when(line, 20 + (k * 7 + x * 13 + y * 5) % 150).otherwise(200 + (k + x + y) % 56).alias("value"))
+    found = [fit.skew_angle(images, cells, ["doc_id"], stride=n).select("doc_id", F.lit(n).alias("stride"), "angle", "score") for n in (1, fit.STRIDE)]
+    return found[0].unionByName(found[1])
