@@ -169,12 +169,13 @@ def zone_page_order(pages: DataFrame, best: DataFrame, keys: list[str], most: in
 
 
 def best_zone_read(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """Of (keys, turn, area, score, confidence) zone reads the one with the most check points, counted tenfold, plus confidence.
+    """Of (keys, turn, area, seq, score, confidence) zone reads the one with the most check points, counted tenfold, plus confidence.
 
-    Areas are numbered from 0; where more than one was tried, the fallback area is read on the first page only.
+    Of equal ones the earlier turn, then the earlier area, then the smaller seq counts. Areas are
+    numbered from 0; where more than one was tried, the fallback area is read on the first page only.
     """
     areas = F.max("area").over(Window.partitionBy(*keys))
-    w = Window.partitionBy(*keys).orderBy((F.coalesce("score", F.lit(0)) * 10 + F.col("confidence")).desc(), "turn", "area")
+    w = Window.partitionBy(*keys).orderBy((F.coalesce("score", F.lit(0)) * 10 + F.col("confidence")).desc(), "turn", "area", "seq")
     tried = reads.withColumn("_areas", areas).where((F.col("turn") == 1) | (F.col("_areas") == 0) | (F.col("area") != 1))
     return tried.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_areas")
 
