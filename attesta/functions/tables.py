@@ -42,11 +42,12 @@ LABEL_WORDS = [
 # Spellings of the citizenship and of the sex that are accepted.
 CITIZENSHIPS = ["TJK", "TAJIKISTAN", "ТОҶИКИСТОН", "ТОЧИКИСТОН"]
 SEX_MALE, SEX_FEMALE = ["M", "М", "МУЖ", "MALE"], ["F", "Ж", "ЗАН", "FEMALE"]
-# Shapes of names in capitals, and what marks a line as a label instead.
+# Shapes of names in capitals, and what marks a line as a label instead. НИШОН is the beginning and a part of names too: it counts as
+# a word of its own or at the beginning of one as the labels have it.
 CYRILLIC_NAME = f"^[{CYRILLIC}]{{2,}}(?:[ '-][{CYRILLIC}]+)*\\z"
 LATIN_NAME = r"^[A-Z]{2,}(?:[ '-][A-Z]+)*\z"
 NAME_LABELS = (
-    r"НАСАБ|^НОМ\z|НОМИ|ПАДАР|ША[ҲХ]РВАНД|[ҶЧ]ИНС|ТАВАЛЛУД|МА[ҚК]ОМИ|НИШОН|ШИНОСНОМА|РА[ҚК]АМИ|SURNAME|FATHER|NATIONALITY|BIRTH|AUTHORITY|"
+    r"НАСАБ|^НОМ\z|НОМИ|ПАДАР|ША[ҲХ]РВАНД|[ҶЧ]ИНС|ТАВАЛЛУД|МА[ҚК]ОМИ|(?<!\p{L})НИШОН(?:[ИӢ]|(?!\p{L}))|ШИНОСНОМА|РА[ҚК]АМИ|SURNAME|FATHER|NATIONALITY|BIRTH|AUTHORITY|"
     r"ADDRESS|DOCUMENT|ISSUE|EXPIRY|^NAME\z|^SEX\z"
 )
 NAME_FIELDS = ["surname", "givenNames", "fatherName"]
