@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,39 +69,65 @@ def register_axes(points: DataFrame, keys: list[str], low: float = 0.3, high: fl
     either axis fewer than `least` points agree, if these stand less than
     `spread` apart, or if the scale is out of range.
 
-    Points are shuffled once, by key; all joins and groups keep that dealing.
+    Points are shuffled once, by key, and a key's points meet in one row.
     """
-    axes = (("x", "tx"), ("y", "ty"))
-    dealt = points.select(*keys, "seq", "tx", "ty", "x", "y").repartition(*keys)
-    p, q = dealt.alias("p"), dealt.alias("q")
-    on = F.col("p.seq") < F.col("q.seq")
-    for k in keys:
-        on = (F.col(f"p.{k}") == F.col(f"q.{k}")) & on
-
-    def proposed(v: str, t: str) -> list[Column]:
-        apart = F.col(f"q.{t}") - F.col(f"p.{t}")
-        slope = F.try_divide(F.col(f"q.{v}") - F.col(f"p.{v}"), apart)
-        scale = F.when((F.abs(apart) >= spread) & slope.between(low, high), slope)
-        return [scale.alias(f"s{v}"), (F.col(f"p.{v}") - scale * F.col(f"p.{t}")).alias(f"c{v}")]
-
-    lines = p.join(q, on).select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.seq").alias("i"), F.col("q.seq").alias("j"), *proposed("x", "tx"), *proposed("y", "ty"))
-    lines = lines.where(F.col("sx").isNotNull() | F.col("sy").isNotNull())
-    far = lambda v, t: F.abs(F.col(f"s{v}") * F.col(t) + F.col(f"c{v}") - F.col(v))
-    agrees = lambda v, t: far(v, t) <= tolerance * F.col(f"s{v}")
-    counted = [c for v, t in axes for c in (F.count(F.when(agrees(v, t), 1)).alias(f"n{v}"), F.sum(F.when(agrees(v, t), far(v, t))).alias(f"e{v}"))]
-    tried = lines.join(dealt.drop("seq"), keys).groupBy(*keys, "i", "j", "sx", "cx", "sy", "cy").agg(*counted)
-    rank = lambda v: F.when(F.col(f"s{v}").isNotNull(), F.struct(-F.col(f"n{v}"), f"e{v}", "i", "j"))
-    best = tried.groupBy(*keys).agg(*[F.min_by(F.struct(f"s{v}", f"c{v}"), rank(v)).alias(v) for v, _ in axes])
-    chosen = best.select(*keys, *[F.col(f"{v}.{c}{v}").alias(f"{c}{v}") for v, _ in axes for c in ("s", "c")])
-    inside = chosen.join(dealt.drop("seq"), keys)
-    fitted = []
-    for v, t in axes:
-        template, actual = F.when(agrees(v, t), F.col(t)), F.when(agrees(v, t), F.col(v))
-        fitted += [F.regr_slope(actual, template).alias(f"_s{v}"), F.regr_intercept(actual, template).alias(f"_t{v}"), F.count(template).alias(f"_n{v}"), (F.max(template) - F.min(template)).alias(f"_w{v}")]
-    fits = inside.groupBy(*keys).agg(*fitted)
-    for v, _ in axes:
-        fits = fits.where((F.col(f"_n{v}") >= least) & (F.col(f"_w{v}") >= spread) & F.col(f"_s{v}").between(low, high))
-    return fits.select(*keys, F.col("_sx").alias("sx"), F.col("_tx").alias("tx"), F.col("_sy").alias("sy"), F.col("_ty").alias("ty"))
+    point = F.struct("seq", *[F.col(c).cast("double").alias(c) for c in ("tx", "ty", "x", "y")])
+    rows = points.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    return rows.select(*keys, axes_of(F.col("_p"), low, high, spread, tolerance, least).alias("_f")).where("_f.sx is not null").select(*keys, "_f.*")
+
+
+def axes_of(points: Column, low: float = 0.3, high: float = 4.0, spread: float = 100.0, tolerance: float = 16.0, least: int = 3) -> Column:
+    """struct<sx, tx, sy, ty> as register_axes finds it, from an array of struct(tx, ty, x, y) in the order of the points; of nulls where there is none."""
+
+    def fitted(tx: pd.Series, ty: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = np.full((len(tx), 4), np.nan)
+        sizes = np.array([0 if p is None else len(p) for p in tx], dtype=np.int64)
+        for n in np.unique(sizes[sizes >= max(least, 2)]):
+            same = np.flatnonzero(sizes == n)
+            for some in np.array_split(same, -(-len(same) * int(n) // BLOCK)):
+                every = [np.stack([np.asarray(c.iloc[k], dtype=float) for k in some]) for c in (tx, x, ty, y)]
+                for at, (t, v) in enumerate((every[:2], every[2:])):
+                    out[some, 2 * at], out[some, 2 * at + 1] = _consensus(t, v, low, high, spread, tolerance, least)
+        out[np.isnan(out).any(axis=1)] = np.nan
+        return pd.DataFrame(out, columns=["sx", "tx", "sy", "ty"]).astype(object).where(~np.isnan(out), None)
+
+    udf = F.pandas_udf(fitted, "sx double, tx double, sy double, ty double").asNondeterministic()  # so that no filter runs it twice
+    return udf(*[F.transform(points, lambda p: p[c]) for c in ("tx", "ty", "x", "y")])
+
+
+#: Numbers that one step of the search for a consensus holds at once.
+BLOCK = 1 << 20
+
+
+def _consensus(t: np.ndarray, v: np.ndarray, low: float, high: float, spread: float, tolerance: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scale, shift) of each row of points, NaN where they have none; pairs are tried some at a time."""
+    m, n = t.shape
+    count, total, s, c = np.zeros(m, dtype=np.int64), np.full(m, np.inf), np.full(m, np.nan), np.full(m, np.nan)
+    i, j = np.triu_indices(n, 1)
+    step = max(1, BLOCK // (m * n))
+    with np.errstate(all="ignore"):
+        for k in range(0, len(i), step):
+            a, b = i[k : k + step], j[k : k + step]
+            apart = t[:, b] - t[:, a]
+            scale = (v[:, b] - v[:, a]) / apart
+            scale[~((np.abs(apart) >= spread) & (scale >= low) & (scale <= high))] = np.nan
+            shift = v[:, a] - scale * t[:, a]
+            off = np.abs(scale[:, :, None] * t[:, None, :] + shift[:, :, None] - v[:, None, :])
+            near = off <= tolerance * scale[:, :, None]
+            some, sums = near.sum(axis=2), np.where(near, off, 0.0).sum(axis=2)
+            first = np.where(some == some.max(axis=1, keepdims=True), sums, np.inf).argmin(axis=1)
+            row = np.arange(m)
+            won = (some[row, first] > count) | ((some[row, first] == count) & (count > 0) & (sums[row, first] < total))
+            for kept, new in ((count, some), (total, sums), (s, scale), (c, shift)):
+                kept[won] = new[row, first][won]
+        near = np.abs(s[:, None] * t + c[:, None] - v) <= tolerance * s[:, None]
+        size = near.sum(axis=1)
+        mean = lambda x: np.where(near, x, 0.0).sum(axis=1) / size
+        dt, dv = np.where(near, t - mean(t)[:, None], 0.0), np.where(near, v - mean(v)[:, None], 0.0)
+        scale = (dt * dv).sum(axis=1) / (dt * dt).sum(axis=1)
+        wide = np.where(near, t, -np.inf).max(axis=1) - np.where(near, t, np.inf).min(axis=1)
+        good = (size >= least) & (wide >= spread) & (scale >= low) & (scale <= high)
+        return np.where(good, scale, np.nan), np.where(good, mean(v) - scale * mean(t), np.nan)
 
 
 def register_by_lines(boxes: DataFrame, keys: list[str], mrz: tuple, size: tuple, drift: float = 1.25) -> DataFrame:

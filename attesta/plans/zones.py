@@ -138,9 +138,8 @@ def locate_front_zones(pages: DataFrame, keys: list[str]) -> DataFrame:
     agree has no rows. Keys are unique.
     """
     none = F.array().cast("array<struct<text: string, confidence: double, bbox: struct<x0: double, y0: double, x1: double, y1: double>>>")
-    found = pages.select(*keys, *[F.coalesce(nested.segments(F.col(c)), none).alias(c) for c in ("tajik", "english")])
-    points = found.select(*keys, F.posexplode(nested.anchor_points(F.col("tajik"), F.col("english"))).alias("seq", "p")).select(*keys, "seq", "p.*")
-    fits = fit.register_axes(points, keys).join(pages.select(*keys, "width", "height"), keys)
+    found = pages.select(*keys, "width", "height", *[F.coalesce(nested.segments(F.col(c)), none).alias(c) for c in ("tajik", "english")])
+    fits = found.select(*keys, "width", "height", fit.axes_of(nested.anchor_points(F.col("tajik"), F.col("english"))).alias("f")).where("f.sx is not null").select(*keys, "width", "height", "f.*")
     return spatial.place(fits, [(f, p, None, *box) for f, p, *box in T.FRONT_BOXES]).select(*keys, "field", "part", "line", *BOX)
 
 

@@ -28,3 +28,13 @@ def test_lines_that_both_scripts_confirm_are_not_bent_to_a_machine_read_name(spa
     machine = spark.createDataFrame([(1, "back", "surname", "MHAAA"), (2, "back", "surname", "MHAAAAA"), (1, "back", "givenNames", "NHAAA")], "doc_id long, side string, field string, value string")
     got = {(r.doc_id, r.field): r.value for r in names.resolve_names(pairs, none, labelled, machine).collect()}
     assert got == {(d, f): h + t for d, t in ((1, "ХААА"), (2, "ХААААА")) for f, h in (("surname", "САФА"), ("givenNames", "ДАВ"), ("fatherName", "МУР"))}
+
+
+def test_places_of_a_front_need_no_shuffle(spark):
+    from attesta.plans import page_queries, zones
+
+    pages = page_queries.front_pages(spark, "/root/testdata/sf0.001")
+    before = pages._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    found = zones.locate_front_zones(pages, ["doc_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == before and "Join" not in plan
