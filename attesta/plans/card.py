@@ -22,8 +22,18 @@ MACHINE_NAMES = {"mrzSurname": "surname", "mrzGivenNames": "givenNames"}
 
 def mrz_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
     """(doc_id, field, value, confidence, source) from (doc_id, text) rows."""
-    best = texts.select("doc_id", mrz.parse(F.col("text"), as_of_year).alias("best")).where("best is not null")
-    return best.select("doc_id", F.explode(mrz.facts(F.col("best"), as_of_year)).alias("f")).select("doc_id", "f.*", F.lit("mrz").alias("source"))
+    return _each_fact(texts.select("doc_id", mrz.parse(F.col("text"), as_of_year).alias("best")), as_of_year)
+
+
+def _each_fact(best: DataFrame, as_of_year: int) -> DataFrame:
+    """(doc_id, field, value, confidence, source) of (doc_id, best) rows.
+
+    Rows without facts go after they are exploded: a filter on what parsing
+    gives would be pushed below it, parse all once more, and that before rows
+    are dealt to tasks.
+    """
+    found = best.select("doc_id", F.explode_outer(mrz.facts(F.col("best"), as_of_year)).alias("f"))
+    return found.where("f is not null").select("doc_id", "f.*", F.lit("mrz").alias("source"))
 
 
 def text_facts(texts: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
@@ -81,8 +91,7 @@ def chosen_zone_facts(zone_texts: DataFrame, as_of_year: int) -> DataFrame:
     reads = parsed.groupBy("doc_id").agg(F.collect_list(F.struct("turn", "area", "confidence", "best")).alias("r"), F.max("area").alias("areas"))
     tried = F.filter("r", lambda x: (x["turn"] == 1) | (F.col("areas") == 0) | (x["area"] != 1))
     ranked = F.transform(tried, lambda x: F.struct((-(F.coalesce(x["best"]["score"], F.lit(0)) * 10 + x["confidence"])).alias("k"), x["turn"].alias("turn"), x["area"].alias("area"), x["best"].alias("best")))
-    best = reads.select("doc_id", F.array_min(ranked)["best"].alias("best")).where("best is not null")
-    return best.select("doc_id", F.explode(mrz.facts(F.col("best"), as_of_year)).alias("f")).select("doc_id", "f.*", F.lit("mrz").alias("source"))
+    return _each_fact(reads.select("doc_id", F.array_min(ranked)["best"].alias("best")), as_of_year)
 
 
 def recognized_cards(pages: DataFrame, english: DataFrame, zone_texts: DataFrame, zone_reads: DataFrame, as_of_year: int = AS_OF_YEAR) -> DataFrame:
