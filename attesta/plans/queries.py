@@ -12,7 +12,7 @@ from attesta.functions import tables as T
 from attesta.functions import text as X
 from attesta.operators import fit, layout, names, raster, spatial, votes
 from attesta.plans import card, zones
-from attesta.sources.tables import table
+from attesta.sources.tables import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,8 +33,8 @@ def digits(x, n):
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers, dealt to all cores by their key: each row is widened to much more work than its size shows."""
-    return table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    """The customers, dealt by their key: each row is widened to much more work than its size shows."""
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey")
 
 
 # --- machine-readable zones ----------------------------------------------------------------------------------------
@@ -492,7 +492,7 @@ def name_alignment(spark, sf_dir):
     """A letter that recognition confused and hooks cannot mend."""
     k = F.col("c_custkey")
     truth = F.concat(F.lit("СН"), F.translate(k.cast("string"), "0123456789", "АНИҚОХЧШРЛ"), F.lit("АД"))
-    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.concat(F.lit("СП"), F.substring(truth, 3, 100)).alias("cyrillic"), X.transliterate(truth).alias("l"))
+    rows = customers(spark, sf_dir).select(k.alias("doc_id"), F.concat(F.lit("СП"), F.substring(truth, 3, 100)).alias("cyrillic"), X.transliterate(truth).alias("l"))
     return names.with_repair(rows, "cyrillic", F.array("l")).drop("l")
 
 

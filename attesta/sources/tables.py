@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes where each stands for many.
+DEALT_ROWS = 20_000
+
+
+def dealt(df: DataFrame, key: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """df dealt by key to all cores, and to more tasks where these would have more than `rows` rows each: a task's memory does not grow with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks, key)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 

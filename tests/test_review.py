@@ -38,3 +38,19 @@ def test_places_of_a_front_need_no_shuffle(spark):
     found = zones.locate_front_zones(pages, ["doc_id"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == before and "Join" not in plan
+
+
+def test_tables_are_dealt_to_more_tasks_as_they_grow(spark):
+    from attesta.sources.tables import dealt
+
+    rows = spark.range(5000).withColumnRenamed("id", "k")
+    assert [dealt(rows, "k", n).rdd.getNumPartitions() for n in (5000, 500, 100)] == [4, 10, 50]
+
+
+def test_zones_are_parsed_after_rows_are_dealt(spark):
+    from attesta.plans import queries
+
+    for query in (queries.mrz_roundtrip_fields, queries.fields_pivot_wide):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "transform" in plan and "transform" not in plan.split("RepartitionByExpression")[1]
+    assert "RepartitionByExpression" in queries.name_alignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
