@@ -13,7 +13,7 @@ from attesta.functions import text as X
 from attesta.operators import fit, pages, regions, votes
 from attesta.plans import card, zones
 from attesta.plans.queries import _BACK, _BASE, _CARD, _FRONT, _GRID, _POS, _TRUTH, NAME_HEADS, card_reads, customers, line_order, mrz_texts, query
-from attesta.sources.tables import page_lines, table
+from attesta.sources.tables import dealt, page_lines, table
 
 # --- overlay of label words ----------------------------------------------------------------------------------------
 
@@ -376,7 +376,8 @@ SELECT key // 4 AS doc_id, (key % 4)::INT AS stride, a AS angle, score FROM t QU
 def page_tilt(spark, sf_dir):
     """The tilt of pages with dark lines of a known slope on a light ground, from rows summed along each tilt, by all cells and by every other one; some pages are blank."""
     k = F.col("doc_id")
-    images = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), (40 + F.col("s_suppkey") % 21).alias("width"), (30 + F.col("s_suppkey") % 12).alias("height"))
+    # 500 pages are a million places of their rows along all tilts
+    images = dealt(table(spark, sf_dir, "supplier"), "s_suppkey", 500).select(F.col("s_suppkey").alias("doc_id"), (40 + F.col("s_suppkey") % 21).alias("width"), (30 + F.col("s_suppkey") % 12).alias("height"))
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c).cast("long") - 1))
     at = images.select("doc_id", "height", upto("width").alias("x")).select("doc_id", "x", upto("height").alias("y"))
     x, y = F.col("x"), F.col("y")

@@ -54,3 +54,11 @@ def test_zones_are_parsed_after_rows_are_dealt(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "transform" in plan and "transform" not in plan.split("RepartitionByExpression")[1]
     assert "RepartitionByExpression" in queries.name_alignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_dealt_before_their_cells_are_made(spark):
+    from attesta.plans import page_queries
+
+    plan = page_queries.page_tilt(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    made = plan.split("Generate explode(sequence")[1:]
+    assert made and "RepartitionByExpression" in plan and plan.index("RepartitionByExpression") > plan.index("Generate explode(sequence")
