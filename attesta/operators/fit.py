@@ -186,9 +186,9 @@ def area_mean(cells: DataFrame, keys: list[str], radius: int, tile: int = TILE)
 
     cells: (keys, y, x, value), y and x from 0, one row a cell; cells that are
     missing or null count as absent. Summed areas are made tile by tile, each
-    with a rim of `radius` and one cell from its neighbours, so an image of any
-    size is many tasks: two passes of running sums, along rows and down
-    columns, and a cell's sum is four look-ups at the corners of its box.
+    with a rim of `radius` from its neighbours, so an image of any size is many
+    tasks: a tile's cells meet in one row, in the only shuffle, and a cell's
+    sum is four look-ups at the corners of its box.
     """
     at = lambda c: F.floor(F.col(c) / tile).cast("long")
     known = cells.where(F.col("value").isNotNull()).select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("value").cast("double").alias("value"))
@@ -196,22 +196,33 @@ def area_mean(cells: DataFrame, keys: list[str], radius: int, tile: int = TILE)
     near = lambda c: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col(c) - radius) / tile).cast("long")), F.floor((F.col(c) + radius) / tile).cast("long"))
     spread = known.select("*", F.explode(near("y")).alias("_ty")).select("*", F.explode(near("x")).alias("_tx"))
     unit = [*keys, "_ty", "_tx"]
-    # corners: a sum of all cells above and to the left of (y, x), both excluded, needs every place of a tile's grid
-    first = lambda t: F.greatest(F.lit(0).cast("long"), F.col(t) * tile - radius)
-    tiles = spread.groupBy(*unit).agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))
-    grid = tiles.select("*", F.explode(F.sequence(first("_ty"), F.col("_my") + 1)).alias("y")).select(*unit, "y", F.explode(F.sequence(first("_tx"), F.col("_mx") + 1)).alias("x"))
-    full = grid.join(spread, [*unit, "y", "x"], "left").select(*unit, "y", "x", F.coalesce("value", F.lit(0.0)).alias("v"), F.col("value").isNotNull().cast("long").alias("n"), F.col("value").alias("own"))
-    before = lambda by, order: Window.partitionBy(*unit, by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    along = full.withColumns({"_v": F.coalesce(F.sum("v").over(before("y", "x")), F.lit(0.0)), "_n": F.coalesce(F.sum("n").over(before("y", "x")), F.lit(0))})
-    area = along.withColumns({"_v": F.coalesce(F.sum("_v").over(before("x", "y")), F.lit(0.0)), "_n": F.coalesce(F.sum("_n").over(before("x", "y")), F.lit(0))})
-    table = area.select(*unit, F.col("y").alias("_cy"), F.col("x").alias("_cx"), "_v", "_n")
-    inside = spread.where((at("y") == F.col("_ty")) & (at("x") == F.col("_tx"))).join(tiles, unit)
-    top, left = F.greatest(first("_ty"), F.col("y") - radius), F.greatest(first("_tx"), F.col("x") - radius)
-    bottom, right = F.least(F.col("_my") + 1, F.col("y") + radius + 1), F.least(F.col("_mx") + 1, F.col("x") + radius + 1)
-    corner = lambda y, x, sign: F.struct(y.alias("_cy"), x.alias("_cx"), F.lit(sign).alias("sign"))
-    asked = inside.select(*unit, "y", "x", F.inline(F.array(corner(bottom, right, 1), corner(top, right, -1), corner(bottom, left, -1), corner(top, left, 1))))
-    found = asked.join(table, [*unit, "_cy", "_cx"]).groupBy(*unit, "y", "x").agg(F.sum(F.col("sign") * F.col("_v")).alias("v"), F.sum(F.col("sign") * F.col("_n")).alias("n"))
-    return found.select(*keys, "y", "x", (F.col("v") / F.col("n")).alias("mean"))
+    tiles = spread.groupBy(*unit).agg(F.collect_list(F.struct("y", "x", "value")).alias("_c"))
+    found = tiles.select(*keys, _tile_means(radius, tile)("_ty", "_tx", "_c.y", "_c.x", "_c.value").alias("_m"))
+    return found.select(*keys, F.inline(F.arrays_zip("_m.y", "_m.x", "_m.mean")))
+
+
+def _tile_means(radius: int, tile: int):
+    """A pandas UDF from a tile's number and the cells of it and its rim to the places and means of its own cells."""
+
+    def means(ty: pd.Series, tx: pd.Series, ys: pd.Series, xs: pd.Series, values: pd.Series) -> pd.DataFrame:
+        out = []
+        for at in zip(ty, tx, ys, xs, values):
+            (r, c), (y, x), v = at[:2], (np.asarray(i, dtype=np.int64) for i in at[2:4]), np.asarray(at[4], dtype=float)
+            top, left = y.min(), x.min()
+            # sums of all cells above and to the left of a place, both excluded
+            sums = np.zeros((2, y.max() - top + 2, x.max() - left + 2))
+            np.add.at(sums[0], (y - top + 1, x - left + 1), v)
+            np.add.at(sums[1], (y - top + 1, x - left + 1), 1.0)
+            sums = sums.cumsum(axis=1).cumsum(axis=2)
+            own = (y // tile == r) & (x // tile == c)
+            y, x = y[own], x[own]
+            y0, y1 = np.maximum(y - radius - top, 0), np.minimum(y + radius + 1 - top, sums.shape[1] - 1)
+            x0, x1 = np.maximum(x - radius - left, 0), np.minimum(x + radius + 1 - left, sums.shape[2] - 1)
+            total, n = sums[:, y1, x1] - sums[:, y0, x1] - sums[:, y1, x0] + sums[:, y0, x0]
+            out.append((y, x, total / n))
+        return pd.DataFrame(out, columns=["y", "x", "mean"])
+
+    return F.pandas_udf(means, "y array<bigint>, x array<bigint>, mean array<double>").asNondeterministic()
 
 
 def longest_stable(levels: DataFrame, keys: list[str], tolerance: Column | float, least: int = 3) -> DataFrame:
