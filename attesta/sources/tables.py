@@ -64,7 +64,8 @@ def image_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """Pages flattened to lines with block_no, par_no, line_no and their words."""
-    b = pages.select("doc_id", "side", F.posexplode("blocks").alias("block_no", "b"))
+    # exploding only what is not empty would work out the blocks twice more, in a filter
+    b = pages.select("doc_id", "side", F.posexplode_outer("blocks").alias("block_no", "b")).where("b is not null")
     p = b.select("doc_id", "side", "block_no", F.posexplode("b.paragraphs").alias("par_no", "p"))
     return p.select("doc_id", "side", "block_no", "par_no", F.posexplode("p.lines").alias("line_no", "l")).select("doc_id", "side", "block_no", "par_no", "line_no", "l.text", "l.confidence", "l.bbox", "l.words")
 

@@ -69,3 +69,10 @@ def test_area_mean_takes_one_exchange(spark):
 
     cells = spark.range(100).selectExpr("id % 3 AS k", "id AS y", "id AS x", "1D AS value")
     assert fit.area_mean(cells, ["k"], 2, 4)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_merged_pages_are_worked_out_once(spark):
+    from attesta.plans import page_queries
+
+    plan = page_queries.label_overlay_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "map_from_entries" in line]
