@@ -26,6 +26,8 @@ RUN_WEIGHTS = (0.5, 1.0, 1.0)
 #: Radius of the search and bits of a block.
 RADIUS, BLOCK_BITS = 7, 32
 CACHE_WORDS = 400_000
+#: Bytes of texts that a batch unpacked after the shuffle holds.
+UNPACKED_BYTES = 4 << 20
 #: Weights are whole multiples of 1 / WEIGHT_UNIT, so votes do not depend on the order of terms.
 WEIGHT_UNIT = 1024
 #: Constants of the 64-bit mixing steps.
@@ -106,6 +108,30 @@ def _count_below(bounds: list[int], value: Column) -> Column:
     return F.when(before >= len(groups), F.lit(len(bounds))).otherwise(before * step + inside).cast("int")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(raw, t) as (raw, size, z): the text's bytes compressed and their number."""
+    codec = pa.Codec("zstd")
+    for b in batches:
+        bytes_of = [x.as_buffer() for x in b.column(1)]
+        sizes = pa.array([x.size for x in bytes_of], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array([codec.compress(x, asbytes=True) for x in bytes_of], pa.binary())], ["raw", "size", "z"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, guest, id, raw, size, z) with the text in place of size and z, at most UNPACKED_BYTES or one text at a time."""
+    codec = pa.Codec("zstd")
+    for b in batches:
+        ends = np.cumsum(b.column(4).to_numpy())
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + UNPACKED_BYTES, "right")))
+            part = b.slice(start, stop - start)
+            texts = [codec.decompress(z.as_buffer(), n, asbytes=True) for n, z in zip(part.column(4).to_pylist(), part.column(5))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(texts, pa.binary()).view(pa.string())], ["range", "guest", "id", "raw", "t"])
+            start = stop
+
+
 def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -113,15 +139,17 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id is the smallest); after the last comes the first, and a document alone
     is its own next. Rows are dealt to ranges of ids; the top document of a
     range is also sent to the range above, where it is needed as a next one, so
-    texts are shuffled once. The driver holds one bound and one id per range.
+    texts are shuffled once, compressed one by one with zstd (Spark's lz4 leaves
+    about half as much again), and sorted as they are. The driver holds one bound and one id per range.
     A null text counts as empty; an empty table gives no rows; other columns
     are ignored.
     """
     spark = docs.sparkSession
     least = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.col(id_col).cast("long").alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    known_id = F.coalesce(F.col("raw"), F.lit(least)).alias("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("raw"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = rows.select("id")
+    ids = rows.select(known_id)
     cuts = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges).alias("b")).first()["b"] or []
     bounds = sorted(set(cuts))
     spot = _count_below(bounds, F.col("id"))
@@ -133,8 +161,9 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     above = F.element_at(F.array(*[F.lit(up.get(b, 0)).cast("int") for b in range(n)]), F.col("b") + 1)
     own = F.struct(F.col("b").alias("range"), F.lit(False).alias("guest"))
     guest = F.when(F.col("id") == top, F.struct(above.alias("range"), F.lit(True).alias("guest")))
-    dealt = rows.withColumn("b", spot).withColumn("s", F.explode(F.array_compact(F.array(own, guest)))).select("s.range", "s.guest", "id", "raw", "t")
-    dealt = dealt.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "guest", F.col("id").desc(), "t")
+    packed = rows.mapInArrow(_packed, "raw long, size long, z binary").select(known_id, "raw", "size", "z")
+    dealt = packed.withColumn("b", spot).withColumn("s", F.explode(F.array_compact(F.array(own, guest)))).select("s.range", "s.guest", "id", "raw", "size", "z")
+    dealt = dealt.repartitionById(ranges, F.col("range")).mapInArrow(_unpacked, "range int, guest boolean, id long, raw long, t string").sortWithinPartitions("range", "guest", F.col("id").desc(), "t")
     schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -175,26 +204,29 @@ def differing_bits(a: Column, b: Column) -> Column:
 
 
 def permuted_tables(fps: DataFrame, fp_col: str = "fingerprint") -> DataFrame:
-    """A row for each table and fingerprint: table, and the block that this table puts first."""
+    """A row for each table and fingerprint: the fingerprint in bytes and, as one number, the table and the block that it puts first."""
     digits = BLOCK_BITS // 4
-    blocks = F.array(*[F.substring(F.col(fp_col), 1 + i * digits, digits) for i in range(BITS // BLOCK_BITS)])
-    return fps.select("*", F.posexplode(blocks).alias("table", "block"))
+    keys = F.array(*[F.conv(F.substring(F.col(fp_col), 1 + i * digits, digits), 16, 10).cast("long") + (i << BLOCK_BITS) for i in range(BITS // BLOCK_BITS)])
+    return fps.select(F.explode(keys).alias("block"), F.unhex(fp_col).alias(fp_col))
 
 
 def find_near(queries: DataFrame, index: DataFrame, radius: int = RADIUS, fp_col: str = "fingerprint") -> DataFrame:
-    """(query, match, bits): all different fingerprints of index within radius of the different ones of queries.
+    """(query, match, bits): all different fingerprints of index within radius of the different ones of queries, lower-case hexadecimal.
 
     A pair that agrees on several blocks is found in its first such table only.
     The radius must be below the number of blocks for the search to be exact.
+    The tables meet by a shuffle at any size: with its salts a query takes 64
+    rows, which Spark's estimate for a broadcast does not see.
     """
     if radius >= BITS // BLOCK_BITS:
         raise ValueError("the tables find fingerprints of a smaller radius than their number only")
     q = permuted_tables(queries.select(F.col(fp_col).alias("query")).where(F.col("query").isNotNull()).distinct(), "query")
     m = permuted_tables(index.select(F.col(fp_col).alias("match")).where(F.col("match").isNotNull()).distinct(), "match")
-    pairs = salted_join(m, q, ["table", "block"], F.col("match"))
-    digits = BLOCK_BITS // 4
+    pairs = salted_join(m, q.hint("merge"), ["block"], F.col("match"))
+    width = BLOCK_BITS // 8
     first = F.lit(0)
     for i in reversed(range(BITS // BLOCK_BITS)):
-        same = F.substring("query", 1 + i * digits, digits) == F.substring("match", 1 + i * digits, digits)
+        same = F.substring("query", 1 + i * width, width) == F.substring("match", 1 + i * width, width)
         first = F.when(same, F.lit(i)).otherwise(first)
-    return pairs.where(F.col("table") == first).select("query", "match", differing_bits(F.col("query"), F.col("match")).alias("bits")).where(F.col("bits") <= radius)
+    told = pairs.where(F.shiftright("block", BLOCK_BITS) == first).select(F.lower(F.hex("query")).alias("query"), F.lower(F.hex("match")).alias("match"))
+    return told.select("query", "match", differing_bits(F.col("query"), F.col("match")).alias("bits")).where(F.col("bits") <= radius)

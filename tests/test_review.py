@@ -76,3 +76,38 @@ def test_merged_pages_are_worked_out_once(spark):
 
     plan = page_queries.label_overlay_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "map_from_entries" in line]
+
+
+def test_texts_are_dealt_compressed_and_come_back_in_order(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+
+    from attesta.llm import fingerprint
+
+    texts = ["", None, "a", "ӣ 漢 😀 " * 40, "word " * 3000, "\x00 x", "b" * 70, "ab"]
+    rows = [(None if i % 9 == 0 else i // 2 * 3, texts[i * 5 % 8]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # batches are cut by the bytes of their texts
+    monkeypatch.setattr(fingerprint, "UNPACKED_BYTES", 100)
+    known = [t or "" for t in texts]
+    packed = next(fingerprint._packed(iter([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(known)], ["raw", "t"])])))
+    keys = [pa.array([0] * 8), pa.array([False] * 8), pa.array(range(8))]
+    back = list(fingerprint._unpacked(iter([pa.RecordBatch.from_arrays([*keys, *packed.columns], ["range", "guest", "id", "raw", "size", "z"])])))
+    assert [b.num_rows for b in back] == [3, 1, 1, 3] and [t for b in back for t in b.column(4).to_pylist()] == known and max(packed.column(1).to_pylist()) == 15_000
+    found = fingerprint.document_fingerprints(docs)
+    dealt = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1]
+    assert "_packed" in dealt
+    # by falling id, null last, then by text; the last one meets the first
+    order = sorted(((-1 if i is None else i, t or "") for i, t in rows), key=lambda r: (-r[0], r[1].encode()))
+    want = sorted((i, len(t), hashlib.sha256(fingerprint.edited(t, order[(k + 1) % 60][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in found.collect()) == want
+
+
+def test_tables_of_a_search_are_never_broadcast(spark):
+    from attesta.llm import fingerprint
+
+    some = spark.createDataFrame([("0f" * 32,), ("f0" * 32,)], "fingerprint string")
+    found = fingerprint.find_near(some, some)
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("0f" * 32, "0f" * 32, 0), ("f0" * 32, "f0" * 32, 0)]
