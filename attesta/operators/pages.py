@@ -38,8 +38,9 @@ def words_of(blocks: Column) -> Column:
 
 
 def _near(a: Column, b: Column) -> Column:
-    """Whether two words stand at one spot: half of the shorter one shared on both axes."""
-    return (overlap(a["y0"], a["y1"], b["y0"], b["y1"]) >= 0.5) & (overlap(a["x0"], a["x1"], b["x0"], b["x1"]) >= 0.5)
+    """Whether two words stand at one spot: half of the shorter one shared on both axes. Most boxes do not meet, which their edges tell sooner."""
+    meet = (a["y0"] < b["y1"]) & (b["y0"] < a["y1"]) & (a["x0"] < b["x1"]) & (b["x0"] < a["x1"])
+    return meet & (overlap(a["y0"], a["y1"], b["y0"], b["y1"]) >= 0.5) & (overlap(a["x0"], a["x1"], b["x0"], b["x1"]) >= 0.5)
 
 
 def label_words(blocks: Column) -> Column:
@@ -56,28 +57,31 @@ def merge_labels(blocks: Column, english: Column) -> Column:
     are dropped too, and a line's text is made anew of its words. Boxes stay.
 
     Null blocks stay null; without an English page only empty lines go. What is
-    done is kept as a map from a word's path to its label, null for a word that
-    is dropped, so words that no label touches are looked up in few entries.
+    done is kept as a map from a word's path to its label, 0 for a word that is
+    dropped, so words that no label touches are looked up, once, in few entries.
     """
     labels = F.coalesce(label_words(english), F.array().cast(WORDS))
     path = lambda i, j, k, n: F.struct(i.alias("b"), j.alias("p"), k.alias("l"), n.alias("w"))
     box_of = lambda i, j, k: lambda w, n: F.struct(path(i, j, k, n).alias("path"), w["bbox"].alias("bbox"))
     placed = F.flatten(F.flatten(F.flatten(F.transform(blocks, lambda b, i: F.transform(b["paragraphs"], lambda p, j: F.transform(p["lines"], lambda l, k: F.transform(l["words"], box_of(i, j, k))))))))
 
-    def overlaid(labels: Column) -> Column:
-        first = lambda box: F.array_position(F.transform(labels, lambda l: _near(box, l["bbox"])), F.lit(True))
+    def hits_of(boxes: Column) -> Column:
+        first = lambda box: F.array_position(F.transform(boxes, lambda l: _near(box, l)), F.lit(True))
         # (path, label): the words at some label's spot, label counted from 1
-        hits = F.filter(F.transform(placed, lambda w: F.struct(w["path"].alias("path"), first(w["bbox"]).alias("label"))), lambda h: h["label"] > 0)
+        return F.filter(F.transform(placed, lambda w: F.struct(w["path"].alias("path"), first(w["bbox"]).alias("label"))), lambda h: h["label"] > 0)
+
+    def overlaid(labels: Column) -> Column:
+        hits = let(F.transform(labels, lambda l: l["bbox"]), hits_of)
         return let(hits, lambda h: let(_fates(h), lambda known: _rewritten(blocks, labels, known)))
 
     return F.when(blocks.isNotNull(), let(labels, overlaid))
 
 
 def _fates(hits: Column) -> Column:
-    """A map from the path of each hit to its label, for the first hit of a label, or to null."""
+    """A map from the path of each hit to its label, for the first hit of a label, or to 0."""
 
     def told(numbers: Column) -> Column:
-        first = lambda h, i: F.when(F.array_position(numbers, h["label"]) == i + 1, h["label"])
+        first = lambda h, i: F.when(F.array_position(numbers, h["label"]) == i + 1, h["label"]).otherwise(0)
         return F.map_from_entries(F.transform(hits, lambda h, i: F.struct(h["path"].alias("path"), first(h, i).alias("label"))))
 
     return let(F.transform(hits, lambda h: h["label"]), told)
@@ -89,12 +93,11 @@ def _rewritten(blocks: Column, labels: Column, known: Column) -> Column:
     def line(i: Column, j: Column):
         def work(l: Column, k: Column) -> Column:
             at = lambda n: F.struct(i.alias("b"), j.alias("p"), k.alias("l"), n.alias("w"))
-            marked = F.transform(l["words"], lambda w, n: F.struct(w.alias("w"), F.map_contains_key(known, at(n)).alias("hit"), F.element_at(known, at(n)).alias("label")))
-            kept = F.filter(marked, lambda m: ~m["hit"] | m["label"].isNotNull())
-            new = F.transform(kept, lambda m: F.struct(
-                F.coalesce(F.get(labels, (m["label"] - 1).cast("int"))["text"], m["w"]["text"]).alias("text"),
-                F.coalesce(F.get(labels, (m["label"] - 1).cast("int"))["confidence"], m["w"]["confidence"]).alias("confidence"), m["w"]["bbox"].alias("bbox"),
-            ))
+            marked = F.transform(l["words"], lambda w, n: F.struct(w.alias("w"), F.element_at(known, at(n)).alias("label")))
+            kept = F.filter(marked, lambda m: F.coalesce(m["label"] > 0, F.lit(True)))
+            put = lambda w, label: F.struct(label["text"].alias("text"), label["confidence"].alias("confidence"), w["bbox"].alias("bbox"))
+            of = lambda m: let(F.get(labels, (m["label"] - 1).cast("int")), lambda label: put(m["w"], label))
+            new = F.transform(kept, lambda m: F.when(m["label"].isNull(), m["w"]).otherwise(of(m)))
             text = lambda words: F.concat(F.array_join(F.transform(words, lambda w: w["text"]), " "), F.lit("\n"))
             return let(new, lambda words: F.struct(text(words).alias("text"), l["confidence"].alias("confidence"), l["bbox"].alias("bbox"), words.alias("words")))
 
@@ -122,7 +125,7 @@ def segments(blocks: Column) -> Column:
             begins = lambda o, i: (i == 0) | (o["x"] - F.get(words, i - 1)["w"]["bbox"]["x1"] > SEGMENT_GAP * height)
             starts = F.filter(F.transform(words, lambda o, i: F.when(begins(o, i), i)), lambda i: i.isNotNull())
             runs = lambda at: F.transform(at, lambda s, i: F.slice(words, s + 1, F.coalesce(F.get(at, i + 1), F.size(words)) - s))
-            return F.transform(let(starts, runs), lambda r: _joined(F.transform(r, lambda o: o["w"])))
+            return F.transform(let(starts, runs), lambda r: let(F.transform(r, lambda o: o["w"]), _joined))
 
         return let(ordered, cut)
 

@@ -30,16 +30,17 @@ def _line(words: Column) -> Column:
 
 def two_pages(spark, sf_dir) -> DataFrame:
     """(doc_id, blocks, english): an order's lines as words of two pages, which two models read with other boxes and texts."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", line_order().alias("pos"))
-    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("pos")) - 1
-    at = lines.select("*", r.alias("r"), (F.col("l_partkey") % 4 * 25).alias("x"), (F.col("l_suppkey") % 2 * 20).alias("y"))
+    # dealt first: lines of an order meet once, in the order's array, which alone is sorted
+    at = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", line_order().alias("pos")).repartition("l_orderkey")
+    x, y = F.col("l_partkey") % 4 * 25, F.col("l_suppkey") % 2 * 20
     label = F.get(F.array(*[F.lit(f"{w.capitalize()}:") for w in T.LABEL_WORDS]), (F.col("l_partkey") % len(T.LABEL_WORDS)).cast("int"))
-    mine = F.struct("r", F.struct(F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), (F.col("l_quantity") + 20).cast("double").alias("confidence"), _box(F.col("x"), F.col("y"), 30, 14).alias("bbox")).alias("w"))
-    other = F.struct("r", F.struct(F.when(F.col("l_suppkey") % 3 == 0, "zz").otherwise(label).alias("text"), (F.col("l_quantity") + 45).cast("double").alias("confidence"), _box(F.col("x") + F.col("l_partkey") % 7 * 3, F.col("y") + F.col("l_suppkey") % 3, 30, 14).alias("bbox")).alias("w"))
-    words = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda s: s["w"])
-    read = at.groupBy(F.col("l_orderkey").alias("doc_id")).agg(words(mine).alias("w"), words(other).alias("e"))
+    mine = F.struct(F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("text"), (F.col("l_quantity") + 20).cast("double").alias("confidence"), _box(x, y, 30, 14).alias("bbox"))
+    other = F.struct(F.when(F.col("l_suppkey") % 3 == 0, "zz").otherwise(label).alias("text"), (F.col("l_quantity") + 45).cast("double").alias("confidence"), _box(x + F.col("l_partkey") % 7 * 3, y + F.col("l_suppkey") % 3, 30, 14).alias("bbox"))
+    # words are made before they are collected: inside of collect_list they would be interpreted
+    each = at.select(F.col("l_orderkey").alias("doc_id"), F.struct("pos", mine.alias("w"), other.alias("e")).alias("s"))
+    read = each.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("s")).select("doc_id", F.transform("s", lambda s: s["w"]).alias("w"), F.transform("s", lambda s: s["e"]).alias("e"))
     # six words to a block, four to its first paragraph and two to its second, two to a line
-    some = lambda i, n, step: F.transform(F.filter(F.sequence(i, i + n - step, F.lit(step)), lambda j: j < F.size("w")), lambda j: _line(F.slice("w", j + 1, 2)))
+    some = lambda i, n, step: F.transform(F.filter(F.sequence(i, i + n - step, F.lit(step)), lambda j: j < F.size("w")), lambda j: X.let(F.slice("w", j + 1, 2), _line))
     paragraph = lambda i, n: F.struct(some(i, n, 2).alias("lines"))
     block = lambda i: F.struct(F.filter(F.array(paragraph(i, 4), paragraph(i + 4, 2)), lambda p: F.size(p["lines"]) > 0).alias("paragraphs"))
     blocks = F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(6)), block)

@@ -111,3 +111,12 @@ def test_tables_of_a_search_are_never_broadcast(spark):
     found = fingerprint.find_near(some, some)
     assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("0f" * 32, "0f" * 32, 0), ("f0" * 32, "f0" * 32, 0)]
+
+
+def test_lines_of_an_order_meet_without_a_window(spark):
+    from attesta.plans import page_queries
+
+    for query in (page_queries.page_segments, page_queries.label_overlay_pages):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        # one sort, that of each order's array; words are made before they are collected
+        assert "Window" not in plan and plan.count("collect_list(s#") == plan.count("sort_array") == 1
