@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.bktree import Forest
-from attesta.llm.common import materialize, salted_join
+from attesta.llm.common import materialize, salted_join, slices
 from attesta.llm.components import connected_components
 
 #: Seed of the shingle hash.
@@ -40,6 +40,8 @@ SHARD_CAP = 65_536
 SCREEN_WORDS = 16
 #: Bytes of shingle sets to a piece of a shard; a text with more is a piece that holds little else.
 PIECE_BYTES = 64 << 20
+#: Texts whose features are held at one time.
+STEP = 500
 #: Rows and bytes that a task gathers before it builds a forest.
 FOREST_ROWS, FOREST_BYTES = 200_000, 64 << 20
 
@@ -230,7 +232,7 @@ def _features(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, STEP):
             out: list[list] = [[], [], [], []]
             for i, t in zip(b.column(0), b.column(1)):
                 h = shingle_hashes(t.as_py(), words)

@@ -338,17 +338,15 @@ def score_texts(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
 def keep_clean(docs: DataFrame, model: Crf, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores under the threshold, whole and unchanged."""
 
-    @F.pandas_udf("double")
-    def score(texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         a, b = model.score
         if not model.fitted:
-            return pd.Series(np.zeros(len(texts)))
+            return pa.array(np.zeros(len(texts)))
         known, out = Emissions(model), []
         for start in range(0, len(texts), 1000):
-            us = [known.of(t or "") for t in texts.iloc[start : start + 1000]]
+            us = [known.of(t or "") for t in texts.slice(start, 1000).to_pylist()]
             out += [1 / (1 + np.exp(-(a + b * _mass(m)))) for m in _marginals_of(us, model)]
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
     return docs.where(score(F.col(f"`{text_col}`")) < threshold)

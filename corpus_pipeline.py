@@ -43,8 +43,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     there, so that sequence ids ascend with the training position.
     """
     path = tokenizer_path("word_bpe_49k.json")
-    # workers of earlier stages still hold memory: fewer words are remembered here
-    return packing.pack(in_file_order(docs.select("doc_id", "text")), lambda: packing.word_tokenizer(path, 400_000, 250_000))
+    # workers go on to other stages: fewer words are remembered here, and none once a task is done
+    return packing.pack(in_file_order(docs.select("doc_id", "text")), lambda: packing.WordTokenizer(path, 200_000, 125_000))
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:

@@ -307,6 +307,42 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_pipeline_leaves_no_tokenizer_in_workers(spark):
+    import corpus_pipeline
+
+    docs = make(spark, ["one two three", None, "four"] * 20)
+    assert corpus_pipeline.pack_sequences(spark, docs, "").count() == 60
+
+    def held(batches):
+        import gc
+
+        for _ in batches:
+            found = [x for x in gc.get_objects() if isinstance(x, packing.WordTokenizer) and x.words.most < packing.CACHE_WORDS // 2]
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_near_features_come_in_bounded_steps(spark):
+    """What a task holds of features does not grow with the batches that it is given."""
+
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    rng = random.Random(4)
+    texts = [words(rng, 8) for _ in range(1300)]
+    work = near_dedup._features(Caught(), "doc_id", "text", 5, 10, 3)
+    given = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array(texts)], ["id", "t"])
+    got = list(work(iter([given])))
+    assert max(b.num_rows for b in got) <= 500
+    sketches = {i: s for b in got for i, s in zip(b.column(0).to_pylist(), b.column(3).to_pylist())}
+    assert sketches == {i: np.unique(near_dedup.shingle_hashes(t, 5)).tobytes() for i, t in enumerate(texts)}
+
+
 def test_screen_passes_every_similar_pair():
     rng = np.random.default_rng(3)
     for size in (4, 40, 200, 256, 300, 900):
