@@ -31,6 +31,14 @@ STEP = 500
 CACHE_WORDS, CACHE_RUNS = 1_000_000, 600_000
 
 
+@lru_cache(4)
+def tokenizer_of(path: str):  # noqa: ANN201
+    """The tokenizer of a file without remembered words; one that is dropped leaves memory behind, so a worker loads it once."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class Remembered:
     """A mapping with a bound: half of `most` entries are in use; then they are set aside and only what is met again comes back."""
 
@@ -66,9 +74,7 @@ class WordTokenizer:
     SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
     def __init__(self, path: str, words: int = CACHE_WORDS, runs: int = CACHE_RUNS):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer_of(path)
         self.words, self.runs = Remembered(words), Remembered(runs)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)

@@ -323,6 +323,12 @@ def test_pipeline_leaves_no_tokenizer_in_workers(spark):
     assert {r.n for r in spark.range(8).repartition(8).mapInArrow(held, "n long").collect()} == {0}
 
 
+def test_word_tokenizers_of_a_file_load_it_once():
+    one, two = (packing.WordTokenizer(tokenizer_path("word_bpe_49k.json"), n, n) for n in (100, 200))
+    assert one.tokenizer is two.tokenizer and one.words is not two.words
+    assert one("One two-three é").tolist() == two("One two-three é").tolist()
+
+
 def test_near_features_come_in_bounded_steps(spark):
     """What a task holds of features does not grow with the batches that it is given."""
 
