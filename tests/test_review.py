@@ -120,3 +120,49 @@ def test_lines_of_an_order_meet_without_a_window(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         # one sort, that of each order's array; words are made before they are collected
         assert "Window" not in plan and plan.count("collect_list(s#") == plan.count("sort_array") == 1
+
+
+def test_single_words_bits_are_added_as_bytes():
+    import tracemalloc
+
+    from attesta.llm import fingerprint
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    tracemalloc.start()
+    try:
+        fingerprint.fingerprint(text, fingerprint.WordHashes())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # a block of 8,160 words' bits as doubles is 16.7 MB
+    assert peak < 12e6
+
+
+def test_edited_texts_take_over_the_votes_of_both_texts(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from attesta.llm import fingerprint
+
+    rng, known = random.Random(5), fingerprint.WordHashes()
+    parts = ["a", "b", "aB", "Ä", "漢", " ", "  ", "\n", "\t ", "\x0b", "\x0c", "\x1c", "\x85", "　", "word", "😀", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.choice((0, 1, 2, 3, 6, 12, 40)))) for _ in range(1500)]
+    texts += ["same text"] * 3 + [" ".join(str(rng.randrange(v)) for _ in range(n)) for v in (3, 1000, 10**9) for n in (680, 2039, 2041, 9000)]
+    first, at = None, 0
+    while at < len(texts):
+        docs, pairs = [], []
+        for t in texts[at : at + rng.choice((1, 2, 20))]:
+            docs.append(fingerprint.Doc(t))
+            pairs += [(first, docs[-1])] if first else []
+            first = docs[-1] if rng.random() < 0.9 else None
+        at += len(docs)
+        new = fingerprint.fingerprint_all(docs, pairs, known)
+        assert [d.fingerprint for d in docs] == [fingerprint.fingerprint(d.text, known) for d in docs]
+        assert new == [fingerprint.fingerprint(fingerprint.edited(a.text, b.text), known) for a, b in pairs]
+    # a term of a document is hashed once for it and the edited texts that have it
+    unpacked = []
+    monkeypatch.setattr(fingerprint.np, "unpackbits", lambda x, unpack=np.unpackbits, **more: unpacked.append(x.size // 32) or unpack(x, **more))
+    docs = [fingerprint.Doc(" ".join(str(rng.randrange(10**9)) for _ in range(500))) for _ in range(40)]
+    fingerprint.fingerprint_all(docs, list(zip(docs, docs[1:])), known)
+    assert sum(unpacked) < 1.1 * 40 * 3 * 500
