@@ -481,7 +481,7 @@ def name_repair(spark, sf_dir):
     cyr = F.translate(F.col("c_custkey").cast("string"), "0123456789", "АНИҚОХЧШРЛ")
     wrong = F.translate(cyr, "ҚЧ", "КҶ")
     rows = customers(spark, sf_dir).select("c_custkey", cyr.alias("truth"), wrong.alias("cyrillic"))
-    return names.with_repair(rows, "cyrillic", F.array(X.transliterate(F.col("truth"))))
+    return names.with_repair(rows, "cyrillic", F.array(X.transliterate(F.col("truth"))), whole=True)
 
 
 @query(
@@ -493,7 +493,7 @@ def name_alignment(spark, sf_dir):
     k = F.col("c_custkey")
     truth = F.concat(F.lit("СН"), F.translate(k.cast("string"), "0123456789", "АНИҚОХЧШРЛ"), F.lit("АД"))
     rows = customers(spark, sf_dir).select(k.alias("doc_id"), F.concat(F.lit("СП"), F.substring(truth, 3, 100)).alias("cyrillic"), X.transliterate(truth).alias("l"))
-    return names.with_repair(rows, "cyrillic", F.array("l")).drop("l")
+    return names.with_repair(rows, "cyrillic", F.array("l"), whole=True).drop("l")
 
 
 # --- names across both sides ---------------------------------------------------------------------------------------
