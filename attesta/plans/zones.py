@@ -124,10 +124,19 @@ def back_zone_facts(reads: DataFrame) -> DataFrame:
 
 
 def missing_zones(reads: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, field, x, y, width, height) of the fixed rectangles whose field was not read."""
-    fixed = F.array(*[F.struct(F.lit(f).alias("field"), *[F.lit(float(v)).alias(c) for v, c in zip(r, ("x", "y", "width", "height"))]) for f, *r in T.FIXED_ZONES])
-    every = reads.where("side = 'front'").select("doc_id").distinct().select("doc_id", F.inline(fixed))
-    return every.join(found.select("doc_id", "field"), ["doc_id", "field"], "left_anti")
+    """(doc_id, field, x, y, width, height) of the fixed rectangles whose field was not read.
+
+    A document's reads and facts meet in one aggregate of a few flags. Joined,
+    the facts would be broadcast: their size is told from the keys alone, not
+    from the many rows that each of them stands for.
+    """
+    flags = [F.bool_or(F.col("field") == f).alias(f) for f, *_ in T.FIXED_ZONES]
+    front = reads.where("side = 'front'").select("doc_id", F.lit(None).cast("string").alias("field"), F.lit(True).alias("read"))
+    both = front.unionByName(found.where("doc_id is not null").select("doc_id", "field", F.lit(False).alias("read")))
+    docs = both.groupBy("doc_id").agg(F.bool_or("read").alias("read"), *flags).where("read")
+    zone = lambda f, r: F.when(~F.coalesce(F.col(f), F.lit(False)), F.struct(F.lit(f).alias("field"), *[F.lit(float(v)).alias(c) for v, c in zip(r, ("x", "y", "width", "height"))]))
+    missing = F.filter(F.array(*[zone(f, r) for f, *r in T.FIXED_ZONES]), lambda z: z.isNotNull())
+    return docs.select("doc_id", F.inline(missing))
 
 
 def locate_front_zones(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -166,3 +166,16 @@ def test_edited_texts_take_over_the_votes_of_both_texts(monkeypatch):
     docs = [fingerprint.Doc(" ".join(str(rng.randrange(10**9)) for _ in range(500))) for _ in range(40)]
     fingerprint.fingerprint_all(docs, list(zip(docs, docs[1:])), known)
     assert sum(unpacked) < 1.1 * 40 * 3 * 500
+
+
+def test_missing_zones_need_no_join(spark):
+    from attesta.functions import tables as T
+    from attesta.plans import queries, zones
+
+    reads = spark.createDataFrame([(1, "front"), (1, "front"), (2, "back"), (3, "front"), (4, "front"), (None, "front")], "doc_id long, side string")
+    found = spark.createDataFrame([(1, f) for f, *_ in T.FIXED_ZONES[1:]] + [(2, "sex"), (3, "sex"), (3, None), (5, "sex"), (None, "expiryDate")], "doc_id long, field string")
+    got = zones.missing_zones(reads, found)
+    want = {(d, f, *r) for d, n in ((1, 1), (3, 5), (4, 5), (None, 5)) for f, *r in T.FIXED_ZONES[:n]}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and got.columns == ["doc_id", "field", "x", "y", "width", "height"]
+    # facts that are joined are broadcast by the driver, at any size
+    assert "Join" not in queries.missing_zone_fallback(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
