@@ -142,10 +142,17 @@ def parse(text: Column, as_of_year: int) -> Column:
 
 def facts(best: Column, as_of_year: int) -> Column:
     """array of struct(field, value, confidence) from the best alignment of a zone."""
-    a, b, c = best["a"], best["b"], best["c"]
-    number_ok, birth_ok, expiry_ok = check_sum(part(a, 5, 14), 9) == part(a, 14, 15), dated(b, 0), dated(b, 8)
+    return let(best, lambda x: let(_checks(x["a"], x["b"]), lambda ok: _facts(x["a"], x["b"], x["c"], ok, as_of_year)))
+
+
+def _checks(a: Column, b: Column) -> Column:
+    """struct(number, birth, expiry, whole) of a zone's check digits: each is worked out once and read by many fields."""
     composite = F.concat(F.substring(a, 6, 25), part(b, 0, 7), part(b, 8, 15), part(b, 18, 29))
-    whole_ok = check_sum(composite, 50) == part(b, 29, 30)
+    return F.struct((check_sum(part(a, 5, 14), 9) == part(a, 14, 15)).alias("number"), dated(b, 0).alias("birth"), dated(b, 8).alias("expiry"), (check_sum(composite, 50) == part(b, 29, 30)).alias("whole"))
+
+
+def _facts(a: Column, b: Column, c: Column, ok: Column, as_of_year: int) -> Column:
+    number_ok, birth_ok, expiry_ok, whole_ok = [ok[n] for n in ("number", "birth", "expiry", "whole")]
     passed = number_ok.cast("int") + birth_ok.cast("int") + expiry_ok.cast("int")
     trusted = (passed >= 2) | whole_ok
     checked = F.when(whole_ok | (passed == 3), 98.0).otherwise(92.0)

@@ -125,40 +125,33 @@ def real_date(day: Column, month: Column, year: Column) -> Column:
 
 
 def validate_name(v: Column) -> Column:
-    c = clean_value(v)
-    return accept(c, F.length(c).between(2, 60) & c.rlike(f"^[{T.NAME_LETTERS}' -]+\\z"))
+    return let(clean_value(v), lambda c: accept(c, F.length(c).between(2, 60) & c.rlike(f"^[{T.NAME_LETTERS}' -]+\\z")))
 
 
 def validate_date(v: Column) -> Column:
     found = F.regexp_extract(v, rf"{AB}(\d{{2}}[./]\d{{2}}[./]\d{{4}}){AB}", 1)
-    d = F.replace(found, F.lit("/"), F.lit("."))
-    ok = real_date(F.substring(d, 1, 2), F.substring(d, 4, 2), F.substring(d, 7, 4)).isNotNull() & (F.substring(d, 7, 4) >= "0100")
-    return accept(d, (found != "") & ok)
+    ok = lambda d: real_date(F.substring(d, 1, 2), F.substring(d, 4, 2), F.substring(d, 7, 4)).isNotNull() & (F.substring(d, 7, 4) >= "0100")
+    return let(F.replace(found, F.lit("/"), F.lit(".")), lambda d: accept(d, (d != "") & ok(d)))
 
 
 def validate_sex(v: Column) -> Column:
-    c = F.upper(clean_value(v))
-    return F.when(c.isin(T.SEX_MALE), "M").when(c.isin(T.SEX_FEMALE), "F")
+    return let(F.upper(clean_value(v)), lambda c: F.when(c.isin(T.SEX_MALE), "M").when(c.isin(T.SEX_FEMALE), "F"))
 
 
 def validate_document_number(v: Column) -> Column:
-    c = F.regexp_replace(F.upper(clean_value(v)), f"{S}", "")
-    return accept(c, c.rlike(r"^[A-Z]{1,3}\d{6,9}\z"))
+    return let(F.regexp_replace(F.upper(clean_value(v)), f"{S}", ""), lambda c: accept(c, c.rlike(r"^[A-Z]{1,3}\d{6,9}\z")))
 
 
 def validate_digits(v: Column) -> Column:
-    c = F.regexp_replace(v, f"{S}", "")
-    return accept(c, c.rlike(r"^\d{8,14}\z"))
+    return let(F.regexp_replace(v, f"{S}", ""), lambda c: accept(c, c.rlike(r"^\d{8,14}\z")))
 
 
 def validate_citizenship(v: Column) -> Column:
-    c = F.upper(clean_value(v))
-    return accept(c, c.isin(T.CITIZENSHIPS))
+    return let(F.upper(clean_value(v)), lambda c: accept(c, c.isin(T.CITIZENSHIPS)))
 
 
 def validate_text(v: Column) -> Column:
-    c = clean_value(v)
-    return accept(c, F.length(c).between(2, 100) & c.rlike(f"[{T.NAME_LETTERS}]"))
+    return let(clean_value(v), lambda c: accept(c, F.length(c).between(2, 100) & c.rlike(f"[{T.NAME_LETTERS}]")))
 
 
 VALIDATORS = {
@@ -188,44 +181,60 @@ def zone_kind(field: Column, part: Column) -> Column:
 
 
 def parse_zone_read(field: Column, part: Column, raw: Column, as_of_year: int) -> Column:
-    """The value of one read of a zone on the front, or NULL."""
-    kind, text = zone_kind(field, part), F.upper(F.regexp_replace(compose(raw), f"^{S}+|{S}+\\z", ""))
-    cyr = drop_single_letters(F.regexp_replace(text, f"[^{T.CYRILLIC} '-]", ""))
-    lat = drop_single_letters(F.regexp_replace(text, "[^A-Z '-]", ""))
-    letters = F.regexp_replace(text, "[^A-Z/]", "")
-    half = F.when(F.contains(letters, F.lit("/")), F.substring_index(letters, "/", -1)).otherwise(F.right(letters, F.lit(3)))
-    digits, compact = F.regexp_replace(text, r"\D", ""), F.regexp_replace(text, "[^A-Z0-9]", "")
-    tail = F.translate(F.substring(compact, 2, 100), *T.ZONE_DIGITS)
-    return (
-        F.when(kind == "cyrillicName", accept(cyr, cyr.rlike(f"^[{T.CYRILLIC}]{{2,}}(?:[ '-][{T.CYRILLIC}]+)*\\z")))
-        .when(kind == "latinName", accept(lat, lat.rlike(r"^[A-Z]{2,}(?:[ '-][A-Z]+)*\z")))
-        .when(kind == "sex", F.nullif(F.regexp_extract(F.regexp_replace(text, f"{S}+", ""), r"([MF])\z", 1), F.lit("")))
-        .when(kind == "state", F.when((F.length(half) >= 2) & (F.levenshtein(half, F.lit(T.STATE)) <= 1), T.STATE))
-        .when(kind == "date", F.when(field == "birthDate", zone_date(digits, 1900, as_of_year)).when(field == "issueDate", zone_date(digits, 2000, as_of_year + 1)).otherwise(zone_date(digits, 2000, 2100)))
-        .when(kind == "digits13", accept(digits, F.length(digits) == 13))
-        .when(kind == "documentNumber", accept(F.concat(F.substring(compact, 1, 1), tail), compact.rlike(r"^[A-Z][A-Z0-9]{8}\z") & tail.rlike(r"^\d{8}\z")))
-    )
+    """The value of one read of a zone on the front, or NULL. What several tests read is worked out once."""
+    allowed = lambda text, others: F.regexp_replace(text, others, "")
+    name = lambda v, shape: let(drop_single_letters(v), lambda n: accept(n, n.rlike(shape)))
+
+    def state(letters: Column) -> Column:
+        half = F.when(F.contains(letters, F.lit("/")), F.substring_index(letters, "/", -1)).otherwise(F.right(letters, F.lit(3)))
+        return let(half, lambda h: F.when((F.length(h) >= 2) & (F.levenshtein(h, F.lit(T.STATE)) <= 1), T.STATE))
+
+    def date(digits: Column) -> Column:
+        return F.when(field == "birthDate", zone_date(digits, 1900, as_of_year)).when(field == "issueDate", zone_date(digits, 2000, as_of_year + 1)).otherwise(zone_date(digits, 2000, 2100))
+
+    def number(compact: Column) -> Column:
+        tail = F.translate(F.substring(compact, 2, 100), *T.ZONE_DIGITS)
+        return let(tail, lambda t: accept(F.concat(F.substring(compact, 1, 1), t), compact.rlike(r"^[A-Z][A-Z0-9]{8}\z") & t.rlike(r"^\d{8}\z")))
+
+    def of(kind: Column, text: Column) -> Column:
+        return (
+            F.when(kind == "cyrillicName", name(allowed(text, f"[^{T.CYRILLIC} '-]"), f"^[{T.CYRILLIC}]{{2,}}(?:[ '-][{T.CYRILLIC}]+)*\\z"))
+            .when(kind == "latinName", name(allowed(text, "[^A-Z '-]"), r"^[A-Z]{2,}(?:[ '-][A-Z]+)*\z"))
+            .when(kind == "sex", F.nullif(F.regexp_extract(F.regexp_replace(text, f"{S}+", ""), r"([MF])\z", 1), F.lit("")))
+            .when(kind == "state", let(allowed(text, "[^A-Z/]"), state))
+            .when(kind == "date", let(allowed(text, r"\D"), date))
+            .when(kind == "digits13", let(allowed(text, r"\D"), lambda d: accept(d, F.length(d) == 13)))
+            .when(kind == "documentNumber", let(allowed(text, "[^A-Z0-9]"), number))
+        )
+
+    text = F.upper(F.regexp_replace(compose(raw), f"^{S}+|{S}+\\z", ""))
+    return let(F.struct(zone_kind(field, part).alias("kind"), text.alias("text")), lambda r: F.when(r["kind"].isNotNull(), of(r["kind"], r["text"])))
 
 
 def parse_back_read(field: Column, part: Column, raw: Column) -> Column:
-    """The value of one read of a zone on the back, or NULL."""
+    """The value of one read of a zone on the back, or NULL. What several tests read is worked out once."""
+
+    def written(up: Column) -> Column:
+        allowed = F.regexp_replace(up, f"[^{T.CYRILLIC}0-9 .,/()№-]", "")
+        words = F.filter(F.split(F.regexp_replace(allowed, f"{S}+", " "), " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+        text = F.trim(F.regexp_replace(F.array_join(words, " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N})]+\z", ""))
+        return let(text, lambda t: accept(t, F.length(F.regexp_replace(t, r"[^\p{L}]", "")) >= F.when(field == "address", 3).otherwise(6)))
+
     up = F.upper(compose(raw))
-    allowed = F.regexp_replace(up, f"[^{T.CYRILLIC}0-9 .,/()№-]", "")
-    words = F.filter(F.split(F.regexp_replace(allowed, f"{S}+", " "), " "), lambda w: w.rlike(r"[\p{L}\p{N}]"))
-    text = F.trim(F.regexp_replace(F.array_join(words, " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N})]+\z", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     cyr = F.regexp_replace(F.substring_index(up, "/", 1), f"[^{T.CYRILLIC}]", "")
     lat = F.regexp_replace(F.trim(F.substring_index(F.upper(raw), "/", -1)), "[^A-Z]", "")
-    status = F.get(F.filter(F.array(*[F.lit(x) for x in T.MARITAL]), lambda x: (F.length(lat) >= F.length(x) - 1) & (F.levenshtein(F.right(lat, F.length(x)), x) <= 1)), F.lit(0))
-    blood = F.regexp_replace(F.upper(raw), r"[^A-Z0-9()+\-/]", "")
+    status = lambda lat: F.get(F.filter(F.array(*[F.lit(x) for x in T.MARITAL]), lambda x: (F.length(lat) >= F.length(x) - 1) & (F.levenshtein(F.right(lat, F.length(x)), x) <= 1)), F.lit(0))
     form = r"^(AB|A|B|O)\(?(I{1,3}|IV)?\)?RH([+-])?\z"
-    kind = F.regexp_extract(blood, form, 2)
-    group = F.concat(F.regexp_extract(blood, form, 1), F.when(kind != "", F.concat(F.lit("("), kind, F.lit(")"))).otherwise(""), F.lit("Rh"), F.regexp_extract(blood, form, 3))
-    digits = F.regexp_replace(raw, r"\D", "")
+
+    def blood(v: Column) -> Column:
+        kind = lambda k: F.when(k != "", F.concat(F.lit("("), k, F.lit(")"))).otherwise("")
+        group = F.concat(F.regexp_extract(v, form, 1), let(F.regexp_extract(v, form, 2), kind), F.lit("Rh"), F.regexp_extract(v, form, 3))
+        return F.when(v.rlike(r"^N/?A\z"), "N/A").when(v.rlike(form), group)
+
     return (
-        F.when(field == "address", accept(text, letters >= 3)).when(field == "authority", accept(text, letters >= 6))
-        .when((field == "maritalStatus") & (part == "cyrillic"), accept(cyr, F.length(cyr) >= 4)).when(field == "maritalStatus", status)
-        .when(field == "bloodGroup", F.when(blood.rlike(r"^N/?A\z"), "N/A").when(blood.rlike(form), group)).when(field == "taxId", accept(digits, F.length(digits) == 9))
+        F.when(field.isin("address", "authority"), let(up, written))
+        .when((field == "maritalStatus") & (part == "cyrillic"), let(cyr, lambda c: accept(c, F.length(c) >= 4))).when(field == "maritalStatus", let(lat, status))
+        .when(field == "bloodGroup", let(F.regexp_replace(F.upper(raw), r"[^A-Z0-9()+\-/]", ""), blood)).when(field == "taxId", let(F.regexp_replace(raw, r"\D", ""), lambda d: accept(d, F.length(d) == 9)))
     )
 
 

@@ -77,9 +77,17 @@ def page_fields(lines: Column) -> Column:
 
     Everything is searched for in the row: a page's lines are few, and only
     words and lines that stand right are validated. Null lines have no fields.
+    The lines are read for every label, so they are put in order once before.
     """
+    return X.let(lines, _page_fields)
+
+
+def _page_fields(lines: Column) -> Column:
     names = F.array(*[F.lit(f) for f in T.FIELD_LABELS])
-    hits = F.flatten(F.transform(lines, lambda l, at: F.transform(F.filter(names, lambda f: _labels(f, l["text"])), lambda f: F.struct(f.alias("field"), at.alias("at"), l.alias("line")))))
+    # most lines show no label at all, which one pattern tells
+    any_ = "|".join(f"(?:{X.label(p)})" for patterns in T.FIELD_LABELS.values() for p in patterns)
+    labels = lambda l: F.when(l["text"].rlike(any_), F.filter(names, lambda f: _labels(f, l["text"]))).otherwise(F.slice(names, 1, 0))
+    hits = F.flatten(F.transform(lines, lambda l, at: F.transform(labels(l), lambda f: F.struct(f.alias("field"), at.alias("at"), l.alias("line")))))
     key = lambda h, v: F.struct(h["field"].alias("field"), (-F.floor(v["confidence"] + 0.5)).cast("double").alias("k"), h["at"].alias("at"), v["value"].alias("value"))
     valued = F.transform(hits, lambda h: X.let(_value(h, lines), lambda v: F.when(v.isNotNull(), key(h, v))))
     best = lambda vs: _some(F.transform(names, lambda f: F.array_min(F.filter(vs, lambda v: v["field"] == f))))

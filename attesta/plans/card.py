@@ -108,7 +108,8 @@ def recognized_cards(pages: DataFrame, english: DataFrame, zone_texts: DataFrame
     """
     sides = written(chosen_sides(pages, english), "sides")
     lines = nested.lines_of(F.col("blocks"))
-    by_layout = sides.select("doc_id", "side", F.explode(layout.page_fields(layout.cleaned(lines))).alias("f")).select("doc_id", "side", "f.*")
+    # exploding only what is not empty would search each page once more, in a filter
+    by_layout = sides.select("doc_id", "side", F.explode_outer(layout.page_fields(layout.cleaned(lines))).alias("f")).where("f is not null").select("doc_id", "side", "f.*")
     by_layout = layout.drop_label_values(by_layout).select(*FACT[:-1], F.lit("layout").alias("source"))
     by_text = text_facts(sides.select("doc_id", "side", nested.page_text(F.col("blocks"), F.col("text")).alias("text")), as_of_year)
     guesses = written(by_layout.withColumn("way", F.lit("layout")).unionByName(by_text.withColumn("way", F.lit("text"))), "guesses")

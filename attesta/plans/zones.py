@@ -44,6 +44,16 @@ def _facts(df: DataFrame, value: Column | str, confidence: Column) -> DataFrame:
     return df.select("doc_id", "side", "field", v.alias("value"), confidence.cast("double").alias("confidence"), F.lit("layout").alias("source"))
 
 
+def _of_groups(rows: DataFrame, fact: Column) -> DataFrame:
+    """The facts struct<value, confidence> of rows (doc_id, side, field, …), without those that are null.
+
+    These go after facts are exploded: a filter on the fact itself would be
+    pushed below and work it out once more.
+    """
+    found = rows.select("doc_id", "side", "field", F.explode_outer(F.array(fact)).alias("f")).where("f is not null")
+    return found.select("doc_id", "side", "field", "f.*", F.lit("layout").alias("source"))
+
+
 def _voted(reads: DataFrame, keys: list[str]) -> DataFrame:
     """Shaped values by vote: two equal reads, or one of enough confidence; between 86 and 97."""
     won = votes.first_to_two(reads, keys)
@@ -60,7 +70,7 @@ def parsed_front(reads: DataFrame, as_of_year: int) -> DataFrame:
 
 def front_name_reads(reads: DataFrame, as_of_year: int) -> DataFrame:
     """(doc_id, side, field, part, seq, value, confidence, box): the first two different reads of each name in each script."""
-    parsed = parsed_front(distinct_zones(reads.where(~F.col("fixed"))), as_of_year).where(F.col("field").isin(T.NAME_FIELDS))
+    parsed = parsed_front(distinct_zones(reads.where(~F.col("fixed") & F.col("field").isin(T.NAME_FIELDS))), as_of_year)
     some = votes.distinct_reads(parsed, VALUE, 2, first_confidence=True)
     return some.join(parsed.select(*VALUE, "seq", *BOX), [*VALUE, "seq"]).drop("place")
 
@@ -105,22 +115,69 @@ def front_zone_facts(reads: DataFrame, as_of_year: int) -> DataFrame:
     voted = lambda rs: X.let(_settled(rs), lambda w: F.when((w["votes"] >= 2) | (w["confidence"] >= floor), F.struct(w["value"].alias("value"), X.clamp(w["confidence"], 86, 97).cast("double").alias("confidence"))))
     shaped = X.let(F.get(F.filter(chosen, lambda r: r["value"].isNotNull() & r["confidence"].isNotNull()), F.lit(0))["value"], lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(SHAPE_CONFIDENCE).alias("confidence"))))
     fact = F.when(F.col("by_vote"), F.coalesce(voted(chosen), voted(F.filter("r", lambda r: r["fixed"])))).otherwise(shaped)
-    return some.select("doc_id", "side", "field", fact.alias("f")).where("f is not null").select("doc_id", "side", "field", "f.*", F.lit("layout").alias("source"))
+    return _of_groups(some, fact)
+
+
+def _best(reads: Column, floor: float, enough: float = 92.0) -> Column:
+    """Of reads (seq, value, confidence) the one that votes.best_read takes, or NULL."""
+    some = F.filter(reads, lambda r: r["value"].isNotNull() & (r["confidence"] >= floor))
+    ranked = lambda r: X.let(r["confidence"] >= enough, lambda early: F.struct((~early).alias("late"), F.when(early, r["seq"]).alias("first"), (-r["confidence"]).alias("k"), r["seq"].alias("seq"), r["value"].alias("value"), r["confidence"].alias("confidence")))
+    return F.array_min(F.transform(some, ranked))
+
+
+def _elected(reads: Column) -> Column:
+    """struct<votes, confidence, value> of reads (seq, value, confidence), in the order of seq, that votes.first_to_two takes, or NULL."""
+
+    def of(some: Column) -> Column:
+        stop = F.array_min(F.transform(some, lambda r, i: F.when(F.exists(F.slice(some, 1, i), lambda x: x["value"] == r["value"]), r["seq"])))
+        taken = X.let(stop, lambda at: F.filter(some, lambda r: at.isNull() | (r["seq"] <= at)))
+
+        def counted(rs: Column) -> Column:
+            def key(v: Column) -> Column:
+                same = F.filter(rs, lambda r: r["value"] == v)
+                most = lambda s: X.let(F.array_max(F.transform(s, lambda r: r["confidence"])), lambda c: F.struct((-F.size(s)).alias("k"), F.coalesce(-c, F.lit(float("inf"))).alias("far"), F.array_min(F.transform(s, lambda r: r["seq"])).alias("seq"), v.alias("value"), F.size(s).alias("votes"), c.alias("confidence")))
+                return X.let(same, most)
+
+            return F.array_min(F.transform(F.array_distinct(F.transform(rs, lambda r: r["value"])), key))
+
+        return X.let(taken, counted)
+
+    return X.let(F.filter(reads, lambda r: r["value"].isNotNull()), of)
+
+
+def _address(reads: Column) -> Column:
+    """struct<value, confidence> of the lines of an address up to the first that no read shows, by the best read of each."""
+    lines = F.array_sort(F.array_distinct(F.transform(reads, lambda r: F.coalesce(r["line"], F.lit(-(1 << 31))))))
+    shown = F.transform(lines, lambda n: _best(F.filter(reads, lambda r: r["line"] == n), ADDRESS_FLOOR))
+
+    def joined(ls: Column) -> Column:
+        upto = F.slice(ls, 1, X.let(F.array_position(F.transform(ls, lambda l: l.isNull()), F.lit(True)).cast("int"), lambda gap: F.when(gap > 0, gap - 1).otherwise(F.size(ls))))
+        mean = lambda some: F.aggregate(some, F.lit(0.0), lambda t, l: t + l["confidence"]) / F.size(some)
+        return X.let(upto, lambda some: F.when(F.size(some) > 0, F.struct(F.array_join(F.transform(some, lambda l: l["value"]), ", ").alias("value"), X.clamp(mean(some), 50, 90).cast("double").alias("confidence"))))
+
+    return X.let(shown, joined)
 
 
 def back_zone_facts(reads: DataFrame) -> DataFrame:
-    """(doc_id, side, field, value, confidence, source) of the back's values: address, authority, marital status, blood group, tax number."""
-    keys = ["doc_id", "side", "field"]
-    parsed = reads.select(*VALUE, "line", F.col("padding_seq").alias("seq"), X.parse_back_read(F.col("field"), F.col("part"), F.col("raw")).alias("value"), "confidence")
-    of = lambda *fields: parsed.where(F.col("field").isin(*fields))
-    every_line = of("address").select(*keys, "line").distinct()
-    best = votes.best_read(of("address"), [*keys, "line"], floor=ADDRESS_FLOOR).select(*keys, "line", F.col("value").alias("text"), "confidence")
-    lines = every_line.join(best, [*keys, "line"], "left")
-    address = _facts(votes.joined_lines(votes.take_while(lines, keys, "line", F.col("text").isNotNull()), keys, "line"), "value", F.col("confidence"))
-    authority = _facts(votes.best_read(of("authority"), keys, floor=AUTHORITY_FLOOR), "value", X.clamp(F.col("confidence"), 50, 90))
-    status = votes.first_read(of("maritalStatus"), VALUE, 0.0).groupBy(*keys).agg(F.max(F.when(F.col("part") == "cyrillic", F.col("value"))).alias("c"), F.max(F.when(F.col("part") == "latin", F.col("value"))).alias("l"))
-    marital = _facts(status, F.coalesce("c", "l"), F.when(F.col("c").isNull(), 60).when(F.col("l").isNotNull(), 90).otherwise(65))
-    return address.unionByName(authority).unionByName(marital).unionByName(_voted(of("bloodGroup", "taxId"), keys))
+    """(doc_id, side, field, value, confidence, source) of the back's values: address, authority, marital status, blood group, tax number.
+
+    Each read is parsed once. The reads of a field meet in one row, where lines
+    are put together, votes counted and floors applied.
+    """
+    fields = ("address", "authority", "maritalStatus", "bloodGroup", "taxId")
+    value = X.parse_back_read(F.col("field"), F.col("part"), F.col("raw"))
+    parsed = reads.where(F.col("field").isin(*fields)).select(*VALUE, "line", F.col("padding_seq").alias("seq"), value.alias("value"), "confidence")
+    rows = parsed.groupBy("doc_id", "side", "field").agg(F.sort_array(F.collect_list(F.struct("seq", "line", "part", "value", "confidence"))).alias("r"))
+    fact = lambda v, confidence: F.struct(v.alias("value"), confidence.cast("double").alias("confidence"))
+    authority = X.let(_best(F.col("r"), AUTHORITY_FLOOR), lambda b: F.when(b.isNotNull(), fact(b["value"], X.clamp(b["confidence"], 50, 90))))
+    # the first read of each part
+    first = lambda rs, part: F.get(F.filter(rs, lambda r: r["part"] == part), F.lit(0))["value"]
+    status = lambda s: F.when(s["some"], fact(F.coalesce(s["c"], s["l"]), F.when(s["c"].isNull(), 60).when(s["l"].isNotNull(), 90).otherwise(65)))
+    marital = X.let(F.filter("r", lambda r: r["value"].isNotNull() & (r["confidence"] >= 0)), lambda rs: X.let(F.struct((F.size(rs) > 0).alias("some"), first(rs, "cyrillic").alias("c"), first(rs, "latin").alias("l")), status))
+    elected = X.let(_elected(F.col("r")), lambda w: F.when((w["votes"] >= 2) | (w["confidence"] >= SHAPED_FLOOR), fact(w["value"], X.clamp(w["confidence"], 86, 97))))
+    field = F.col("field")
+    found = F.when(field == "address", _address(F.col("r"))).when(field == "authority", authority).when(field == "maritalStatus", marital).otherwise(elected)
+    return _of_groups(rows, found)
 
 
 def missing_zones(reads: DataFrame, found: DataFrame) -> DataFrame:

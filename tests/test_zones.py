@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import tables as T
 from attesta.functions import text as X
 from attesta.operators import layout, votes
+from attesta.operators import pages as nested
 from attesta.plans import zones
 from attesta.sources.tables import PAGE, page_lines
 
@@ -91,3 +92,63 @@ def test_layout_fields_match_joins(spark):
     want = sorted(map(tuple, joined_layout(layout.clean_lines(lines)).collect()))
     got = sorted(map(tuple, layout.layout_fields(lines).collect()))
     assert len(want) > 60 and got == want
+
+
+def joined_back(reads):
+    """The back's facts by votes and merges over rows."""
+    keys = ["doc_id", "side", "field"]
+    parsed = reads.select(*zones.VALUE, "line", F.col("padding_seq").alias("seq"), X.parse_back_read(F.col("field"), F.col("part"), F.col("raw")).alias("value"), "confidence")
+    of = lambda *fields: parsed.where(F.col("field").isin(*fields))
+    best = votes.best_read(of("address"), [*keys, "line"], floor=zones.ADDRESS_FLOOR).select(*keys, "line", F.col("value").alias("text"), "confidence")
+    lines = of("address").select(*keys, "line").distinct().join(best, [*keys, "line"], "left")
+    address = zones._facts(votes.joined_lines(votes.take_while(lines, keys, "line", F.col("text").isNotNull()), keys, "line"), "value", F.col("confidence"))
+    authority = zones._facts(votes.best_read(of("authority"), keys, floor=zones.AUTHORITY_FLOOR), "value", X.clamp(F.col("confidence"), 50, 90))
+    part = lambda p: F.max(F.when(F.col("part") == p, F.col("value")))
+    status = votes.first_read(of("maritalStatus"), zones.VALUE, 0.0).groupBy(*keys).agg(part("cyrillic").alias("c"), part("latin").alias("l"))
+    marital = zones._facts(status, F.coalesce("c", "l"), F.when(F.col("c").isNull(), 60).when(F.col("l").isNotNull(), 90).otherwise(65))
+    return address.unionByName(authority).unionByName(marital).unionByName(zones._voted(of("bloodGroup", "taxId"), keys))
+
+
+def test_back_facts_match_the_operators_in_one_exchange(spark):
+    rng = random.Random(3)
+    raws = {
+        "address": ["ш. Душанбе,", "к. Лоҳутӣ (2) -", "12", "дигар", "x"], "authority": ["ШВКД", "ШВКД ноҳияи 7", "ВКД ДАР ХАТЛОН", "1"], "maritalStatus": ["оиладор/", "/MARIED", "x", "МУҶАРРАД/SINGLE"],
+        "bloodGroup": ["A(II)Rh-", "b(iii) rh+", "B(III)Rh+", "n/a", "?"], "taxId": ["123456789", "123456780", "12", "1234-56789"], "surname": ["САФАРОВ"],
+    }
+    rows = []
+    for doc in range(120):
+        for field, some in raws.items():
+            for part in ("cyrillic", "latin", "value") if field == "maritalStatus" else ("value",):
+                for line in rng.choice([[0], [0, 1, 2], [1, 2], [None], [None, 0]]) if field == "address" else (None,):
+                    for pad in rng.sample(range(9), rng.randrange(5)):
+                        rows.append((doc, "back", field, part, line, 0, pad, False, rng.choice([*some, *some, None]), rng.choice([None, -1.0, 0.0, 10.0, 39.0, 40.0, 50.0, 60.4, 92.0, 97.4, 99.0]), 0.0, 0.0, 50.0, 30.0))
+    df = spark.createDataFrame(rows, zones.READS)
+    key = lambda r: tuple(map(str, r))
+    want, got = sorted(map(key, joined_back(df).collect())), sorted(map(key, zones.back_zone_facts(df).collect()))
+    assert len(want) > 250 and got == want
+    plan = zones.back_zone_facts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+
+
+def test_what_several_tests_read_is_worked_out_once(spark):
+    from attesta.functions import mrz
+    from attesta.operators import names
+
+    df = spark.createDataFrame([(1, "x", "x", "x", [])], "doc_id long, field string, part string, raw string, l array<string>")
+    c = F.col
+    plan = lambda column: df.select(column.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(X.parse_zone_read(c("field"), c("part"), c("raw"), 2024)).count("upper(") == 1
+    assert plan(X.parse_back_read(c("field"), c("part"), c("raw"))).count("upper(") == 4  # one a branch
+    assert plan(mrz.facts(F.struct(*[c("raw").alias(n) for n in "abc"]), 2024)).count("aggregate(") == 4
+    assert plan(X.validate_text(c("raw"))).count("trim(") == 1
+    # a page's lines are put in order once, however many places read them
+    pages = spark.createDataFrame([], PAGE)
+    lines = layout.cleaned(nested.lines_of(c("blocks")))
+    found = pages.select(layout.page_fields(lines).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("array_sort(") + found.count("arraysort(") == 1
+    # facts are exploded before those that are null go, so no filter works them out once more
+    reads = spark.createDataFrame([], zones.READS)
+    for facts in (zones.front_zone_facts(reads, 2024), zones.back_zone_facts(reads)):
+        kept = [x for x in facts._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x]
+        assert not [x for x in kept if "transform(" in x]
+    assert "CASE WHEN (size(l" in plan(names.hook_repair(c("raw"), c("l")))
